@@ -27,8 +27,102 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.bpe import decode, encode
+
+    path = _vocabulary("word_bpe_49k.json")
+    ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"])
+    both = decode(ids, path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.chat import conversation_digests, prefix_targets
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(prefix_targets(turns.unionByName(more)))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.fingerprint import as_text, fingerprint, likeness, with_next
+
+    docs = with_next(documents(spark, sf_dir).select("doc_id", "text"))
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
+    docs = docs.withColumn("edited", edited)
+    docs = docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("text")).alias("own"),
+        fingerprint(F.col("edited")).alias("new"),
+        fingerprint(F.col("next_text")).alias("next"),
+    )
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
+    )
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_bpe": op2_bpe,
+    "op5_chat": op5_chat,
+    "op7_fingerprints": op7_fingerprints,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_mixing": r"""
+WITH base AS (
+  SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS h,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
+weighed AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sizes),
+filling AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS full_at,
+         coalesce(sum(source_size) OVER w, 0) * 2 AS full_before, coalesce(sum(weight) OVER w, 0) AS weight_before,
+         sum(source_size) OVER () AS all_words, sum(weight) OVER () AS all_weight
+  FROM weighed
+  WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (
+  SELECT *, (all_words::DOUBLE * 1.5::DOUBLE - full_before::DOUBLE) / (all_weight - weight_before)::DOUBLE AS level FROM filling),
+goals AS (
+  SELECT source, source_size,
+         coalesce(least((SELECT min(level) FROM levels WHERE level <= full_at) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
+  FROM levels),
+parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goals),
+hashes AS (
+  SELECT source, h, n, coalesce(sum(n) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, h, sum(size) AS n FROM base GROUP BY source, h)),
+edges AS (
+  SELECT p.source, max(x.h) AS edge, arg_max(x.n, x.h) AS n, arg_max(x.before, x.h) AS before
+  FROM parts p JOIN hashes x ON p.source IS NOT DISTINCT FROM x.source
+  WHERE x.before <= p.target - p.whole * p.source_size GROUP BY p.source)
+SELECT b.doc_id, b.size, p.source_size, p.target,
+       (b.size * least(2, p.whole + CASE WHEN b.h < e.edge OR (b.h = e.edge AND e.n < 2 * (p.target - p.whole * p.source_size - e.before)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM base b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source LEFT JOIN edges e ON b.source IS NOT DISTINCT FROM e.source
+""",
+}
