@@ -50,6 +50,12 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(prefix_targets(turns.unionByName(more)))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.near_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwood.llm.fingerprint import as_text, fingerprint, likeness, with_next
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
     "op5_chat": op5_chat,
+    "op6_near_dedup": op6_near_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op10_mixing": op10_mixing,
 }
