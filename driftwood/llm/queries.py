@@ -41,6 +41,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.pii import KINDS, personal_data
+
+    found = personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    kinds = F.array(*map(F.lit, KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
+
+    ordered = F.array_sort(F.concat("base", "found"), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"))
+    by_kind = F.array_sort(F.col("base"), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(by_kind), 256).alias("base_sha256"), joined(ordered).alias("spans"), F.size("found").cast("long").alias("n_found"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwood.llm.chat import conversation_digests, prefix_targets
 
@@ -83,6 +98,25 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(key: str = "doc_id"):
+    return F.crc32(F.col(key).cast("string")) % 3
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.language import predict, train
+
+    docs = documents(spark, sf_dir)
+    field = train(docs.where(_fold() != 1).select("doc_id", "text", "lang"))
+    held = docs.select("doc_id", "text", F.coalesce(_fold() == 1, F.lit(False)).alias("held_out"))
+    return predict(held, field, keep=["doc_id", "held_out"])
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.quality import quality_rules
+
+    return quality_rules(documents(spark, sf_dir).select("doc_id", "text", "lang"), keep=["doc_id"])
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwood.llm.mixing import mix
 
@@ -92,9 +126,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op4_pii": op4_pii,
     "op5_chat": op5_chat,
     "op6_near_dedup": op6_near_dedup,
     "op7_fingerprints": op7_fingerprints,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
