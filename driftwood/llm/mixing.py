@@ -35,7 +35,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
 
     Water filling: with l the words per unit of weight, a source takes min(l * weight,
     most * size).  Sources are ordered by the l at which they fill up; the right l is the
-    first that leaves the next one unfilled.  One row per source goes through one task.
+    first that leaves its source unfilled, which is the greatest such.  One row per source goes through one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     budget = F.col("all_words") * (percent / 100)
     level = (budget - F.col("full_before")) / (F.col("all_weight") - F.col("weight_before"))
     ranked = ranked.withColumn("level", level)
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
+    ranked = ranked.withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
     target = F.least(F.col("level") * F.col("weight"), (F.lit(most) * F.col("source_size")).cast("double"))
     filled = F.coalesce(target, (F.lit(most) * F.col("source_size")).cast("double"))
     return ranked.select("source", "source_size", "weight", filled.alias("target"))

@@ -154,7 +154,7 @@ levels AS (
   SELECT *, (all_words::DOUBLE * 1.5::DOUBLE - full_before::DOUBLE) / (all_weight - weight_before)::DOUBLE AS level FROM filling),
 goals AS (
   SELECT source, source_size,
-         coalesce(least((SELECT min(level) FROM levels WHERE level <= full_at) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
+         coalesce(least((SELECT max(level) FROM levels WHERE level <= full_at) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
   FROM levels),
 parts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goals),
