@@ -14,9 +14,10 @@ On texts that repeat no shingle this is the Jaccard similarity of their shingle
    drawn anew for each band, and members are paired with their leader only: at most one
    pair per node and band, however large the bucket.
 4. Pairs are verified on the whole shingle sets.
-5. Members of a bucket that are not yet connected are compared across components, except
-   where the distances to their leader rule a link out (1 - similarity is a metric, so
-   distances to the leader that differ by more than 0.2 do).  So no link is lost.
+5. Members of a bucket that are not yet connected meet the bucket's hub, its member with
+   most links, for a few rounds.
+6. Those that are still apart are paired by an exact prefix filter on their shingles (see
+   ``_prefix_pairs``), so no link among the members of buckets is lost.
 
 With 24 bands of 4 registers a pair at similarity 0.8 misses all buckets with a chance of
 3e-6; above that it is smaller.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,8 @@ from driftwood.llm.cluster import checkpointed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
+#: Rounds in which hubs are looked for, at most; they only save work.
+HUB_ROUNDS = 3
 #: Ids of up to so many documents are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles handled at a time, and words kept in a worker's cache.
@@ -233,6 +236,46 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    return shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _split(known: DataFrame) -> tuple[DataFrame, int]:
+    """Buckets with several components, and how many members they have in all."""
+    split = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+    split = checkpointed(split.where("lo != hi").select("bucket", "n"))
+    return split.select("bucket"), split.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar enough.
+
+    The similarity is at most the share of either set's weight that is common.  So with
+    shingles in one global order, rarest first, the first common shingle of a similar pair
+    lies in both sets' prefixes, the least with over 1 - similarity of their weight.  Only
+    nodes that share a shingle of their prefixes are paired; texts whose own shingles
+    exceed their prefix meet nobody.  No pair that is similar enough is left out.
+    """
+    held = apart.join(sets, "node")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, packed, counts in zip(*(batch.column(i) for i in range(4))):
+                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array([root.as_py()] * len(found), pa.binary()), pa.array(found), pa.array(n.astype(np.int64))], names=["node", "root", "shingle", "count"])
+
+    rows = checkpointed(held.select("node", "root", "shingles", "counts").mapInArrow(spread, "node binary, root binary, shingle bigint, count bigint"))
+    seen = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = rows.join(seen, "shingle")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    rows = rows.withColumn("before", F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("total", F.sum("count").over(Window.partitionBy("node")))
+    prefix = rows.where((F.col("before") <= (1 - similarity) * F.col("total") + 1e-6) & (F.col("lo") != F.col("hi")))
+    prefix = checkpointed(prefix.select("node", "root", "shingle"))
+    x, y = prefix.toDF("x", "xr", "shingle"), prefix.toDF("y", "yr", "shingle")
+    return _ordered(x.join(y, "shingle").where("xr < yr"), "x", "y")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Columns key, class_id (the least key of the row's class) and class_texts (how many
     different texts the class has) for each row of ``docs``.
@@ -260,22 +303,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = checkpointed(shingle_sets(texts, "_text").join(needed, "node", "left_semi").dropDuplicates(["node"]))
 
     tested = checkpointed(verified(pairs, sets))
-    links = tested.where(F.col("similarity") >= similarity)
-    roots = checkpointed(components(links))
-
-    # buckets that still hold several components
-    label = roots.select("node", "root")
-    known = shared.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    known = known.join(split, "bucket").withColumns({"a": F.least("node", "leader"), "b": F.greatest("node", "leader")})
-    known = known.join(tested, ["a", "b"], "left").withColumn("far", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(1 - F.col("similarity")))
-    known = checkpointed(known.select("bucket", "node", "root", "far"))
-    x, y = known.toDF("bucket", "x", "xr", "xf"), known.toDF("bucket", "y", "yr", "yf")
-    across = x.join(y, "bucket").where((F.col("xr") < F.col("yr")) & (F.abs(F.col("xf") - F.col("yf")) <= 1 - similarity + 1e-9))
-    rest = checkpointed(_ordered(across, "x", "y").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = verified(rest, sets).where(F.col("similarity") >= similarity).select("a", "b")
-        roots = components(links.select("a", "b").union(more))
+    roots = checkpointed(components(tested.where(F.col("similarity") >= similarity)))
+
+    # hubs: the best-linked member of a bucket meets those that are not yet connected to it
+    left = None
+    for _ in range(HUB_ROUNDS):
+        known = _rooted(shared.select("bucket", "node"), roots)
+        split, size = _split(known)
+        if not size or (left is not None and 2 * size > left):
+            break
+        left = size
+        links = tested.where(F.col("similarity") >= similarity)
+        degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
+        held = checkpointed(known.join(split, "bucket").join(degree, "node", "left").fillna(0, "links"))
+        hub = held.groupBy("bucket").agg(F.max(F.struct("links", F.xxhash64("node").alias("o"), "node", "root")).alias("h"))
+        met = held.join(hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")), "bucket")
+        fresh = _ordered(met.where("root != hub_root"), "node", "hub").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = checkpointed(tested.unionByName(verified(checkpointed(fresh), sets)))
+        roots = checkpointed(components(tested.where(F.col("similarity") >= similarity)))
+
+    # what is still apart, by an exact filter on the shingle sets
+    known = _rooted(shared.select("bucket", "node"), roots)
+    split, size = _split(known)
+    if size:
+        apart = checkpointed(known.join(split, "bucket").select("node", "root").distinct())
+        rest = checkpointed(_prefix_pairs(apart, sets, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        tested = tested.unionByName(verified(rest, sets))
+        roots = components(tested.where(F.col("similarity") >= similarity))
 
     classed = reps.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_texts"))
