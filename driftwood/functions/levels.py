@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftwood.config import LEVELS
+from driftwood.functions.core import let
 
 #: Other words for levels (fixed values): those that free text may use, and those that
 #: only a value of its own may use.
@@ -48,18 +49,21 @@ def in_text(text: Column) -> Column:
 def from_token(token: Column) -> Column:
     """The level of the token after a timestamp: a word, [word], <word>, word: or word,,
     a one-letter code or a syslog priority in angle brackets."""
-    bracketed = token.rlike(r"(?s)^\[.*\]$")
     angled = token.rlike(r"(?s)^<.*>$")
-    inner = F.when(bracketed | angled, F.regexp_replace(token, r"(?s)^.(.*).$", "$1")).otherwise(token)
-    inner = F.regexp_replace(inner, "[:,]+$", "")
-    priority = F.when(angled & inner.rlike("^[0-9]+$"), inner.try_cast("bigint"))
-    by_number = F.element_at(F.array(*map(F.lit, SEVERITIES)), (priority % 8 + 1).cast("int"))
-    return (
-        F.when(inner == "", F.lit(None))
-        .when(angled & inner.rlike("^[0-9]+$"), F.when(priority <= 4_294_967_295, by_number))
-        .when(F.length(inner) == 1, from_letter(inner))
-        .otherwise(from_value(inner))
-    )
+    bare = F.when(token.rlike(r"(?s)^\[.*\]$|^<.*>$"), F.regexp_replace(token, r"(?s)^.(.*).$", "$1")).otherwise(token)
+
+    def named(inner: Column) -> Column:
+        priority = F.substring(inner, 1, 10).try_cast("bigint")
+        by_number = F.try_element_at(F.array(*map(F.lit, SEVERITIES)), (priority % 8 + 1).cast("int"))
+        numeric = angled & inner.rlike("^[0-9]+$")
+        return (
+            F.when(inner == "", F.lit(None))
+            .when(numeric, F.when((F.length(inner) <= 10) & (priority <= 4_294_967_295), by_number))
+            .when(F.length(inner) == 1, from_letter(inner))
+            .otherwise(from_value(inner))
+        )
+
+    return let(F.regexp_replace(bare, "[:,]+$", ""), named)
 
 
 def rank(level: Column) -> Column:

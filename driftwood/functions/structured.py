@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwood.config import LEVEL_KEYS, MESSAGE_KEYS, TIMESTAMP_KEYS
 from driftwood.functions import levels, timestamps
+from driftwood.functions.core import let
 
 _EMPTY = "map<string,struct<kind:string,value:string>>"
 _QUOTED = r'"(?:\\[\s\S]|[^"\\])*+(?:"|\\?$(?![\s\S]))'
@@ -31,10 +32,15 @@ def empty_fields() -> Column:
 
 def _last_wins(entries: Column) -> Column:
     """A map of key-value structs in which a repeated key has its last value."""
-    keys = F.transform(entries, lambda e: e["key"])
-    once = F.size(F.array_distinct(keys)) == F.size(keys)
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]))
-    return F.map_from_entries(F.when(once, entries).otherwise(last))
+
+    def made(e: Column) -> Column:
+        def once(keys: Column) -> Column:
+            last = F.filter(e, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), x["key"]))
+            return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), e).otherwise(last))
+
+        return let(F.transform(e, lambda x: x["key"]), once)
+
+    return let(entries, made)
 
 
 def is_json(text: Column) -> Column:
@@ -59,14 +65,10 @@ def json_fields(text: Column) -> Column:
 
     def typed(e: Column) -> Column:
         v = e["value"]
-        kind = F.call_function("schema_of_variant", v)
-        name = (
-            F.when(kind.isNull() | (kind == "VOID"), "null")
-            .when(kind == "STRING", "string")
-            .when(kind == "BOOLEAN", "bool")
-            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "json")
-            .otherwise("number")
-        )
+        # the type's first word tells the kind
+        kind = F.regexp_extract(F.call_function("schema_of_variant", v), "^[A-Z]+", 0)
+        names = {"": "null", "VOID": "null", "STRING": "string", "BOOLEAN": "bool", "OBJECT": "json", "ARRAY": "json"}
+        name = F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.coalesce(kind, F.lit("VOID"))], F.lit("number"))
         value = F.coalesce(v.cast("string"), F.lit("null"))
         return F.struct(e["key"].alias("key"), F.struct(name.alias("kind"), value.alias("value")).alias("value"))
 
@@ -115,14 +117,21 @@ def extracted(raw: Column, tz_offset_minutes: int, default_message: Column) -> C
     """A struct (instant, default_tz, bad_timestamp, level, message, fields) of typed
     fields.  The first key present decides: a timestamp key whose value is none stays a
     field and is reported, a level key is taken even if it names no level."""
-    ts_key, level_key, message_key = (_first_key(raw, k) for k in (TIMESTAMP_KEYS, LEVEL_KEYS, MESSAGE_KEYS))
-    stamp = timestamps.from_value(raw[ts_key]["value"], tz_offset_minutes)
-    taken = F.array(F.when(stamp["instant"].isNotNull(), ts_key), level_key, message_key)
-    return F.struct(
-        stamp["instant"].alias("instant"),
-        stamp["default_tz"].alias("default_tz"),
-        F.when(ts_key.isNotNull() & stamp["instant"].isNull(), ts_key).alias("bad_timestamp"),
-        levels.from_value(raw[level_key]["value"]).alias("level"),
-        F.coalesce(raw[message_key]["value"], default_message).alias("message"),
-        F.map_filter(raw, lambda k, v: ~F.coalesce(F.array_contains(F.array_compact(taken), k), F.lit(False))).alias("fields"),
-    )
+
+
+    def with_keys(k: Column) -> Column:
+        def made(stamp: Column) -> Column:
+            taken = F.array_compact(F.array(F.when(stamp["instant"].isNotNull(), k["ts"]), k["level"], k["message"]))
+            return F.struct(
+                stamp["instant"].alias("instant"),
+                stamp["default_tz"].alias("default_tz"),
+                F.when(k["ts"].isNotNull() & stamp["instant"].isNull(), k["ts"]).alias("bad_timestamp"),
+                levels.from_value(raw[k["level"]]["value"]).alias("level"),
+                F.coalesce(raw[k["message"]]["value"], default_message).alias("message"),
+                let(taken, lambda t: F.map_filter(raw, lambda key, v: ~F.array_contains(t, key))).alias("fields"),
+            )
+
+        return let(timestamps.from_value(raw[k["ts"]]["value"], tz_offset_minutes), made)
+
+    keys = F.struct(*(_first_key(raw, k).alias(n) for n, k in (("ts", TIMESTAMP_KEYS), ("level", LEVEL_KEYS), ("message", MESSAGE_KEYS))))
+    return let(keys, with_keys)

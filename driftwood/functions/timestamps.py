@@ -13,6 +13,8 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftwood.functions.core import let
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _TIME = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
@@ -81,13 +83,19 @@ def _zone_minutes(zone: Column, default: int) -> Column:
 
 def from_epoch(value: Column) -> Column:
     """Seconds, milliseconds or microseconds, told by magnitude; null below 1e9."""
-    n = F.when(value.rlike("^-?[0-9]+$"), value.try_cast("bigint"))
-    size = F.abs(n.cast("decimal(20,0)"))
-    return F.when(size < 10**9, F.lit(None)).when(size < 10**11, F.timestamp_micros(n * F.lit(10**6).cast("bigint"))).when(size < 10**14, F.timestamp_micros(n * F.lit(1000).cast("bigint"))).otherwise(F.timestamp_micros(n))
+
+    def scaled(n: Column) -> Column:
+        size = F.abs(n.cast("decimal(20,0)"))
+        by = F.when(size < 10**9, None).when(size < 10**11, 10**6).when(size < 10**14, 1000).otherwise(1)
+        return F.timestamp_micros(n * by.cast("bigint"))
+
+    return let(F.when(value.rlike("^-?[0-9]+$"), value.try_cast("bigint")), scaled)
 
 
-_DATED = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)([Zz]|[+-][0-9]{2}:[0-9]{2})$"
-_NAIVE = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[T ]([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]+)?)$"
+#: Year, month, day, time and, if there is one, zone.
+_DATED = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[Tt ]([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]+)?)([Zz]|[+-][0-9]{2}:[0-9]{2})?$"
+#: The same where a zone needs all digits and a missing one an upper-case T.
+_WHOLE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$|^[0-9]{4}-[^t]*[0-9](?<![+-][0-9]{2}:[0-9]{2})$"
 
 
 def from_value(raw: Column, tz_offset_minutes: int = 0) -> Column:
@@ -96,46 +104,66 @@ def from_value(raw: Column, tz_offset_minutes: int = 0) -> Column:
     An integer is an epoch, else a date and time with an offset, else one without, which
     is read at ``tz_offset_minutes``.
     """
-    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
 
-    def parts(pattern: str) -> list[Column]:
-        return [F.regexp_extract(text, pattern, i) for i in range(1, 5)]
+    def dated(text: Column) -> Column:
+        parts = F.split(F.regexp_replace(text, _DATED, "$1|$2|$3|$4|$5"), "[|]", -1)
+
+        def built(p: Column) -> Column:
+            instant = _instant(p[0], p[1], p[2], p[3], _zone_minutes(p[4], tz_offset_minutes))
+            return F.struct(instant.alias("instant"), ((p[4] == "") & instant.isNotNull()).alias("default_tz"))
+
+        return let(parts, built)
 
-    zoned = _instant(*parts(_DATED), _zone_minutes(F.regexp_extract(text, _DATED, 5), 0))
-    naive = _instant(*parts(_NAIVE), F.lit(tz_offset_minutes))
-    is_zoned, is_naive = text.rlike(_DATED), text.rlike(_NAIVE)
-    instant = F.when(text.rlike("^[0-9-]+$") & ~is_naive, from_epoch(text)).when(is_zoned, zoned).when(is_naive, naive)
-    return F.struct(instant.alias("instant"), F.coalesce(is_naive & instant.isNotNull(), F.lit(False)).alias("default_tz"))
+    none = F.struct(F.lit(None).cast("timestamp").alias("instant"), F.lit(False).alias("default_tz"))
+
+    def read(text: Column) -> Column:
+        number = F.struct(from_epoch(text).alias("instant"), F.lit(False).alias("default_tz"))
+        return F.when(text.rlike("^-?[0-9]+$"), number).when(text.rlike(_DATED) & text.rlike(_WHOLE), dated(text)).otherwise(none)
+
+    return F.when(raw.isNull(), none).otherwise(let(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), read))
 
 
 def from_stamp(stamp: Column, shape: Column, tz_offset_minutes: int, reference: datetime | None) -> Column:
     """A struct (instant, default_tz, year_inferred) of a whole prefix timestamp."""
     time = F.regexp_extract(stamp, r"([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)", 1)
-    month_name = F.lower(F.regexp_extract(stamp, r"([A-Za-z]{3})", 1))
-    named = F.array_position(F.array(*map(F.lit, MONTHS)), month_name).cast("int")
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(stamp, r"([A-Za-z]{3})", 1))).cast("string")
     zone = F.regexp_extract(stamp, r":[0-9]{2}(?:\.[0-9]+)? ?(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
-    dated = _instant(F.substring(stamp, 1, 4), F.substring(stamp, 6, 2), F.substring(stamp, 9, 2), time, _zone_minutes(zone, tz_offset_minutes))
-    clf_time = F.substring(stamp, 13, 8)
-    clf = _instant(F.substring(stamp, 8, 4), named, F.substring(stamp, 1, 2), clf_time, _zone_minutes(zone, tz_offset_minutes))
-    inferred = F.lit(None).cast("timestamp")
-    if reference is not None:
-        at = reference if reference.tzinfo else reference.replace(tzinfo=timezone.utc)
-        at = at.astimezone(timezone.utc)
-        digits = F.regexp_replace(stamp, "^[VTDIWEF]", "")
-        is_klog, is_logcat = shape == "klog", shape == "logcat"
-        month = F.when(is_klog | is_logcat, F.substring(digits, 1, 2)).otherwise(named.cast("string"))
-        day = F.when(is_klog, F.substring(digits, 3, 2)).when(is_logcat, F.substring(digits, 4, 2)).otherwise(F.regexp_extract(stamp, "^[A-Za-z]{3} {1,2}([0-9]{1,2})", 1))
-        own, before = (_instant(F.lit(y), month, day, time, F.lit(tz_offset_minutes)) for y in (at.year, at.year - 1))
-        moment = F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
-        inferred = F.when(own <= moment, own).otherwise(before)
-    yearless = shape.isin(*YEARLESS)
-    instant = F.when(yearless, inferred).when(shape == "clf", clf).when(shape == "epoch", from_epoch(stamp)).otherwise(dated)
-    default_tz = yearless | ((shape != "epoch") & (zone == ""))
-    return F.struct(instant.alias("instant"), F.coalesce(default_tz, F.lit(False)).alias("default_tz"), F.coalesce(yearless, F.lit(False)).alias("year_inferred"))
+    clf, klog, logcat = shape == "clf", shape == "klog", shape == "logcat"
+    digits = F.regexp_replace(stamp, "^[VTDIWEF]", "")
+    parts = F.struct(
+        F.when(clf, F.substring(stamp, 8, 4)).otherwise(F.substring(stamp, 1, 4)).alias("year"),
+        F.when(clf | (shape == "syslog3164"), named).when(klog | logcat, F.substring(digits, 1, 2)).otherwise(F.substring(stamp, 6, 2)).alias("month"),
+        F.when(clf, F.substring(stamp, 1, 2))
+        .when(klog, F.substring(digits, 3, 2))
+        .when(logcat, F.substring(stamp, 4, 2))
+        .when(shape == "syslog3164", F.regexp_extract(stamp, "^[A-Za-z]{3} {1,2}([0-9]{1,2})", 1))
+        .otherwise(F.substring(stamp, 9, 2))
+        .alias("day"),
+        F.when(clf, F.substring(stamp, 13, 8)).otherwise(time).alias("time"),
+        zone.alias("zone"),
+        shape.isin(*YEARLESS).alias("yearless"),
+    )
+
+    def built(p: Column) -> Column:
+        dated = _instant(p["year"], p["month"], p["day"], p["time"], _zone_minutes(p["zone"], tz_offset_minutes))
+        instant = dated
+        if reference is not None:
+            at = (reference if reference.tzinfo else reference.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
+            own, before = (_instant(F.lit(y), p["month"], p["day"], p["time"], F.lit(tz_offset_minutes)) for y in (at.year, at.year - 1))
+            moment = F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
+            instant = F.when(p["yearless"], let(own, lambda o: F.when(o <= moment, o).otherwise(before))).otherwise(dated)
+        else:
+            instant = F.when(~p["yearless"], dated)
+        default_tz = p["yearless"] | (p["zone"] == "")
+        return F.struct(instant.alias("instant"), default_tz.alias("default_tz"), p["yearless"].alias("year_inferred"))
+
+    epoch = F.struct(from_epoch(stamp).alias("instant"), F.lit(False).alias("default_tz"), F.lit(False).alias("year_inferred"))
+    return F.when(shape == "epoch", epoch).when(shape.isNotNull(), let(parts, built))
 
 
 def rfc3339(instant: Column) -> Column:
     """As ``2026-08-08T17:42:01+00:00``, with 3 or 6 digits of a second if it has them."""
-    micros = F.pmod(F.unix_micros(instant), F.lit(1_000_000))
-    part = F.when(micros == 0, "").when(micros % 1000 == 0, F.concat(F.lit("."), F.lpad((micros / 1000).cast("int").cast("string"), 3, "0"))).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
-    return F.concat(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    # no fraction, or three or six digits of it
+    return F.concat(F.regexp_replace(whole, r"\.000000$|(?<=\.[0-9]{3})000$", ""), F.lit("+00:00"))
