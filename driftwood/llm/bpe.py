@@ -25,7 +25,7 @@ from driftwood.llm.arrow import add_columns, texts_of
 from driftwood.llm.token_counts import RARE, byte_letters
 
 #: Words kept in a worker's cache, and characters of text handled at a time.
-CACHE_SIZE, SLICE_CHARS = 300_000, 1_500_000
+CACHE_SIZE, SLICE_CHARS = 150_000, 800_000
 
 
 class WordBpe:
