@@ -55,26 +55,27 @@ def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: C
     keys = F.array(*map(F.lit, ("log", "stream", "time")))
     strings = F.forall(keys, lambda k: m[k]["kind"] == "string")
     df = df.withColumn("_docker", F.coalesce((F.size("_members") == 3) & strings, F.lit(False)))
-    df = df.withColumn("_log", F.when(F.col("_docker"), F.regexp_replace(F.col("_members")["log"]["value"], "[\n\r]+$", "")))
-    df = with_plain(df, "_log", "_plain", tz, reference, config)
-    m, inner = F.col("_members"), F.col("_plain")
-    outer = structured.extracted(m, tz, F.lit(""))
-    df = df.withColumn("_own", F.when(~F.col("_docker"), outer)).withColumn("_time", timestamps.from_value(m["time"]["value"], tz))
-    stream = F.create_map(F.lit("stream"), m["stream"])
-    late = inner["instant"].isNull()
+    m = F.col("_members")
+    reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json")
+    own = df.where(~F.col("_docker")).withColumn("_own", structured.extracted(m, tz, F.lit("")))
+    own = own.withColumn("_reason", F.coalesce(reason, F.when(F.col("_own.bad_timestamp").isNotNull(), "unparsable_timestamp")))
+    own = own.withColumn("_detail", F.col("_own.bad_timestamp")).withColumn("_own", F.col("_own").withField("year_inferred", F.lit(False)))
+    # records of a container's log: the line inside is parsed as the plain line it is
+    wrapped = df.where(F.col("_docker")).withColumn("_log", F.regexp_replace(m["log"]["value"], "[\n\r]+$", ""))
+    wrapped = wrapped.withColumn("_time", timestamps.from_value(m["time"]["value"], tz)).withColumn("_stream", F.create_map(F.lit("stream"), m["stream"]))
+    wrapped = with_plain(wrapped, "_log", "_plain", tz, reference, config)
+    inner, late = F.col("_plain"), F.col("_plain.instant").isNull()
     unwrapped = F.struct(
         F.coalesce(inner["instant"], F.col("_time.instant")).alias("instant"),
         F.when(late, F.col("_time.default_tz")).otherwise(inner["default_tz"]).alias("default_tz"),
         F.when(late, F.lit(False)).otherwise(inner["year_inferred"]).alias("year_inferred"),
         inner["level"].alias("level"),
         inner["message"].alias("message"),
-        F.map_concat(F.map_filter(inner["fields"], lambda k, v: k != "stream"), stream).alias("fields"),
+        F.map_concat(F.map_filter(inner["fields"], lambda k, v: k != "stream"), F.col("_stream")).alias("fields"),
     )
-    own = F.struct(F.col("_own.instant").alias("instant"), F.col("_own.default_tz").alias("default_tz"), F.lit(False).alias("year_inferred"), F.col("_own.level").alias("level"), F.col("_own.message").alias("message"), F.col("_own.fields").alias("fields"))
-    df = df.withColumn("_entry", F.when(F.col("_docker"), unwrapped).otherwise(own))
-    reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json").when(F.col("_own.bad_timestamp").isNotNull(), "unparsable_timestamp")
-    df = df.withColumn("_reason", reason).withColumn("_detail", F.col("_own.bad_timestamp"))
-    return _entries(df, "_entry")
+    none = F.lit(None).cast("string")
+    wrapped = wrapped.withColumn("_wrapped", unwrapped).withColumn("_reason", none).withColumn("_detail", none)
+    return _entries(own, "_own").unionByName(_entries(wrapped, "_wrapped"))
 
 
 def _parse_logfmt(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:

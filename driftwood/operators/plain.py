@@ -107,7 +107,7 @@ def with_plain(df: DataFrame, text: str, as_: str, tz_offset_minutes: int, refer
 
 
 #: Columns of callers that begin like the ones made on the way.
-_CARRIED = ("_log", "_docker", "_members", "_ok", "_plain")
+_CARRIED = ("_time", "_stream")
 
 
 def prefix_only(line: Column, reference: datetime | None, config: Config, tz_offset_minutes: int = 0) -> Column:

@@ -1,6 +1,387 @@
-"""The registered log queries and their SQL."""
+"""The registered log queries over the driver's tables, and their SQL.
+
+Each renders a table to log lines, parses them and asks something of the entries; the SQL
+computes the same answer from the table's own columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftwood.config import Config
+from driftwood.functions import levels
+from driftwood.operators import inventory, search, stats, timeline
+from driftwood.operators.detect import detect, is_blank
+from driftwood.operators.parse import parse
+from driftwood.operators.search import Search, compile_search, in_range, matches_facets, matching
+from driftwood.plans import render
+from driftwood.plans.spec import parse_spec
+from driftwood.sources import lines as sources
+
+REFERENCE = datetime(2024, 12, 31, 23, 59, 59)
+DAY = 86_400_000
+START = 1_704_067_200_000  # 2024-01-01
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' WHEN 'click' THEN 'DEBUG' ELSE 'TRACE' END"
+_MS = "(epoch_us(ts) // 1000)"
+_SEC = "(epoch_us(ts) // 1000000 * 1000)"
+
+
+def query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _json(spark, d):
+    return parse(render.json_lines(render.events(spark, d)), "json").entries
+
+
+def _logfmt(spark, d):
+    return parse(render.logfmt_lines(render.events(spark, d)), "logfmt").entries
+
+
+def _plain(spark, d):
+    return parse(render.plain_lines(render.events(spark, d)), "plain").entries
+
+
+def _field(name: str):
+    return F.col("fields")[name]["value"]
+
+
+@query(f"SELECT {_LEVEL} AS level, count(*) AS n FROM events GROUP BY 1")
+def json_parse_levels(spark, d):
+    return inventory.level_counts(_json(spark, d))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_MS} AS ts_ms, {_LEVEL} AS level, 'event of \"' || event_type || '\"' AS message, CAST(user_id AS VARCHAR) AS user_text, event_type AS kind FROM events")
+def logfmt_parse_fields(spark, d):
+    return _logfmt(spark, d).select("ordinal", "ts_ms", "level", "message", _field("user").alias("user_text"), _field("kind").alias("kind"))
+
+
+@query("SELECT event_id + 1 AS ordinal, event_type AS kind, 'number' AS user_kind, CAST(user_id AS VARCHAR) AS user_text, 'json' AS props_kind, replace(props, ' ', '') AS props_text FROM events")
+def nested_json_kind(spark, d):
+    f = F.col("fields")
+    return _json(spark, d).select("ordinal", _field("kind").alias("kind"), f["user"]["kind"].alias("user_kind"), _field("user").alias("user_text"), f["props"]["kind"].alias("props_kind"), _field("props").alias("props_text"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_MS} AS ts_ms, {_LEVEL} AS level, 'user ' || user_id || ' did ' || event_type AS message FROM events")
+def plain_iso_parse(spark, d):
+    return _plain(spark, d).select("ordinal", "ts_ms", "level", "message")
+
+
+def _shaped(spark, d, text, **more):
+    rows = render.as_lines(render.events(spark, d), text)
+    found = parse(rows, "plain", reference=REFERENCE, **more).entries
+    return found.select("ordinal", "ts_ms", "level", "message", "timestamp_used_default_tz", "timestamp_year_inferred")
+
+
+def _shape_sql(ms: str, level: str, message: str, tz: bool, year: bool) -> str:
+    return f"SELECT event_id + 1 AS ordinal, {ms} AS ts_ms, {level} AS level, {message} AS message, {tz} AS timestamp_used_default_tz, {year} AS timestamp_year_inferred FROM events"
+
+
+@query(_shape_sql(_SEC, _LEVEL, "event_type", True, False))
+def plain_slash_parse(spark, d):
+    return _shaped(spark, d, F.concat(render.stamp("yyyy/MM/dd HH:mm:ss"), F.lit(" ["), render.word(), F.lit("] "), "event_type"))
+
+
+@query(_shape_sql(_SEC, "CAST(NULL AS VARCHAR)", "'host app[' || user_id || ']: did ' || event_id", True, True))
+def plain_syslog_parse(spark, d):
+    return _shaped(spark, d, F.concat(render.stamp("MMM"), F.lpad(F.dayofmonth("ts").cast("string"), 3, " "), render.stamp(" HH:mm:ss"), F.lit(" host app["), "user_id", F.lit("]: did "), "event_id"))
+
+
+@query(_shape_sql(_MS, "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END", "'1 main.go:10] ' || event_id", True, True))
+def plain_klog_parse(spark, d):
+    letter = F.when(F.col("event_type") == "error", "E").when(F.col("event_type") == "purchase", "W").otherwise("I")
+    return _shaped(spark, d, F.concat(letter, render.stamp("MMdd HH:mm:ss.SSS"), F.lit("       1 main.go:10] "), "event_id"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_MS} AS ts_ms, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'DEBUG' END AS level, 'did ' || event_id AS message, 'Tag' || (user_id % 7) AS tag, CAST(user_id AS VARCHAR) AS pid, CASE WHEN event_id % 2 = 0 THEN 'u0_a' || (user_id % 9) END AS uid FROM events")
+def plain_logcat_parse(spark, d):
+    uid = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" u0_a"), (F.col("user_id") % 9).cast("string"))).otherwise("")
+    letter = F.when(F.col("event_type") == "error", "E").otherwise("D")
+    text = F.concat(render.stamp("MM-dd HH:mm:ss.SSS"), uid, F.lit("  "), "user_id", F.lit("   995 "), letter, F.lit(" Tag"), (F.col("user_id") % 7).cast("string"), F.lit(": did "), "event_id")
+    found = parse(render.as_lines(render.events(spark, d), text), "plain", reference=REFERENCE).entries
+    return found.select("ordinal", "ts_ms", "level", "message", _field("tag").alias("tag"), _field("pid").alias("pid"), _field("uid").alias("uid"))
+
+
+@query(_shape_sql(f"{_SEC} + 7 * 3600000", "CAST(NULL AS VARCHAR)", "'10.0.0.' || (user_id % 250) || ' - - \"GET /x HTTP/1.1\" 200 ' || event_id", False, False))
+def plain_clf_parse(spark, d):
+    return _shaped(spark, d, F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"), F.lit(" - - ["), render.stamp("dd/MMM/yyyy:HH:mm:ss"), F.lit(' -0700] "GET /x HTTP/1.1" 200 '), "event_id"))
+
+
+@query(_shape_sql(_SEC, _LEVEL, "event_type", False, False))
+def plain_epoch_parse(spark, d):
+    return _shaped(spark, d, F.concat(F.unix_seconds("ts").cast("string"), F.lit(" "), render.word(), F.lit(": "), "event_type"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_SEC} - CASE WHEN ts > TIMESTAMP '2024-01-15 00:00:00' THEN 31622400000 - 86400000 ELSE 0 END AS ts_ms FROM events")
+def year_rollover(spark, d):
+    rows = render.as_lines(render.events(spark, d), F.concat(render.stamp("MMM dd HH:mm:ss"), F.lit(" host app: x")))
+    return parse(rows, "plain", reference=datetime(2024, 1, 15)).entries.select("ordinal", "ts_ms")
+
+
+@query(f"SELECT event_id + 1 AS ordinal, 'WARN' AS level, '' AS message, json_extract_string(props, '$.k') AS k FROM events")
+def payload_json_behind_prefix(spark, d):
+    rows = render.as_lines(render.events(spark, d), F.concat(render.iso("' '"), F.lit(" WARN "), "props"))
+    return parse(rows, "plain").entries.select("ordinal", "level", "message", _field("k").alias("k"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, 'ERROR' AS level, event_type AS message, CAST(user_id AS VARCHAR) AS user_text FROM events")
+def payload_logfmt(spark, d):
+    rows = render.as_lines(render.events(spark, d), F.concat(render.iso(), F.lit('Z host app: level=error msg="'), "event_type", F.lit('" user='), "user_id"))
+    return parse(rows, "plain").entries.select("ordinal", "level", "message", _field("user").alias("user_text"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_SEC} + CASE WHEN event_id % 3 = 0 THEN 5000 ELSE 0 END AS ts_ms, event_id % 3 = 0 AS conflict FROM events")
+def prefix_payload_conflict(spark, d):
+    events = render.events(spark, d).withColumn("inner", F.when(F.col("event_id") % 3 == 0, F.expr("ts + interval 5 seconds")).otherwise(F.col("ts")))
+    text = F.concat(render.stamp("yyyy-MM-dd HH:mm:ss"), F.lit(' INFO {"ts":"'), F.date_format("inner", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z","msg":"m"}'))
+    return parse(render.as_lines(events, text), "plain").entries.select("ordinal", "ts_ms", _field("prefix_ts").isNotNull().alias("conflict"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_LEVEL} AS level, event_type AS message, 'stdout' AS stream, {_MS} AS ts_ms FROM events")
+def docker_unwrap(spark, d):
+    body = F.struct(F.concat(render.word(), F.lit(" "), "event_type", F.lit("\n")).alias("log"), F.lit("stdout").alias("stream"), F.concat(render.iso(), F.lit("Z")).alias("time"))
+    found = parse(render.as_lines(render.events(spark, d), F.to_json(body)), "json").entries
+    # without a prefix the level is found by the scan, which knows neither all words
+    level = F.coalesce("level", F.when(F.col("message").startswith("notice"), "INFO"))
+    return found.select("ordinal", level.alias("level"), F.regexp_replace("message", "^[A-Za-z]+ ", "").alias("message"), _field("stream").alias("stream"), "ts_ms")
+
+
+@query("SELECT * FROM (VALUES ('json', 'json', 1.0, 'threshold', NULL, NULL), ('logfmt', 'logfmt', 1.0, 'threshold', NULL, NULL), ('plain', 'plain', 1.0, 'threshold', 'iso8601', 0)) AS t(source, format, match_fraction, outcome, timestamp_shape, timestamp_offset)")
+def detect_format(spark, d):
+    events = render.events(spark, d)
+    rows = [f(events).withColumn("source", F.lit(s)) for s, f in (("json", render.json_lines), ("logfmt", render.logfmt_lines), ("plain", render.plain_lines))]
+    return detect(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+@query("SELECT * FROM (SELECT 'invalid_json' AS reason, count(*) FILTER (event_id % 7 = 0) AS n FROM events UNION ALL SELECT 'non_object_json', count(*) FILTER (event_id % 7 = 1) FROM events UNION ALL SELECT 'unparsable_timestamp', count(*) FILTER (event_id % 7 = 2) FROM events) WHERE n > 0")
+def malformed_diagnostics(spark, d):
+    k = F.col("event_id") % 7
+    text = F.when(k == 0, '{"a":').when(k == 1, "[1]").when(k == 2, '{"ts":"yesterday"}').otherwise('{"a":1}')
+    return stats.diagnostic_counts(parse(render.as_lines(render.events(spark, d), text), "json"))
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE event_type IN ('error', 'click') AND user_id IN (1, 2, 3, 50)")
+def facet_or_and(spark, d):
+    return _json(spark, d).where(matches_facets({"kind": ["error", "click"], "user": ["1", "2", "3", "50"], "level": []})).select("ordinal")
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE contains(lower('event ' || event_type), 'nt pur') OR contains(CAST(user_id AS VARCHAR), 'nt pur')")
+def search_substring(spark, d):
+    return matching(_json(spark, d), {}, compile_search("NT pur")).select("ordinal")
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE regexp_matches('user ' || user_id || ' did ' || event_type, '[0-9]7 did (view|cl)')")
+def search_regex(spark, d):
+    return matching(_plain(spark, d), {}, Search("regex", "[0-9]7 did (view|cl)")).select("ordinal")
+
+
+@query(f"SELECT event_id + 1 AS ordinal FROM events WHERE {_MS} >= {START + 3 * DAY} AND {_MS} < {START + 5 * DAY}")
+def range_half_open(spark, d):
+    return _json(spark, d).where(in_range(START + 3 * DAY, START + 5 * DAY)).select("ordinal")
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE event_type = 'error' AND contains('event error', 'err')")
+def field_token_promotion(spark, d):
+    facets, rest = search.split_facets("kind=error err", {"level", "kind", "user"})
+    by = {k: [v for f, v in facets if f == k] for k, _ in facets}
+    return matching(_json(spark, d), by, compile_search(rest)).select("ordinal")
+
+
+@query(f"SELECT event_id + 1 AS ordinal FROM events WHERE event_type IN ('error', 'view') AND {_MS} >= {START} AND {_MS} < {START + DAY}")
+def query_spec(spark, d):
+    spec = parse_spec(f"range={START}%2C{START + DAY}&filter=kind%3Derror&filter=kind%3Dview").spec
+    return spec.apply(_json(spark, d)).select("ordinal")
+
+
+@query("SELECT 'kind' AS field, event_type AS value, count(*) AS n, (SELECT count(*) FROM events) AS count, false AS high_cardinality FROM events GROUP BY 2 UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*), (SELECT count(*) FROM events), false FROM events GROUP BY 2")
+def inventory_counts(spark, d):
+    return inventory.inventory(_logfmt(spark, d), Config(value_cap=1_000_000)).select("field", "value", "n", "count", "high_cardinality")
+
+
+@query("""
+WITH v AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first) AS k FROM v),
+cut AS (SELECT first AS at FROM r WHERE k = 21)
+SELECT CAST(e.user_id AS VARCHAR) AS value, count(*) AS n, (SELECT count(*) FROM events) AS count, true AS high_cardinality
+FROM events e JOIN r ON r.user_id = e.user_id AND r.k <= 20 WHERE e.event_id < (SELECT at FROM cut) GROUP BY 1""")
+def inventory_capped(spark, d):
+    return inventory.inventory(_logfmt(spark, d), Config(value_cap=20)).where("field = 'user'").select("value", "n", "count", "high_cardinality")
+
+
+@query(f"SELECT {_LEVEL} AS level, count(*) AS n FROM events GROUP BY 1")
+def level_counts(spark, d):
+    return inventory.level_counts(_plain(spark, d))
+
+
+@query(f"SELECT 'level' AS field, {_LEVEL} AS value, count(*) AS n, false AS typed FROM events GROUP BY 2 UNION ALL SELECT 'level', 'FATAL', 0, false UNION ALL SELECT 'kind', event_type, count(*), false FROM events GROUP BY 2 UNION ALL SELECT 'user', NULL, NULL, true")
+def facet_model(spark, d):
+    return inventory.facet_model(_logfmt(spark, d), {"level": ["FATAL"]}).select("field", "value", "n", "typed")
+
+
+@query(f"""
+SELECT CAST(b AS INTEGER) AS bucket, {START} + b * {DAY} AS start_ms, count(event_id) AS total, count(event_id) FILTER (event_type = 'error') AS matching
+FROM generate_series(0, 34) AS g(b) LEFT JOIN events ON floor(({_MS} - {START}) / {DAY}) = b GROUP BY b""")
+def histogram_filtered_vs_total(spark, d):
+    return timeline.histogram(_json(spark, d), START, DAY, 35, {"level": ["ERROR"]})
+
+
+@query(f"""
+WITH s AS (SELECT {_MS} AS t, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT ts FROM events UNION ALL SELECT TIMESTAMP '1970-01-02 00:00:00')),
+q AS (SELECT max(t) FILTER (i = n // 4) AS q1, max(t) FILTER (i = least(n - 1, 3 * n // 4)) AS q3 FROM s)
+SELECT min(t) FILTER (ok) AS min_ms, max(t) FILTER (ok) AS max_ms, count(*) FILTER (NOT ok) AS outliers
+FROM (SELECT t, t >= q1 - 1.5 * (q3 - q1) AND t <= q3 + 1.5 * (q3 - q1) AS ok FROM s, q)""")
+def robust_span(spark, d):
+    odd = _json(spark, d).select("ts_ms").unionByName(spark.createDataFrame([(DAY,)], "ts_ms bigint"))
+    low, high, outliers = timeline.robust_span(odd)
+    return spark.createDataFrame([(low, high, outliers)], "min_ms bigint, max_ms bigint, outliers bigint")
+
+
+@query(f"SELECT min({_MS}) AS min_ms, max({_MS}) AS max_ms, count(*) AS n FROM events")
+def full_span(spark, d):
+    return timeline.full_span(_json(spark, d))
+
+
+@query(f"""
+SELECT count(*) AS total, count(*) FILTER (event_id % 5 <> 0) AS timestamped, count(*) FILTER (event_id % 5 = 0) AS timestampless,
+count(*) FILTER (event_type = 'view') AS matching, count(*) FILTER (event_type = 'view' AND event_id % 5 <> 0 AND {_MS} < {START + 10 * DAY}) AS in_range,
+count(*) FILTER (event_type = 'view' AND event_id % 5 <> 0 AND {_MS} < {START + 10 * DAY}) AS shown FROM events""")
+def view_counts(spark, d):
+    text = F.concat(F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("ts="), render.iso(), F.lit("Z "))), F.lit("kind="), "event_type")
+    return stats.counts(parse(render.as_lines(render.events(spark, d), text), "logfmt").entries, {"kind": ["view"]}, Search(), START, START + 10 * DAY)
+
+
+def _chained(spark, d):
+    return parse(render.chained_lines(render.events(spark, d)), "plain").entries
+
+
+_FRAMES = "SELECT e.*, i, e.event_id * 6 + i + 1 AS ordinal, e.event_id * 6 + 1 AS root FROM events e, generate_series(0, 4) AS g(i) WHERE i <= CASE WHEN event_type = 'error' THEN event_id % 5 ELSE 0 END"
+
+
+@query(f"SELECT ordinal, CASE WHEN i > 0 THEN root END AS continuation_of FROM ({_FRAMES})")
+def chain_link(spark, d):
+    return _chained(spark, d).select("ordinal", "continuation_of")
+
+
+@query(f"SELECT root AS event, count(*) AS lines FROM ({_FRAMES}) GROUP BY 1")
+def chain_size(spark, d):
+    return search.chain_sizes(_chained(spark, d)).select("event", "lines")
+
+
+@query(f"SELECT ordinal FROM ({_FRAMES}) WHERE event_type = 'error'")
+def chain_filter(spark, d):
+    return matching(_chained(spark, d), {"level": ["ERROR"]}).select("ordinal")
+
+
+@query(f"SELECT ordinal FROM ({_FRAMES}) WHERE event_type = 'error' AND event_id % 5 >= 3")
+def chain_search(spark, d):
+    return matching(_chained(spark, d), {"level": ["ERROR"]}, compile_search("FRAME3(")).select("ordinal")
+
+
+@query(f"SELECT CAST(floor(({_MS} - {START}) / {DAY}) AS INTEGER) AS bucket, count(*) AS total FROM events GROUP BY 1")
+def chain_histogram(spark, d):
+    return timeline.histogram(_chained(spark, d), START, DAY, 35).where("total > 0").select("bucket", "total")
+
+
+def _logcat(spark, d, message, seconds="10 - event_id % 10"):
+    events = render.events(spark, d)
+    text = F.concat(F.lit("01-02 03:04:"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit(".123   806   "), (F.floor(F.col("event_id") / 10)).cast("string"), F.lit(" E App:"), message)
+    return parse(render.as_lines(events, text), "plain", reference=REFERENCE).entries
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 10 BETWEEN 1 AND 4 THEN event_id - event_id % 10 + 1 END AS continuation_of FROM events")
+def brace_chain(spark, d):
+    k = F.col("event_id") % 10
+    return _logcat(spark, d, F.when(k == 0, " body {").when(k == 1, ' "a": {').when(k == 3, " }").when(k == 4, " }").otherwise(" line")).select("ordinal", "continuation_of")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 10 BETWEEN 1 AND 6 THEN event_id - event_id % 10 + 1 END AS continuation_of FROM events")
+def logcat_chain(spark, d):
+    k = F.col("event_id") % 10
+    return _logcat(spark, d, F.when(k == 0, " fatal").when(k == 1, " java.lang.SomeException: x").when(k <= 6, "   at a.b").otherwise(" noise")).select("ordinal", "continuation_of")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 6 BETWEEN 1 AND 4 THEN event_id - event_id % 6 + 1 END AS continuation_of FROM events")
+def python_chain(spark, d):
+    k = F.col("event_id") % 6
+    text = F.when(k == 0, "2026-08-08T17:42:01Z ERROR x").when(k == 1, "Traceback (most recent call last):").when(k == 2, '  File "a.py", line 3, in f').when(k == 3, "    g()").when(k == 4, "ValueError: no").otherwise("prose")
+    return parse(render.as_lines(render.events(spark, d), text), "plain").entries.select("ordinal", "continuation_of")
+
+
+@query("SELECT count(*) FILTER (event_id % 30 BETWEEN 1 AND 10) AS linked, count(*) FILTER (event_id % 30 = 11) AS truncated FROM events")
+def chain_cap(spark, d):
+    text = F.when(F.col("event_id") % 30 == 0, "2026-08-08T17:42:01Z ERROR x").otherwise("  at a.b")
+    result = parse(render.as_lines(render.events(spark, d), text), "plain", config=Config(chain_cap=10))
+    linked = result.entries.agg(F.count("continuation_of").alias("linked"))
+    return linked.crossJoin(result.diagnostics.agg(F.count_if(F.col("reason") == "chain_truncated").alias("truncated")))  # one row each
+
+
+_DOC_LINES = "SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS x FROM documents WHERE text <> '')"
+
+
+@query(f"SELECT count(*) AS total_lines, count(*) FILTER (regexp_matches(x, '^\\s*$')) AS blank_lines, count(*) FILTER (NOT regexp_matches(x, '^\\s*$')) AS entries FROM ({_DOC_LINES})")
+def blank_accounting(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return stats.accounting(parse(sources.from_texts(docs, "text", "doc_id"), "plain")).select("total_lines", "blank_lines", "entries")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS source, count(*) AS lines, count(*) FILTER (regexp_matches(x, '(?i)(^|[^A-Za-z])(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|ERR|FATAL|CRITICAL)([^A-Za-z=]|$)')) AS levelled FROM ({_DOC_LINES}) WHERE NOT regexp_matches(x, '^\\s*$') GROUP BY 1")
+def doc_lines_plain_scan(spark, d):
+    rows = sources.from_texts(spark.read.parquet(f"{d}/documents.parquet"), "text", "doc_id").where(~is_blank(F.col("text")))
+    return rows.groupBy("source").agg(F.count("*").alias("lines"), F.count_if(levels.in_text(F.col("text")).isNotNull()).alias("levelled"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS source, CAST(len(string_split(regexp_replace(html, '\\n$', ''), chr(10))) AS BIGINT) AS last FROM pages WHERE html <> ''")
+def pages_lines(spark, d):
+    rows = sources.from_texts(spark.read.parquet(f"{d}/pages.parquet"), "html", "page_id")
+    return rows.groupBy("source").agg(F.max("ordinal").alias("last"))
+
+
+@query("SELECT event_id AS seq, event_id - prev - 1 AS missing FROM (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS prev FROM events WHERE event_id % 11 <> 3) WHERE event_id - prev > 1")
+def gap_detection(spark, d):
+    from driftwood.streaming.live import gaps
+
+    kept = render.events(spark, d).where("event_id % 11 != 3").select(F.lit("s").alias("source"), F.col("event_id").alias("seq"))
+    return gaps(kept).select("seq", "missing")
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE event_id + 1 > (SELECT max(event_id) + 1 - 500 FROM events)")
+def retention_tail(spark, d):
+    return stats.tail(render.as_lines(render.events(spark, d), F.col("event_type")), 500).select("ordinal")
+
+
+@query(f"SELECT {_SEC} AS second_ms, count(*) AS lines FROM events GROUP BY 1")
+def rate_per_second(spark, d):
+    events = render.events(spark, d)
+    return events.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("lines")).select(F.unix_millis("w.start").alias("second_ms"), "lines")
+
+
+@query("SELECT event_id AS seq, event_type AS text FROM events WHERE event_id < 700")
+def snapshot_live_dedup(spark, d):
+    from driftwood.streaming.live import merged
+
+    rows = render.events(spark, d).select(F.lit("s").alias("source"), F.lit(0).alias("epoch"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
+    return merged(rows.where("seq < 500"), rows.where("seq >= 400 AND seq < 700")).select("seq", "text")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_type = 'error' THEN '[(6,11)]' ELSE '[]' END AS ranges FROM events")
+def match_highlight(spark, d):
+    found = search.match_ranges(F.col("message"), compile_search("Error"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(found, lambda r: F.concat(F.lit("("), r["start"].cast("string"), F.lit(","), r["end"].cast("string"), F.lit(")"))), ","), F.lit("]"))
+    return _json(spark, d).select("ordinal", text.alias("ranges"))
+
+
+@query("SELECT 'events' AS source, count(*) FILTER (event_id % 4 <> 0) AS entry_count, count(*) FILTER (event_id % 4 = 0) AS warnings FROM events")
+def json_line_counts(spark, d):
+    text = F.when(F.col("event_id") % 4 == 0, "{oops").when(F.col("event_id") % 4 == 1, "[1]").when(F.col("event_id") % 4 == 2, "17").otherwise('{"a":"b"}')
+    return sources.json_line_counts(render.as_lines(render.events(spark, d), text))
