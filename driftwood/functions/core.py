@@ -15,3 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     of trees grow beyond what a plan can hold.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def settled(value: Column) -> Column:
+    """For one column of a ``select``: ``value``, computed here and nowhere else.
+
+    Filters above are not pushed through the generator that this makes, so what is asked
+    of a parsed value does not parse it again, and the planner need not reason about it.
+    """
+    return F.explode_outer(F.array(value))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwood.config import FORMATS, Config
 from driftwood.functions import levels, structured, timestamps
+from driftwood.functions.core import settled
 from driftwood.operators import chains
 from driftwood.operators.detect import detect, is_blank
 from driftwood.operators.plain import with_plain
@@ -31,9 +32,7 @@ class ParseResult:
 
 def _entries(df: DataFrame, p: str) -> DataFrame:
     """The columns of entries from a struct column, and what diagnostics need."""
-    return df.select(
-        "source",
-        "ordinal",
+    entry = F.struct(
         F.col(f"{p}.instant").alias("timestamp"),
         F.coalesce(f"{p}.default_tz", F.lit(False)).alias("timestamp_used_default_tz"),
         F.coalesce(f"{p}.year_inferred", F.lit(False)).alias("timestamp_year_inferred"),
@@ -45,6 +44,7 @@ def _entries(df: DataFrame, p: str) -> DataFrame:
         F.col("_reason"),
         F.col("_detail"),
     )
+    return df.select("source", "ordinal", settled(entry).alias("_e")).select("source", "ordinal", "_e.*")
 
 
 def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
@@ -55,6 +55,7 @@ def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: C
     keys = F.array(*map(F.lit, ("log", "stream", "time")))
     strings = F.forall(keys, lambda k: m[k]["kind"] == "string")
     df = df.withColumn("_docker", F.coalesce((F.size("_members") == 3) & strings, F.lit(False)))
+    df = df.select("source", "ordinal", settled(F.struct("_ok", "_members", "_docker")).alias("_j")).select("source", "ordinal", "_j.*")
     m = F.col("_members")
     reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json")
     own = df.where(~F.col("_docker")).withColumn("_own", structured.extracted(m, tz, F.lit("")))

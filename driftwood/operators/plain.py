@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwood.config import Config
 from driftwood.functions import levels, structured, timestamps
+from driftwood.functions.core import settled
 
 #: What a plain parse adds to a frame (each behind a prefix of the caller's).
 PARTS = ("instant", "default_tz", "year_inferred", "level", "message", "fields", "shape", "offset", "rest_raw", "identity")
@@ -103,7 +104,7 @@ def with_plain(df: DataFrame, text: str, as_: str, tz_offset_minutes: int, refer
         F.col("_identity").alias("identity"),
     )
     kept = [c for c in df.columns if not c.startswith("_") or c in _CARRIED]
-    return df.select(*kept, made.alias(as_))
+    return df.select(*kept, settled(made).alias(as_))
 
 
 #: Columns of callers that begin like the ones made on the way.
