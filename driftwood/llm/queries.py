@@ -41,6 +41,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftwood.llm.warc import derivatives, responses
+
+    made = derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet"), "2024-01-01T00:00:00Z"))
+    return made.select(F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "content_length", "block_digest", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftwood.llm.pii import KINDS, personal_data
 
@@ -126,6 +133,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_chat": op5_chat,
     "op6_near_dedup": op6_near_dedup,

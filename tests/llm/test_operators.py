@@ -148,7 +148,7 @@ def test_near_duplicates(docs, none, spark):
 
 
 def test_probability_jaccard():
-    from driftwood.llm.near_dedup import prob_min_hash, probability_jaccard
+    from driftwood.llm.near_dedup import mixed, prob_min_hash, probability_jaccard
 
     rng = np.random.default_rng(0)
     a, b = np.arange(0, 60, dtype=np.uint64), np.arange(20, 80, dtype=np.uint64)
@@ -156,7 +156,7 @@ def test_probability_jaccard():
     xs, ys = dict(zip(a.tolist(), x.tolist())), dict(zip(b.tolist(), y.tolist()))
     want = sum(1 / sum(max(xs.get(j, 0) / xs[i], ys.get(j, 0) / ys[i]) for j in {*xs, *ys}) for i in {*xs} & {*ys})
     assert probability_jaccard(a, x, b, y) == pytest.approx(want)
-    signs = prob_min_hash([a * np.uint64(0x9E3779B97F4A7C15), b * np.uint64(0x9E3779B97F4A7C15)], [x, y], 4096)
+    signs = prob_min_hash([mixed(a + np.uint64(1)), mixed(b + np.uint64(1))], [x, y], 4096)
     assert (signs[0] == signs[1]).mean() == pytest.approx(want, abs=0.04)
 
 
@@ -295,3 +295,25 @@ def test_mixing(docs, none, spark):
     assert all(abs(taken[s] - goal[s]) <= 35 for s in names)
     assert sorted(map(repr, got)) == sorted(map(repr, mix(big).collect()))
     assert mix(none).count() == 0
+
+
+def test_warc(spark):
+    from driftwood.llm import warc
+
+    html = "<html><head><title>A &amp; B</title><script>var x = '<p>';</script></head><body><p>One <b>two</b></p><!-- no --><div>&lt;3 é</div></body></html>"
+    pages = spark.createDataFrame([(1, "http://a/x", html), (2, None, None), (1, "http://a/x", html)], "page_id bigint, url string, html string")
+    source = {r["key"]: r for r in warc.responses(pages, "2024-01-01T00:00:00Z").collect()}
+    made = warc.derivatives(warc.responses(pages, "2024-01-01T00:00:00Z")).collect()
+    assert len(made) == 6
+    for r in made:
+        headers, block = warc.read_record(r["record"])
+        own = source[r["key"]]
+        assert headers["WARC-Refers-To"] == own["record_id"] and headers["WARC-Target-URI"] == own["target_uri"] and headers["WARC-Date"] == own["date"]
+        assert block == r["block"] and headers["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block.encode()).hexdigest()
+        if r["warc_type"] == "metadata":
+            assert f"source-payload-digest: {own['payload_digest']}" in block and "source-header: Content-Type: text/html; charset=utf-8" in block
+        elif r["key"] == 1:
+            assert block == "A & B\nOne two\n<3 é"
+        else:
+            assert block == ""
+    assert warc.derivatives(warc.responses(pages.limit(0), "x")).count() == 0
