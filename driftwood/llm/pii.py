@@ -17,7 +17,7 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +176,14 @@ def confident_patterns(instances: DataFrame) -> DataFrame:
     return scored.where(sure).select("pattern", "kind", "confidence")
 
 
+def _could_be(shape_: Column, kind: Column) -> Column:
+    """Whether a piece of this shape can be of the kind at all: a sure context alone does
+    not make a small number a phone number."""
+    digits = F.length(F.regexp_replace(shape_, "[^9]", ""))
+    dots = F.length(F.regexp_replace(shape_, "[^.]", ""))
+    return F.when(kind == 0, shape_.contains("@")).when(kind == 1, (dots >= 3) & (digits >= 4)).when(kind == 2, digits.between(12, 19)).otherwise(digits.between(7, 15))
+
+
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns key, text_hash, base and found for each row: arrays of (start, end, kind)
     in code points, end exclusive, by start, then kind; kind numbers as in ``KINDS``.
@@ -189,8 +197,8 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     seen = checkpointed(scanned(docs, "_key", "_text"))
     pieces = seen.select("_key", "text_hash", F.explode("instances").alias("i")).select("_key", "text_hash", "i.*")
     sure = checkpointed(confident_patterns(pieces.select("instance", "kind", F.explode("patterns").alias("pattern"))))
-    left = pieces.where("kind IS NULL").select("_key", "text_hash", "start", "end", F.explode("patterns").alias("pattern"))
-    claims = left.join(sure, "pattern").groupBy("_key", "text_hash", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("c"))
+    left = pieces.where("kind IS NULL").select("_key", "text_hash", "start", "end", F.element_at("patterns", -1).alias("_shape"), F.explode("patterns").alias("pattern"))
+    claims = left.join(sure, "pattern").where(_could_be(F.col("_shape"), F.col("kind"))).groupBy("_key", "text_hash", "start", "end").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("c"))
     claims = claims.select("_key", "text_hash", F.struct("start", "end", (-F.col("c.k")).alias("kind")).alias("span"))
     found = claims.groupBy("_key", "text_hash").agg(F.sort_array(F.collect_set("span")).alias("found"))
     out = seen.select("_key", "text_hash", "base").join(found.toDF("_k", "_h", "found"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("text_hash") == F.col("_h")), "left")
