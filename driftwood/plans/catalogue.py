@@ -121,7 +121,7 @@ def plain_clf_parse(spark, d):
 
 @query(_shape_sql(_SEC, _LEVEL, "event_type", False, False))
 def plain_epoch_parse(spark, d):
-    return _shaped(spark, d, F.concat(F.unix_seconds("ts").cast("string"), F.lit(" "), render.word(), F.lit(": "), "event_type"))
+    return _shaped(spark, d, F.concat(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), F.lit(" "), render.word(), F.lit(": "), "event_type"))
 
 
 @query(f"SELECT event_id + 1 AS ordinal, {_SEC} - CASE WHEN ts > TIMESTAMP '2024-01-15 00:00:00' THEN 31622400000 - 86400000 ELSE 0 END AS ts_ms FROM events")
@@ -363,7 +363,7 @@ def retention_tail(spark, d):
 @query(f"SELECT {_SEC} AS second_ms, count(*) AS lines FROM events GROUP BY 1")
 def rate_per_second(spark, d):
     events = render.events(spark, d)
-    return events.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("lines")).select(F.unix_millis("w.start").alias("second_ms"), "lines")
+    return events.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("lines")).select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("second_ms"), "lines")
 
 
 @query("SELECT event_id AS seq, event_type AS text FROM events WHERE event_id < 700")
