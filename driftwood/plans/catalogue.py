@@ -211,10 +211,10 @@ def inventory_counts(spark, d):
 
 
 @query("""
-WITH v AS (SELECT user_id, min(event_id) AS first FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY first) AS k FROM v),
-cut AS (SELECT first AS at FROM r WHERE k = 21)
+WITH v AS (SELECT user_id, min(event_id) AS seen FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY seen) AS k FROM v),
+cut AS (SELECT seen AS upto FROM r WHERE k = 21)
 SELECT CAST(e.user_id AS VARCHAR) AS value, count(*) AS n, (SELECT count(*) FROM events) AS count, true AS high_cardinality
-FROM events e JOIN r ON r.user_id = e.user_id AND r.k <= 20 WHERE e.event_id < (SELECT at FROM cut) GROUP BY 1""")
+FROM events e JOIN r ON r.user_id = e.user_id AND r.k <= 20 WHERE e.event_id < (SELECT upto FROM cut) GROUP BY 1""")
 def inventory_capped(spark, d):
     return inventory.inventory(_logfmt(spark, d), Config(value_cap=20)).where("field = 'user'").select("value", "n", "count", "high_cardinality")
 
