@@ -16,7 +16,7 @@ On texts that repeat no shingle this is the Jaccard similarity of their shingle
 4. Pairs are verified on the whole shingle sets.
 5. Members of a bucket that are not yet connected meet the bucket's hub, its member with
    most links, for a few rounds.
-6. Those that are still apart are paired by an exact prefix filter on their shingles (see
+6. Those that are still apart are paired by exact filters on their shingles (see
    ``_prefix_pairs``), so no link among the members of buckets is lost.
 
 With 24 bands of 4 registers a pair at similarity 0.8 misses all buckets with a chance of
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 #: Rounds in which hubs are looked for, at most; they only save work.
 HUB_ROUNDS = 3
+#: Words of 64 bits in the maps of shingles by which pairs are passed over.
+MAP_WORDS = 16
 #: Ids of up to so many documents are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles handled at a time, and words kept in a worker's cache.
@@ -250,30 +252,66 @@ def _split(known: DataFrame) -> tuple[DataFrame, int]:
 def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different components that may be similar enough.
 
-    The similarity is at most the share of either set's weight that is common.  So with
-    shingles in one global order, rarest first, the first common shingle of a similar pair
-    lies in both sets' prefixes, the least with over 1 - similarity of their weight.  Only
-    nodes that share a shingle of their prefixes are paired; texts whose own shingles
-    exceed their prefix meet nobody.  No pair that is similar enough is left out.
+    Let u be the weight of a set that is not common to both over the weight that is, and v
+    the same of the other set.  The similarity is at most 1 / (1 + u + v): in each term,
+    max(x_j / x_i, y_j / y_i) is at least x_j / x_i, the terms are then concave and
+    homogeneous in the common weights, and so their sum is at most the term of the sums.
+
+    Shingles that one component alone has are common to no pair asked for: their weight is
+    not common, ever.  The others have one global order, the rarest first.  What a set has
+    before the first common shingle is not common either, so a similar pair meets there
+    with little enough before in both sets.  A shingle's holders without any partner of
+    another component that meets the bound are left out before they are paired.  A pair
+    that meets also has to meet the bound by its bit maps: each bit that one set has and
+    the other lacks is a shingle that is not common.  No pair that is similar enough is
+    left out.
     """
-    held = apart.join(sets, "node")
+    slack = 1 / similarity - 1 + 1e-6
+    held = apart.join(sets, "node").select("node", "root", "shingles", "counts")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, root, packed, counts in zip(*(batch.column(i) for i in range(4))):
-                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array([root.as_py()] * len(found), pa.binary()), pa.array(found), pa.array(n.astype(np.int64))], names=["node", "root", "shingle", "count"])
+                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
+                ends = [pa.array([x.as_py()] * len(found), pa.binary()) for x in (node, root)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(found), pa.array(n), pa.array(np.full(len(n), n.sum()))], names=["node", "root", "shingle", "count", "total"])
 
-    rows = checkpointed(held.select("node", "root", "shingles", "counts").mapInArrow(spread, "node binary, root binary, shingle bigint, count bigint"))
+    rows = held.mapInArrow(spread, "node binary, root binary, shingle bigint, count bigint, total bigint")
     seen = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rows = rows.join(seen, "shingle")
+    rows = checkpointed(rows.join(seen.where("lo != hi").select("shingle", "df"), "shingle"))
+
     order = Window.partitionBy("node").orderBy("df", "shingle")
-    rows = rows.withColumn("before", F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("total", F.sum("count").over(Window.partitionBy("node")))
-    prefix = rows.where((F.col("before") <= (1 - similarity) * F.col("total") + 1e-6) & (F.col("lo") != F.col("hi")))
-    prefix = checkpointed(prefix.select("node", "root", "shingle"))
-    x, y = prefix.toDF("x", "xr", "shingle"), prefix.toDF("y", "yr", "shingle")
-    return _ordered(x.join(y, "shingle").where("xr < yr"), "x", "y")
+    own = F.col("total") - F.sum("count").over(Window.partitionBy("node"))
+    before = own + F.coalesce(F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumns({"own": own, "before": before}).withColumn("apart", F.col("before") / (F.col("total") - F.col("before")))
+    prefix = checkpointed(placed.where(F.col("apart") <= slack).select("node", "root", "shingle", "apart", "own", "total"))
+
+    # of each shingle the least value of any component, and of any other component
+    by_root = prefix.groupBy("shingle", "root").agg(F.min("apart").alias("least"))
+    first = by_root.groupBy("shingle").agg(F.min(F.struct("least", "root")).alias("one"))
+    second = by_root.join(first, "shingle").where(F.col("root") != F.col("one.root")).groupBy("shingle").agg(F.min("least").alias("two"))
+    best = first.join(second, "shingle").select("shingle", F.col("one.root").alias("best_root"), F.col("one.least").alias("one"), "two")
+    partner = F.when(F.col("root") == F.col("best_root"), F.col("two")).otherwise(F.col("one"))
+    prefix = prefix.join(best, "shingle").where(F.col("apart") + partner <= slack).select("node", "root", "shingle", "apart", "own", "total")
+
+    bit = F.expr("shiftleft(1L, int(shiftright(shingle, 8) & 63))")
+    word = F.col("shingle").bitwiseAND(MAP_WORDS - 1)
+    maps = rows.groupBy("node").agg(*[F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0)).alias(f"m{i}") for i in range(MAP_WORDS)])
+    prefix = checkpointed(prefix.join(maps, "node"))
+
+    x, y = (prefix.select(*[F.col(c).alias(side + c) for c in prefix.columns]) for side in "xy")
+
+    def not_common(one: str, other: str) -> Column:
+        lacking = [F.bit_count(F.col(f"{one}m{i}").bitwiseAND(F.bitwise_not(f"{other}m{i}"))) for i in range(MAP_WORDS)]
+        return F.col(f"{one}own") + sum(lacking[1:], lacking[0])
+
+    def bounded(one: str, other: str) -> Column:
+        return not_common(one, other) / (F.col(f"{one}total") - not_common(one, other))
+
+    met = (F.col("xshingle") == F.col("yshingle")) & (F.col("xroot") < F.col("yroot")) & (F.col("xapart") + F.col("yapart") <= slack)
+    met &= (not_common("x", "y") < F.col("xtotal")) & (not_common("y", "x") < F.col("ytotal"))
+    met &= bounded("x", "y") + bounded("y", "x") <= slack
+    return _ordered(x.join(y, met), "xnode", "ynode")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
