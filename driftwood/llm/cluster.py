@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; survives lost executors."""
+    """``df`` computed once and written to the shared folder; survives lost executors.
+
+    Shuffle files behind it are of no more use, but executors keep them until the driver
+    happens to collect its garbage, so operators in many steps would fill their disks.
+    The driver is asked to collect it here.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    held = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return held

@@ -271,14 +271,27 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, root, packed, counts in zip(*(batch.column(i) for i in range(4))):
-                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32).astype(np.int64)
-                ends = [pa.array([x.as_py()] * len(found), pa.binary()) for x in (node, root)]
-                yield pa.RecordBatch.from_arrays([*ends, pa.array(found), pa.array(n), pa.array(np.full(len(n), n.sum()))], names=["node", "root", "shingle", "count", "total"])
-
-    rows = held.mapInArrow(spread, "node binary, root binary, shingle bigint, count bigint, total bigint")
-    seen = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rows = checkpointed(rows.join(seen.where("lo != hi").select("shingle", "df"), "shingle"))
+            for node, packed, counts in zip(*(batch.column(i) for i in range(3))):
+                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array(found), pa.array(n)], names=["node", "shingle", "count"])
+
+    def components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, packed in zip(*(batch.column(i) for i in range(2))):
+                found = np.frombuffer(packed.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), root.as_py(), np.int64))], names=["shingle", "root"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int(np.frombuffer(c.as_py(), np.int32).sum()) for c in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["node", "root", "total"])
+
+    # components are told apart by 64 bits of their names here, so that the sums need no sort
+    seen = held.select(F.xxhash64("root").alias("root"), "shingles").mapInArrow(components_of, "shingle bigint, root bigint")
+    seen = seen.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = held.select("node", "shingles", "counts").mapInArrow(spread, "node binary, shingle bigint, count int")
+    rows = rows.join(seen.where("lo != hi").select("shingle", "df"), "shingle")
+    rows = checkpointed(rows.join(held.select("node", "root", "counts").mapInArrow(total, "node binary, root binary, total bigint"), "node"))
 
     order = Window.partitionBy("node").orderBy("df", "shingle")
     own = F.col("total") - F.sum("count").over(Window.partitionBy("node"))
