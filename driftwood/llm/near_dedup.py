@@ -183,12 +183,18 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
 SHINGLES = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
 
+def unpacked(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of a packed set; no counts stand for ones."""
+    found = np.frombuffer(shingles, _U)
+    return found, np.frombuffer(counts, np.int32) if counts else np.ones(len(found), np.int32)
+
+
 def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
-    """Columns node, shingles, counts (packed numbers) of each non-null text."""
+    """Columns node, shingles, counts (packed numbers; empty if all are 1) of each non-null text."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         made = [weighted_shingles(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-        return [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2].astype(np.int32).tobytes() for m in made], pa.binary())]
+        return [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2].astype(np.int32).tobytes() if (m[2] != 1).any() else b"" for m in made], pa.binary())]
 
     return add_columns(docs, SHINGLES, make, keep=[])
 
@@ -206,8 +212,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for i in range(batch.num_rows):
-                sa, ca, sb, cb = (np.frombuffer(batch.column(c)[i].as_py(), _U if c % 2 == 0 else np.int32) for c in (2, 3, 4, 5))
-                found.append(probability_jaccard(sa, ca, sb, cb))
+                sa, ca, sb, cb = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5))
+                found.append(probability_jaccard(*unpacked(sa, ca), *unpacked(sb, cb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return both.mapInArrow(run, VERIFIED)
@@ -272,8 +278,8 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataF
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, packed, counts in zip(*(batch.column(i) for i in range(3))):
-                found, n = np.frombuffer(packed.as_py(), np.int64), np.frombuffer(counts.as_py(), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array(found), pa.array(n)], names=["node", "shingle", "count"])
+                found, n = unpacked(packed.as_py(), counts.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()] * len(found), pa.binary()), pa.array(found.view(np.int64)), pa.array(n)], names=["node", "shingle", "count"])
 
     def components_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +289,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [int(np.frombuffer(c.as_py(), np.int32).sum()) for c in batch.column(2)]
+            sums = [int(unpacked(s.as_py(), c.as_py())[1].sum()) for s, c in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64())], names=["node", "root", "total"])
 
     # components are told apart by 64 bits of their names here, so that the sums need no sort
@@ -291,7 +297,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataF
     seen = seen.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rows = held.select("node", "shingles", "counts").mapInArrow(spread, "node binary, shingle bigint, count int")
     rows = rows.join(seen.where("lo != hi").select("shingle", "df"), "shingle")
-    rows = checkpointed(rows.join(held.select("node", "root", "counts").mapInArrow(total, "node binary, root binary, total bigint"), "node"))
+    rows = checkpointed(rows.join(held.mapInArrow(total, "node binary, root binary, total bigint"), "node"))
 
     order = Window.partitionBy("node").orderBy("df", "shingle")
     own = F.col("total") - F.sum("count").over(Window.partitionBy("node"))
