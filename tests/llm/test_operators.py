@@ -317,3 +317,15 @@ def test_warc(spark):
         else:
             assert block == ""
     assert warc.derivatives(warc.responses(pages.limit(0), "x")).count() == 0
+
+
+def test_warc_character_references(spark):
+    from driftwood.llm import warc
+
+    html = "<p>&copy; 2024 &middot; caf&eacute; &mdash; it&#8217;s &#x27;x&#X27;</p><p>&amp;copy; &amp;#39; &copy2 &NotEqualTilde; &nosuch; a&b &; AT&T</p><p>a&nbsp;&#160;&#xA0;b&#10;c &#0;&#128;&#x1F600;</p>"
+    pages = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
+    (r,) = (r for r in warc.derivatives(warc.responses(pages, "x")).collect() if r["warc_type"] == "conversion")
+    assert r["block"] == "© 2024 · café — it’s 'x'\n&copy; &#39; ©2 ≂̸ &nosuch; a&b &; AT&T\na b\nc \ufffd€😀"
+    assert r["content_length"] == len(r["block"].encode()) and warc.read_record(r["record"])[1] == r["block"]
+    assert r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest()
+    assert warc.unescaped(f"&#{'0' * 5000}65; &#{'9' * 5000}; &#x{'0' * 50}41;") == "A \ufffd A"
