@@ -5,9 +5,11 @@ fingerprint is the sum of its paragraphs' vectors modulo powers of two.  So the
 paragraphs does not matter, inserting one adds its vector and deleting one subtracts it.
 
 The vector has two wide lanes of 62 bits, which make unequal multisets differ, and 64
-narrow lanes, each holding one bit of a further hash.  The narrow lanes are packed four
-to a word of 62 bits; with the number of paragraphs they are a sketch of the multiset in
-which two documents' lanes correlate as far as they share paragraphs (``likeness``).
+narrow lanes, each holding one bit of a further hash.  The narrow lanes are packed two
+to a word of 62 bits, which leaves the upper one 30 bits: no text has 2**30 paragraphs,
+since each takes two bytes of at most 2**31.  With the number of paragraphs they are a
+sketch of the multiset in which two documents' lanes correlate as far as they share
+paragraphs (``likeness``).
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: All sums are taken modulo 2**62, so that no addition overflows.
 MODULUS = (1 << 62) - 1
-#: One bit of each of four lanes, and the number of words that hold the 64 lanes.
-LANE_BITS, LANE_WORDS = 0x0001_0001_0001_0001, 16
+#: One bit of each of two lanes, and the number of words that hold the 64 lanes.
+LANE_BITS, LANE_WORDS = 0x0000_0001_0000_0001, 32
 _SUMS = ["n", "wide0", "wide1", *(f"w{i:02d}" for i in range(LANE_WORDS))]
 
 
@@ -32,12 +34,12 @@ def _vector(p: Column) -> list[Column]:
     """The parts of a paragraph's vector, each below 2**62."""
     lanes = F.xxhash64(F.lit("lanes"), p)
     wide = [F.xxhash64(F.lit(f"wide{i}"), p).bitwiseAND(MODULUS) for i in range(2)]
-    # the bits i, 16 + i, 32 + i and 48 + i go to word i
+    # the bits i and 32 + i go to word i
     return [F.lit(1).cast("long"), *wide, *(F.shiftrightunsigned(lanes, i).bitwiseAND(LANE_BITS) for i in range(LANE_WORDS))]
 
 
 def fingerprint(text: Column) -> Column:
-    """A struct of sums modulo 2**62: n, wide0, wide1, w00 to w15."""
+    """A struct of sums modulo 2**62: n, wide0, wide1, w00 to w31."""
     zero = F.struct(*(F.lit(0).cast("long").alias(s) for s in _SUMS))
 
     def add(total: Column, vector: Column) -> Column:
@@ -65,7 +67,7 @@ def as_text(print_: Column) -> Column:
 def _lanes(print_: Column) -> Column:
     """The 64 lanes as differences of ones and zeros."""
     words = F.array(*(print_[f"w{i:02d}"] for i in range(LANE_WORDS)))
-    spread = F.flatten(F.transform(F.array(*(F.lit(s) for s in (0, 16, 32, 48))), lambda s: F.transform(words, lambda w: F.call_function("shiftrightunsigned", w, s).bitwiseAND(0xFFFF))))
+    spread = F.flatten(F.transform(F.array(F.lit(0), F.lit(32)), lambda s: F.transform(words, lambda w: F.call_function("shiftrightunsigned", w, s).bitwiseAND(0xFFFF_FFFF))))
     return F.transform(spread, lambda ones: (2 * ones - print_["n"]).cast("double"))
 
 

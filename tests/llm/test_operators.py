@@ -174,6 +174,23 @@ def test_fingerprints(docs, none, spark):
     assert fp.with_next(none).count() == 0
 
 
+def test_fingerprints_of_many_paragraphs(spark):
+    from driftwood.llm import fingerprint as fp
+
+    def text(first, n):
+        return "\n".join(f"line {first + i}" for i in range(n))
+
+    # unrelated ones of 40,000 and more lines, one sharing half its lines, one line repeated
+    pairs = [(text(0, 41_000), text(10**6, 42_000)), (text(0, 41_000), text(20_500, 41_000)), ("x\n" * 20_000, text(0, 300)), ("x\n" * 20_000, "x"), ("x\n" * 70_000, "y\n" * 70_000)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    own, other = fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))
+    prints = df.select("i", own.alias("a"), other.alias("b")).cache()
+    got = {r["i"]: r for r in prints.select("i", "a", fp._lanes(F.col("a")).alias("lanes"), fp.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    near = [got[i]["near"] for i in range(len(pairs))]
+    assert near[0] < 0.4 and 0.2 < near[1] < 0.8 and near[2] < 0.4 and near[3] == 0.999 and near[4] < 0.4
+    assert {abs(x) for x in got[2]["lanes"]} == {20_000.0} and {abs(x) for x in got[4]["lanes"]} == {70_000.0} and len(got[2]["lanes"]) == 64
+
+
 def test_language(docs, none, spark):
     from driftwood.llm.language import fit, predict, train
 
