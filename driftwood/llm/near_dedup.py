@@ -136,8 +136,8 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 SIGNATURES = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType(), False), False)])
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Columns key, node (digest of the words; null for null text), bands (a hash for each
+def signatures(docs: DataFrame, key: str, text: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Columns key, those of ``more``, node (digest of the words; null for null text), bands (a hash for each
     band; none for a text without words)."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -177,7 +177,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
         values = pa.array(bands[has].reshape(-1))
         return [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(pa.field("element", pa.int64(), False)))]
 
-    return add_columns(docs, SIGNATURES, make, keep=[key], rows=2048)
+    return add_columns(docs, SIGNATURES, make, keep=[key, *more], rows=2048)
 
 
 SHINGLES = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -343,8 +343,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     least key is taken.  Other columns are not handed on; an empty table gives an empty
     result.
     """
-    docs = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    signed = checkpointed(signatures(docs, "_key", "_text"))
+    out = _classes(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), similarity)
+    return out.select(F.col("_key").alias(key), F.coalesce("class_id", "_key").alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+
+
+def _classes(docs: DataFrame, similarity: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """Columns _key, those of ``more``, node, root (the same for all nodes of a class),
+    class_id and class_texts for each row of ``docs`` (_key, _text and ``more``).  A row of
+    null text has null in the last four."""
+    signed = checkpointed(signatures(docs, "_key", "_text", more))
     reps = checkpointed(signed.where("node IS NOT NULL").groupBy("node").agg(F.min("_key").alias("doc"), F.first("bands").alias("bands")))
     members = reps.select("node", F.explode("bands").alias("bucket"))
     lead = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("o"), "node")).alias("m"), F.count("*").alias("n"))
@@ -390,22 +397,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     classed = reps.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_texts"))
-    named = classed.join(named, "root").select("node", "class_id", "class_texts")
-    out = signed.select("_key", "node").join(named, "node", "left")
-    return out.select(F.col("_key").alias(key), F.coalesce("class_id", "_key").alias("class_id"), F.coalesce("class_texts", F.lit(1)).cast("long").alias("class_texts"))
+    named = classed.join(named, "root").select("node", "root", "class_id", "class_texts")
+    return signed.select("_key", *more, "node").join(named, "node", "left")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each class, the row with the least key.
+    """``docs`` without near-duplicates: of each class, one row of the least key (null
+    keys come last; of texts that share the key, the one of least digest).
 
-    Rows of a null key are all kept.  Of rows that repeat a key, one stays.  All columns
-    are handed on as they are.
+    Rows are told apart by key and text together, so a row goes only if its own text has
+    a class that another row stands for.  Of rows that repeat key and text, one stays;
+    rows of null text are no duplicates unless they repeat a key.  All columns are handed
+    on as they are.
     """
-    classes = checkpointed(near_duplicates(docs, key, text))
-    gone = classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
+    same = F.unhex(F.sha2(F.col(text), 256))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), same.alias("_same"))
+    classes = checkpointed(_classes(rows, SIMILARITY, ("_same",)).select("_key", "_same", "root"))
+    who = F.struct(F.col("_key").isNull().alias("unnamed"), "_key", "_same")
+    stands = classes.where("root IS NOT NULL").groupBy("root").agg(F.min(who).alias("_rep"), F.count("*").alias("_n"))
+    stands = stands.where("_n > 1")
+    few = stands.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = classes.join(F.broadcast(stands) if few else stands, "root").where(who != F.col("_rep")).select(F.col("_key").alias("_gone"), F.col("_same").alias("_gone_same")).distinct()
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
-    repeats = classes.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+    met = F.col(key).eqNullSafe(F.col("_gone")) & (same == F.col("_gone_same"))
+    kept = docs.join(F.broadcast(gone) if few else gone, met, "left_anti")
+    named = F.col("_key").isNotNull() | F.col("_same").isNotNull()
+    repeats = classes.where(named).groupBy("_key", "_same").count().where("count > 1")
     if repeats.isEmpty():
         return kept
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+    kept = kept.withColumns({"_key": F.col(key), "_same": same})
+    return kept.where(named).dropDuplicates(["_key", "_same"]).unionByName(kept.where(~named)).drop("_key", "_same")

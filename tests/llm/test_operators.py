@@ -147,6 +147,22 @@ def test_near_duplicates(docs, none, spark):
     assert near_duplicates(none).count() == 0
 
 
+def test_representatives_of_repeated_and_null_keys(spark):
+    from driftwood.llm.near_dedup import representatives
+
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcde")
+    rows = [
+        (1, b), (5, a), (5, b + " more"),  # a is alone in its class, though its key has a copy of 1's text
+        (6, c), (6, d), (6, d),  # different clean texts of one key, and a repeated row
+        (None, e), (None, e), (None, e + " more"),  # a class without keys
+        (None, c), (7, None), (7, None), (None, None), (None, None),
+    ]
+    got = Counter(tuple(r) for r in representatives(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    (last,) = (r for r in got if r[0] is None and r[1] is not None)
+    assert last[1] in (e, e + " more")
+    assert got == Counter([(1, b), (5, a), (6, c), (6, d), last, (7, None), (None, None), (None, None)])
+
+
 def test_probability_jaccard():
     from driftwood.llm.near_dedup import mixed, prob_min_hash, probability_jaccard
 
