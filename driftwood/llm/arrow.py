@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from driftwood.llm.worker import kept, released
+
 
 def kept_fields(df: DataFrame, new: T.StructType, keep: list[str] | None) -> list[T.StructField]:
     """The input fields an operator hands on: those of ``keep`` (all if None), except
@@ -24,21 +26,25 @@ def add_columns(
     make: Callable[[pa.RecordBatch], list[pa.Array]],
     keep: list[str] | None = None,
     rows: int = 512,
+    owner: str = "",
 ) -> DataFrame:
     """``df`` with the columns of ``new``, computed by ``make`` on slices of at most
-    ``rows`` rows inside the tasks.  No shuffle; memory is bounded by one slice."""
+    ``rows`` rows inside the tasks.  No shuffle; memory is bounded by one slice.  What the
+    workers have kept for operators other than ``owner`` is dropped."""
     fields = kept_fields(df, new, keep)
     names = [f.name for f in fields]
     schema = T.StructType(fields + list(new))
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept(owner)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 made = make(part)
                 cols = [part.column(part.schema.get_field_index(n)) for n in names] + made
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(cols, arrow)], schema=arrow)
+        released()
 
     return df.mapInArrow(run, schema)
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns, texts_of
 from driftwood.llm.token_counts import RARE, byte_letters
+from driftwood.llm.worker import kept
 
 #: Words kept in a worker's cache, and characters of text handled at a time.
 CACHE_SIZE, SLICE_CHARS = 150_000, 800_000
@@ -249,14 +250,13 @@ class WordBpe:
         return " ".join(self.strings[ids].tolist())
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """The worker's WordBpe, kept over its tasks for the same file."""
+    held = kept("bpe")
+    if path not in held:
+        held.clear()
+        held[path] = WordBpe(path)
+    return held[path]
 
 
 def _slices(texts: list[str]) -> list[list[str]]:
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", kee
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)), type=pa.list_(pa.field("element", pa.int32(), False)))]
 
-    return add_columns(docs, new, make, keep)
+    return add_columns(docs, new, make, keep, owner="bpe")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -309,4 +309,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", k
             out_texts.append(bpe.decode(got if inside.all() else got[inside]))
         return [pa.array(out_texts, pa.string())]
 
-    return add_columns(docs, new, make, keep)
+    return add_columns(docs, new, make, keep, owner="bpe")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns
+from driftwood.llm.worker import kept
 
 #: Bounds of the sample, and of the number of languages.
 SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 150, 20_000, 64
@@ -257,9 +258,6 @@ class _Emissions:
             self.letters = np.concatenate([self.letters, np.array([w != "" for w in clean])])
 
 
-_live: dict[int, _Emissions] = {}
-
-
 def _probabilities(field: Field, texts: list[str]):
     """For slices of texts: which of them have words, their sizes, and each word's
     probabilities (0 for words without letters)."""
@@ -271,10 +269,10 @@ def _probabilities(field: Field, texts: list[str]):
             at.append(i)
             size += len(words)
         if held and (size > SLICE_WORDS or i == len(texts) - 1):
-            if id(field) not in _live or len(_live[id(field)].rows) > CACHE_SIZE:
-                _live.clear()
-                _live[id(field)] = _Emissions(field)
-            known = _live[id(field)]
+            live = kept("language")
+            known = live.get("scores")
+            if known is None or known.field is not field or len(known.rows) > CACHE_SIZE:
+                known = live["scores"] = _Emissions(field)
             known.learn(held)
             sizes = np.array([len(h) for h in held])
             ids = np.fromiter(map(known.rows.__getitem__, chain.from_iterable(held)), np.int64, int(sizes.sum()))
@@ -316,7 +314,7 @@ def predict(docs: DataFrame, field: Field, text: str = "text", keep: list[str] |
             out.append(pa.array(pieces, pa.list_(pa.struct([("lang", pa.string()), ("n_words", pa.int64())]))))
         return out
 
-    return add_columns(docs, T.StructType(list(PREDICTED) + [RUNS] * runs), make, keep, rows=2048)
+    return add_columns(docs, T.StructType(list(PREDICTED) + [RUNS] * runs), make, keep, rows=2048, owner="language")
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Field:

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns
 from driftwood.llm.cluster import checkpointed
+from driftwood.llm.worker import kept
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
@@ -69,9 +70,6 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def weighted_shingles(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     """A digest of the word sequence, and the sorted hashes and counts of the shingles.
 
@@ -81,9 +79,10 @@ def weighted_shingles(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     node = xxhash.xxh3_128_digest(" ".join(words))
     if not words:
         return node, np.zeros(0, _U), np.zeros(0, np.int64)
-    if len(_hashes) > CACHE_SIZE:
-        _hashes.clear()
-    h = np.fromiter(map(_hashes.__getitem__, words), _U, len(words))
+    hashes = kept("near_dedup").setdefault("words", _WordHashes())
+    if len(hashes) > CACHE_SIZE:
+        hashes.clear()
+    h = np.fromiter(map(hashes.__getitem__, words), _U, len(words))
     size = min(SHINGLE, len(words))
     n = len(words) - size + 1
     mix = np.zeros(n, _U)
@@ -177,7 +176,7 @@ def signatures(docs: DataFrame, key: str, text: str, more: tuple[str, ...] = ())
         values = pa.array(bands[has].reshape(-1))
         return [pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values, type=pa.list_(pa.field("element", pa.int64(), False)))]
 
-    return add_columns(docs, SIGNATURES, make, keep=[key, *more], rows=2048)
+    return add_columns(docs, SIGNATURES, make, keep=[key, *more], rows=2048, owner="near_dedup")
 
 
 SHINGLES = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("shingles", T.BinaryType()), T.StructField("counts", T.BinaryType())])
@@ -196,7 +195,7 @@ def shingle_sets(docs: DataFrame, text: str) -> DataFrame:
         made = [weighted_shingles(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         return [pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), pa.array([m[2].astype(np.int32).tobytes() if (m[2] != 1).any() else b"" for m in made], pa.binary())]
 
-    return add_columns(docs, SHINGLES, make, keep=[])
+    return add_columns(docs, SHINGLES, make, keep=[], owner="near_dedup")
 
 
 VERIFIED = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("similarity", T.DoubleType())])
@@ -209,6 +208,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "ca", "sb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near_dedup")
         for batch in batches:
             found = []
             for i in range(batch.num_rows):

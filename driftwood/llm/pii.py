@@ -146,7 +146,7 @@ def scanned(docs: DataFrame, key: str, text: str) -> DataFrame:
             instances.append([{"start": a, "end": b, "kind": k, "instance": _hash(t[a:b].lower()), "patterns": patterns(t, a, b)} for a, b, k in pieces])
         return [pa.array(hashes, pa.int64()), pa.array(bases, _SPANS_ARROW), pa.array(instances, _INSTANCES_ARROW)]
 
-    return add_columns(docs, FOUND, make, keep=[key])
+    return add_columns(docs, FOUND, make, keep=[key], owner="pii")
 
 
 def confident_patterns(instances: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
             cols[length.lower()] = pa.array([w if t is None else len(t) for t, w in zip(out, was)], pa.int64())
         return [cols[f.name.lower()] for f in fields]
 
-    return add_columns(joined, T.StructType(fields), make, keep=names).select(*names)
+    return add_columns(joined, T.StructType(fields), make, keep=names, owner="pii").select(*names)
 
 
 def replaced(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -205,4 +205,4 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
         return [pa.array(c, f) for c, f in zip(cols, kinds)]
 
-    return add_columns(docs, VERDICT, make, keep)
+    return add_columns(docs, VERDICT, make, keep, owner="quality")

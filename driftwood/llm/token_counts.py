@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns, texts_of
+from driftwood.llm.worker import kept
 
 #: The pre-token pattern of byte-level BPE (fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,15 +145,13 @@ class Units(dict):
         return n
 
 
-_loaded: dict[object, PreTokens] = {}
-
-
 def loaded(path: str, key: object, frequent: dict[str, int] | None) -> PreTokens:
     """The worker's PreTokens, kept over its tasks for the same file and table."""
-    if (path, key) not in _loaded:
-        _loaded.clear()
-        _loaded[path, key] = PreTokens(path, frequent)
-    return _loaded[path, key]
+    held = kept("token_counts")
+    if (path, key) not in held:
+        held.clear()
+        held[path, key] = PreTokens(path, frequent)
+    return held[path, key]
 
 
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_SIZE) -> dict[str, int]:
@@ -213,4 +212,4 @@ def count_tokens(
         tokens = loaded(path, key, sent.value)
         return [pa.array([tokens.count(t) for t in texts_of(batch, text)], pa.int64())]
 
-    return add_columns(docs, new, make, keep)
+    return add_columns(docs, new, make, keep, owner="token_counts")
