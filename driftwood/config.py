@@ -22,19 +22,18 @@ class Config:
     retention: int = 100_000
     target_buckets: int = 120
     list_cap: int = 50
-    message_chars: int = 300
     sniff_bytes: int = 8_192
     severe_skip: float = 0.2
 
 
-#: Levels by severity, and the keys that carry a line's own values, by precedence.
+#: Levels by severity, and the keys that carry a line's own values, by precedence (fixed values).
 LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
 TIMESTAMP_KEYS = ("timestamp", "ts", "time", "@timestamp", "t")
 LEVEL_KEYS = ("level", "lvl", "severity")
 MESSAGE_KEYS = ("message", "msg")
 FORMATS = ("json", "logfmt", "plain")
 
-#: Widths of histogram buckets in seconds: 1s to 365d.
+#: Widths of histogram buckets in seconds, 1s to 365d (fixed values).
 BUCKET_LADDER = (1, 5, 10, 30, 60, 300, 600, 1_800, 3_600, 10_800, 21_600, 43_200, 86_400, 604_800, 2_592_000, 31_536_000)
 
 VALUE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
@@ -59,5 +58,7 @@ ENTRIES = T.StructType(
         T.StructField("fields", FIELDS),
         T.StructField("continuation_of", T.LongType()),
         T.StructField("ts_ms", T.LongType()),
+        T.StructField("event", T.LongType()),
+        T.StructField("chained", T.BooleanType()),
     ]
 )

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftwood.config import LEVELS
-from driftwood.functions.core import let
 
 #: Other words for levels (fixed values): those that free text may use, and those that
 #: only a value of its own may use.
@@ -28,7 +27,8 @@ def _ascii_upper(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # most texts have nothing to trim
+    return F.when(text.rlike(r"(?U)^\s|\s$(?![\s\S])"), F.regexp_replace(text, r"(?U)^\s+|\s+$(?![\s\S])", "")).otherwise(text)
 
 
 def from_value(value: Column) -> Column:
@@ -46,24 +46,24 @@ def in_text(text: Column) -> Column:
     return F.when(found != "", _table({k: k for k in LEVELS} | WORDS)[_ascii_upper(found)])
 
 
-def from_token(token: Column) -> Column:
-    """The level of the token after a timestamp: a word, [word], <word>, word: or word,,
-    a one-letter code or a syslog priority in angle brackets."""
-    angled = token.rlike(r"(?s)^<.*>$")
+def token_word(token: Column) -> Column:
+    """What the token after a timestamp says: [x], <x>, x: and x, are x."""
     bare = F.when(token.rlike(r"(?s)^\[.*\]$|^<.*>$"), F.regexp_replace(token, r"(?s)^.(.*).$", "$1")).otherwise(token)
-
-    def named(inner: Column) -> Column:
-        priority = F.substring(inner, 1, 10).try_cast("bigint")
-        by_number = F.try_element_at(F.array(*map(F.lit, SEVERITIES)), (priority % 8 + 1).cast("int"))
-        numeric = angled & inner.rlike("^[0-9]+$")
-        return (
-            F.when(inner == "", F.lit(None))
-            .when(numeric, F.when((F.length(inner) <= 10) & (priority <= 4_294_967_295), by_number))
-            .when(F.length(inner) == 1, from_letter(inner))
-            .otherwise(from_value(inner))
-        )
-
-    return let(F.regexp_replace(bare, "[:,]+$", ""), named)
+    return F.regexp_replace(bare, "[:,]+$", "")
+
+
+def from_token(token: Column, word: Column) -> Column:
+    """The level of the token after a timestamp, ``word`` being its ``token_word``: a level's
+    name, a one-letter code or a syslog priority in angle brackets."""
+    priority = F.substring(word, 1, 10).try_cast("bigint")
+    by_number = F.try_element_at(F.array(*map(F.lit, SEVERITIES)), (priority % 8 + 1).cast("int"))
+    numeric = word.rlike("^[0-9]+$") & token.rlike(r"(?s)^<.*>$")
+    return (
+        F.when(word == "", F.lit(None))
+        .when(numeric, F.when((F.length(word) <= 10) & (priority <= 4_294_967_295), by_number))
+        .when(F.length(word) == 1, from_letter(word))
+        .otherwise(from_value(word))
+    )
 
 
 def rank(level: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.config import LEVEL_KEYS, MESSAGE_KEYS, TIMESTAMP_KEYS
 from driftwood.functions import levels, timestamps
-from driftwood.functions.core import let
 
 _EMPTY = "map<string,struct<kind:string,value:string>>"
 _QUOTED = r'"(?:\\[\s\S]|[^"\\])*+(?:"|\\?$(?![\s\S]))'
@@ -30,49 +29,83 @@ def empty_fields() -> Column:
     return F.create_map().cast(_EMPTY)
 
 
-def _last_wins(entries: Column) -> Column:
-    """A map of key-value structs in which a repeated key has its last value."""
+#: What follows a line's text where it is parsed, to see that the text is one value.
+_END = "end of line"
 
-    def made(e: Column) -> Column:
-        def once(keys: Column) -> Column:
-            last = F.filter(e, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), x["key"]))
-            return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), e).otherwise(last))
 
-        return let(F.transform(e, lambda x: x["key"]), once)
+def _last_wins(keys: Column, values: Column) -> Column:
+    """A map in which a repeated key has its last value."""
+    pairs = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.get(values, i).alias("v")))
+    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["k"]))
+    return F.map_from_arrays(last["k"], last["v"])
 
-    return let(entries, made)
 
+def as_map(keys: Column, values: Column) -> Column:
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(unique, F.map_from_arrays(keys, values)).otherwise(_last_wins(keys, values))
 
-def is_json(text: Column) -> Column:
-    """Whether a whole line is one valid JSON value (duplicate keys are fine)."""
-    wrapped = F.concat(F.lit("["), text, F.lit("]"))
-    single = F.json_array_length(wrapped) == 1
-    # the parser of single values also takes single quotes; the strict one does not take
-    # repeated keys, so either of both has to agree
-    strict = F.call_function("try_parse_json", wrapped).isNotNull()
+
+def parsed_json(text: Column) -> Column:
+    """A line as a variant, parsed once: an array of its value and an end mark.  Null if
+    the text is no JSON or repeats a key."""
+    return F.call_function("try_parse_json", F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def _at(parsed: Column, i: int, kind: str) -> Column:
+    return F.call_function("try_variant_get", parsed, F.lit(f"$[{i}]"), F.lit(kind))
+
+
+def is_whole(parsed: Column) -> Column:
+    """Whether what ``parsed_json`` read was one value and nothing else."""
+    return F.coalesce((_at(parsed, 1, "string") == _END) & _at(parsed, 2, "variant").isNull(), F.lit(False))
+
+
+def repeats_keys(text: Column, parsed: Column) -> Column:
+    """Whether a line that the strict parser refused is an object but for repeated keys."""
+    # the lenient parser also takes single quotes
     outside = F.regexp_replace(text, r'"(?:\\[\s\S]|[^"\\])*+"', "")
-    loose = text.startswith("{") & ~outside.contains("'") & F.from_json(text, "map<string,variant>").isNotNull()
-    return F.coalesce(single & (strict | loose), F.lit(False))
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    loose = parsed.isNull() & text.rlike(r"^\s*\{") & ~outside.contains("'") & single & F.from_json(text, "map<string,variant>").isNotNull()
+    return F.coalesce(loose, F.lit(False))
+
 
+def json_members(text: Column, parsed: Column, repeated: Column) -> Column:
+    """The members of an object by name; null for any other value.  ``repeated`` tells
+    objects that repeat a key; the last member of a name counts."""
+    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
+    return F.when(repeated, _last_wins(entries["key"], entries["value"])).otherwise(_at(parsed, 0, "map<string,variant>"))
 
-def json_fields(text: Column) -> Column:
-    """The members of a JSON object (a line that ``is_json`` and starts with a brace).
+
+def is_json(text: Column) -> Column:
+    """Whether a whole line is one valid JSON value (repeated keys are fine)."""
+    parsed = parsed_json(text)
+    return is_whole(parsed) | repeats_keys(text, parsed)
+
+
+def json_text(value: Column) -> Column:
+    """A member's value as text; a JSON null is the word."""
+    return F.coalesce(value.cast("string"), F.lit("null"))
+
+
+def typed_members(members: Column) -> Column:
+    """Fields of JSON members.
 
     Numbers and nested values get the normal form of Spark's variants: 1.10 is 1.1, keys
     of nested objects are sorted, and there are no spaces.
     """
-    members = F.map_entries(F.from_json(text, "map<string,variant>"))
 
-    def typed(e: Column) -> Column:
-        v = e["value"]
-        # the type's first word tells the kind
-        kind = F.regexp_extract(F.call_function("schema_of_variant", v), "^[A-Z]+", 0)
-        names = {"": "null", "VOID": "null", "STRING": "string", "BOOLEAN": "bool", "OBJECT": "json", "ARRAY": "json"}
-        name = F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.coalesce(kind, F.lit("VOID"))], F.lit("number"))
-        value = F.coalesce(v.cast("string"), F.lit("null"))
-        return F.struct(e["key"].alias("key"), F.struct(name.alias("kind"), value.alias("value")).alias("value"))
+    def typed(name: Column, v: Column) -> Column:
+        # the first letters of the type tell the kind
+        kind = F.substring(F.call_function("schema_of_variant", v), 1, 2)
+        named = F.when(kind == "ST", "string").when(kind == "BO", "bool").when(kind.isin("OB", "AR"), "json").when(kind == "VO", "null").otherwise("number")
+        return F.struct(F.coalesce(named, F.lit("null")).alias("kind"), json_text(v).alias("value"))
+
+    return F.transform_values(members, typed)
 
-    return _last_wins(F.transform(members, typed))
+
+def typed_texts(texts: Column) -> Column:
+    """Fields whose values are all strings."""
+    return F.transform_values(texts, lambda k, v: F.struct(F.lit("string").alias("kind"), v.alias("value")))
 
 
 def logfmt_tokens(text: Column) -> Column:
@@ -87,17 +120,17 @@ def pair_count(tokens: Column) -> Column:
     return F.size(F.filter(tokens, _is_pair))
 
 
-def logfmt_fields(tokens: Column) -> Column:
-    """The pairs among tokens; all values are strings."""
+def logfmt_pairs(tokens: Column) -> Column:
+    """Key and value (text) of each pair among the tokens, in order."""
 
     def pair(t: Column) -> Column:
         key = F.substring_index(t, "=", 1)
         raw = F.substring(t, F.length(key) + 2, F.length(t))
         bare = F.regexp_replace(raw, r'^"((?:\\[\s\S]|[^"\\])*+)"?', "$1")
         value = F.when(raw.startswith('"'), F.regexp_replace(bare, r"\\([\s\S])", "$1")).otherwise(raw)
-        return F.struct(key.alias("key"), F.struct(F.lit("string").alias("kind"), value.alias("value")).alias("value"))
+        return F.struct(key.alias("key"), value.alias("value"))
 
-    return _last_wins(F.transform(F.filter(tokens, _is_pair), pair))
+    return F.transform(F.filter(tokens, _is_pair), pair)
 
 
 def logfmt_words(tokens: Column) -> Column:
@@ -105,33 +138,42 @@ def logfmt_words(tokens: Column) -> Column:
     return F.array_join(F.filter(tokens, lambda t: ~_is_pair(t)), " ")
 
 
-def _first_key(raw: Column, keys: tuple[str, ...]) -> Column:
-    """The first of the keys that a map has, whatever its value."""
+def first_key(keys: tuple[str, ...], *maps: Column) -> Column:
+    """The first of the keys that one of the maps has, whatever its value."""
     chosen = F.lit(None).cast("string")
     for k in reversed(keys):
-        chosen = F.when(F.map_contains_key(raw, k), F.lit(k)).otherwise(chosen)
+        there = F.lit(False)
+        for m in maps:
+            there = there | F.coalesce(F.map_contains_key(m, k), F.lit(False))
+        chosen = F.when(there, F.lit(k)).otherwise(chosen)
     return chosen
 
 
-def extracted(raw: Column, tz_offset_minutes: int, default_message: Column) -> Column:
-    """A struct (instant, default_tz, bad_timestamp, level, message, fields) of typed
-    fields.  The first key present decides: a timestamp key whose value is none stays a
-    field and is reported, a level key is taken even if it names no level."""
-
-
-    def with_keys(k: Column) -> Column:
-        def made(stamp: Column) -> Column:
-            taken = F.array_compact(F.array(F.when(stamp["instant"].isNotNull(), k["ts"]), k["level"], k["message"]))
-            return F.struct(
-                stamp["instant"].alias("instant"),
-                stamp["default_tz"].alias("default_tz"),
-                F.when(k["ts"].isNotNull() & stamp["instant"].isNull(), k["ts"]).alias("bad_timestamp"),
-                levels.from_value(raw[k["level"]]["value"]).alias("level"),
-                F.coalesce(raw[k["message"]]["value"], default_message).alias("message"),
-                let(taken, lambda t: F.map_filter(raw, lambda key, v: ~F.array_contains(t, key))).alias("fields"),
-            )
+def extracted(df: DataFrame, as_: str, members: str, texts: str, tz_offset_minutes: int, default_message: Column) -> DataFrame:
+    """``df`` with a line's own values, in columns that begin with ``as_``: instant,
+    naive, bad (a timestamp that is none), level, message, and taken (the keys these came
+    from).  ``members`` (of JSON) and ``texts`` (of logfmt) name its maps, either may be null.
 
-        return let(timestamps.from_value(raw[k["ts"]]["value"], tz_offset_minutes), made)
-
-    keys = F.struct(*(_first_key(raw, k).alias(n) for n, k in (("ts", TIMESTAMP_KEYS), ("level", LEVEL_KEYS), ("message", MESSAGE_KEYS))))
-    return let(keys, with_keys)
+    The first key present decides: a timestamp key whose value is none stays a field and
+    is reported, a level key is taken even if it names no level.
+    """
+    maps = (F.col(members), F.col(texts))
+    keys = {"ts": TIMESTAMP_KEYS, "lv": LEVEL_KEYS, "ms": MESSAGE_KEYS}
+    df = df.withColumns({f"{as_}k_{n}": first_key(k, *maps) for n, k in keys.items()})
+    k = {n: F.col(f"{as_}k_{n}") for n in keys}
+
+    def value(key: Column) -> Column:
+        return F.when(key.isNotNull(), F.coalesce(maps[1][key], F.when(maps[0].isNotNull(), json_text(maps[0][key]))))
+
+    df = df.withColumn(f"{as_}stamp", levels.trimmed(value(k["ts"])))
+    df = df.withColumn(f"{as_}instant", timestamps.value_instant(F.col(f"{as_}stamp"), tz_offset_minutes))
+    found = F.col(f"{as_}instant").isNotNull()
+    return df.withColumns(
+        {
+            f"{as_}naive": found & timestamps.value_is_naive(F.col(f"{as_}stamp")),
+            f"{as_}bad": F.when(k["ts"].isNotNull() & ~found, k["ts"]),
+            f"{as_}level": levels.from_value(value(k["lv"])),
+            f"{as_}message": F.coalesce(value(k["ms"]), default_message),
+            f"{as_}taken": F.array_compact(F.array(F.when(found, k["ts"]), k["lv"], k["ms"])),
+        }
+    )

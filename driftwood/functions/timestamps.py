@@ -13,42 +13,54 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from driftwood.functions.core import let
-
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 _TIME = r"(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]"
 _FRACTION = r"(?:\.[0-9]++)?+"
 # an offset needs its colon; digits that look like one without it spoil the whole
 _ZONE = r"(?:Z|[+-](?:[01][0-9]|2[0-3]):[0-5][0-9]|(?![+-][0-9]{2}:?[0-9]{2}))"
-_MONTH_NAME = "(?i:" + "|".join(MONTHS) + ")"
 _COLUMN = r"(?:[0-9]{1,16}|[a-z_]{1,16}|(?=[^ \t]{1,16}(?:[ \t]|$))u[0-9]+_a[0-9]+)(?=[ \t]|$)"
 
 
+_LEAP = r"(?:[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:[02468][048]|[13579][26])00)"
+
+
 def _month_day(between: str) -> str:
-    """A month and a day that it can have, as two digits each."""
+    """A month and a day that it has in some year, as two digits each."""
     return f"(?:(?:0[13578]|1[02]){between}(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11){between}(?:0[1-9]|[12][0-9]|30)|02{between}(?:0[1-9]|1[0-9]|2[0-9]))"
 
 
-_DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
-#: Whole expressions of the shapes, in the order they are tried at a position.
+_NAMED_DAY = r"(?i:jan|mar|may|jul|aug|oct|dec) {1,2}(?:0?[1-9]|[12][0-9]|3[01])|(?i:apr|jun|sep|nov) {1,2}(?:0?[1-9]|[12][0-9]|30)|(?i:feb) {1,2}(?:0?[1-9]|[12][0-9])"
+_DAY_NAMED = r"(?:0[1-9]|[12][0-9]|3[01])/(?i:jan|mar|may|jul|aug|oct|dec)|(?:0[1-9]|[12][0-9]|30)/(?i:apr|jun|sep|nov)|(?:0[1-9]|[12][0-9])/(?i:feb)"
+#: Integers from 10**9 up to the last microsecond that has a date.
+_EPOCH = r"(?=[0-9]{10,19}(?:[ \t]|$(?![\s\S])))0*(?:[1-9][0-9]{9,17}|[1-7][0-9]{18}|8[01][0-9]{17}|820[0-9]{16})(?![0-9])"
+#: Whole expressions of the shapes, in the order they are tried at a position.  What they
+#: match can always be read, so a date that does not exist does not end the search.
 SHAPES = {
-    "iso8601": rf"[0-9]{{4}}-{_month_day('-')}[T ]{_TIME}{_FRACTION}{_ZONE}",
-    "slash-date": rf"[0-9]{{4}}/{_month_day('/')}[T ]{_TIME}{_FRACTION}{_ZONE}",
+    "iso8601": rf"(?!(?!{_LEAP})[0-9]{{4}}-02-29)[0-9]{{4}}-{_month_day('-')}[T ]{_TIME}{_FRACTION}{_ZONE}",
+    "slash-date": rf"(?!(?!{_LEAP})[0-9]{{4}}/02/29)[0-9]{{4}}/{_month_day('/')}[T ]{_TIME}{_FRACTION}{_ZONE}",
     "klog": rf"[VTDIWEF]?{_month_day('')} {_TIME}{_FRACTION}",
     "logcat": rf"{_month_day('-')} {_TIME}\.[0-9]+(?: +{_COLUMN}){{2,3}} +[VDIWEFS] +[^: \t]+:",
-    "syslog3164": rf"{_MONTH_NAME} {{1,2}}{_DAY}(?![0-9]) {_TIME}{_FRACTION}",
-    "clf": rf"(?:0[1-9]|[12][0-9]|3[01])/{_MONTH_NAME}/[0-9]{{4}}:{_TIME}(?: [+-](?:[01][0-9]|2[0-3])[0-9]{{2}}|(?! [+-][0-9]{{4}}))",
-    "epoch": r"(?<![\s\S])[0-9]{10,19}(?=[ \t]|$(?![\s\S]))",
+    "syslog3164": rf"(?:{_NAMED_DAY})(?![0-9]) {_TIME}{_FRACTION}",
+    "clf": rf"(?!29/(?i:feb)/(?!{_LEAP}))(?:{_DAY_NAMED})/[0-9]{{4}}:{_TIME}(?: [+-](?:[01][0-9]|2[0-3])[0-9]{{2}}|(?! [+-][0-9]{{4}}))",
+    "epoch": rf"(?<![\s\S]){_EPOCH}",
 }
 #: Shapes without a year; they need a reference instant.
 YEARLESS = ("klog", "logcat", "syslog3164")
 
 
-def prefix_pattern(window: int, yearless: bool) -> str:
+def _leap(year: int) -> bool:
+    return year % 4 == 0 and (year % 100 != 0 or year % 400 == 0)
+
+
+def prefix_pattern(window: int, reference: datetime | None) -> str:
     """Group 1 is the text before the timestamp; the whole match ends with it."""
-    shapes = [p for s, p in SHAPES.items() if yearless or s not in YEARLESS]
-    return rf"^([\s\S]{{0,{window - 1}}}?)(?<![^ \t\[(<])(?:{'|'.join(shapes)})"
+    shapes = {s: p for s, p in SHAPES.items() if reference is not None or s not in YEARLESS}
+    if reference is not None and not any(_leap(y) and (y, 2, 29) <= (reference.year, reference.month, reference.day) for y in (reference.year, reference.year - 1)):
+        # neither year that could be meant has a 29 February
+        for s, p in (("klog", "(?![VTDIWEF]?0229 )"), ("logcat", "(?!02-29 )"), ("syslog3164", "(?!(?i:feb) {1,2}29)")):
+            shapes[s] = p + shapes[s]
+    return rf"^([\s\S]{{0,{window - 1}}}?)(?<![^ \t\[(<])(?:{'|'.join(shapes.values())})"
 
 
 def shape_of(stamp: Column) -> Column:
@@ -64,101 +76,85 @@ def shape_of(stamp: Column) -> Column:
     )
 
 
-def _instant(year: Column, month: Column, day: Column, time: Column, offset_minutes: Column) -> Column:
-    """From a year, a month, a day, ``HH:MM:SS(.f)`` and the minutes east of UTC; null if
-    there is no such day."""
-    second = F.regexp_extract(time, r"([0-9]{1,2}(?:\.[0-9]{1,6})?)[0-9]*$", 1)
-    made = F.try_make_timestamp(
-        year.try_cast("int"), month.try_cast("int"), day.try_cast("int"), F.split_part(time, F.lit(":"), F.lit(1)).try_cast("int"), F.split_part(time, F.lit(":"), F.lit(2)).try_cast("int"), second.try_cast("decimal(16,6)"), F.lit("UTC")
-    )
-    return made - F.make_dt_interval(F.lit(0), F.lit(0), offset_minutes)
-
-
-def _zone_minutes(zone: Column, default: int) -> Column:
-    """Minutes of ``Z``, ``+HH:MM`` or ``+HHMM``; the default for an empty one."""
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    return F.when(zone == "", F.lit(default)).when(F.upper(zone) == "Z", F.lit(0)).otherwise(F.when(zone.startswith("-"), -minutes).otherwise(minutes))
+def _civil(text: Column) -> Column:
+    """The instant of a date and time, read as UTC; null if there is none."""
+    short = F.when(text.rlike(r"\.[0-9]{7}"), F.regexp_replace(text, r"(\.[0-9]{6})[0-9]+", "$1")).otherwise(text)
+    return F.concat(short, F.lit("Z")).try_cast("timestamp")
 
 
-def from_epoch(value: Column) -> Column:
-    """Seconds, milliseconds or microseconds, told by magnitude; null below 1e9."""
+def _shifted(instant: Column, east_minutes: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(instant) - east_minutes.cast("bigint") * 60_000_000)
 
-    def scaled(n: Column) -> Column:
-        size = F.abs(n.cast("decimal(20,0)"))
-        by = F.when(size < 10**9, None).when(size < 10**11, 10**6).when(size < 10**14, 1000).otherwise(1)
-        return F.timestamp_micros(n * by.cast("bigint"))
 
-    return let(F.when(value.rlike("^-?[0-9]+$"), value.try_cast("bigint")), scaled)
+def _east(zone: Column) -> Column:
+    """Minutes of ``+HH:MM`` or ``+HHMM``."""
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, -2, 2).try_cast("int")
+    return F.when(zone.startswith("-"), -minutes).otherwise(minutes)
 
 
-#: Year, month, day, time and, if there is one, zone.
-_DATED = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[Tt ]([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]+)?)([Zz]|[+-][0-9]{2}:[0-9]{2})?$"
-#: The same where a zone needs all digits and a missing one an upper-case T.
-_WHOLE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$|^[0-9]{4}-[^t]*[0-9](?<![+-][0-9]{2}:[0-9]{2})$"
-
+def from_epoch(value: Column) -> Column:
+    """Seconds, milliseconds or microseconds, told by magnitude; null below 1e9."""
+    n = value.try_cast("bigint")
+    within = lambda size: (n > -size) & (n < size)
+    return F.timestamp_micros(F.when(within(10**9), None).when(within(10**11), n * 1_000_000).when(within(10**14), n * 1000).otherwise(n))
 
-def from_value(raw: Column, tz_offset_minutes: int = 0) -> Column:
-    """A struct (instant, default_tz) of a field's value; instant is null if it is none.
 
-    An integer is an epoch, else a date and time with an offset, else one without, which
-    is read at ``tz_offset_minutes``.
-    """
+_NUMBER = r"^-?[0-9]+$(?![\s\S])"
+#: A zone needs all digits, a missing one an upper-case T.
+_ZONED = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$(?![\s\S])"
+_NAIVE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]+)?$(?![\s\S])"
 
-    def dated(text: Column) -> Column:
-        parts = F.split(F.regexp_replace(text, _DATED, "$1|$2|$3|$4|$5"), "[|]", -1)
 
-        def built(p: Column) -> Column:
-            instant = _instant(p[0], p[1], p[2], p[3], _zone_minutes(p[4], tz_offset_minutes))
-            return F.struct(instant.alias("instant"), ((p[4] == "") & instant.isNotNull()).alias("default_tz"))
+def value_instant(text: Column, tz_offset_minutes: int = 0) -> Column:
+    """The instant of a (trimmed) value: an integer is an epoch, else a date and time with
+    an offset, else one without, which is read at ``tz_offset_minutes``.  Null if none."""
+    utc = text.rlike("[Zz]$")
+    cut = F.upper(F.regexp_replace(text, r"(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$", ""))
+    zoned = F.when(utc, _civil(cut)).otherwise(_shifted(_civil(cut), _east(F.substring(text, -6, 6))))
+    naive = _shifted(_civil(text), F.lit(tz_offset_minutes)) if tz_offset_minutes else _civil(text)
+    return F.when(text.rlike(_ZONED), zoned).when(text.rlike(_NAIVE), naive).when(text.rlike(_NUMBER), from_epoch(text))
 
-        return let(parts, built)
 
-    none = F.struct(F.lit(None).cast("timestamp").alias("instant"), F.lit(False).alias("default_tz"))
+def value_is_naive(text: Column) -> Column:
+    return text.rlike(_NAIVE)
 
-    def read(text: Column) -> Column:
-        number = F.struct(from_epoch(text).alias("instant"), F.lit(False).alias("default_tz"))
-        return F.when(text.rlike("^-?[0-9]+$"), number).when(text.rlike(_DATED) & text.rlike(_WHOLE), dated(text)).otherwise(none)
 
-    return F.when(raw.isNull(), none).otherwise(let(F.regexp_replace(raw, r"(?U)^\s+|\s+$", ""), read))
+def stamp_text(stamp: Column, shape: Column) -> Column:
+    """A prefix timestamp as ``yyyy-MM-dd HH:mm:ss`` with fraction and zone as they are, or
+    from the month on where the shape has no year."""
+    name = F.lower(F.when(shape == "clf", F.substring(stamp, 4, 3)).otherwise(F.substring(stamp, 1, 3)))
+    month = F.lpad((F.floor(F.instr(F.lit("".join(MONTHS)), name) / 3) + 1).cast("string"), 2, "0")
+    return (
+        F.when(shape == "iso8601", stamp)
+        .when(shape == "slash-date", F.translate(stamp, "/", "-"))
+        .when(shape == "logcat", F.regexp_extract(stamp, r"^\S+ \S+", 0))
+        .when(shape == "klog", F.regexp_replace(stamp, r"^[VTDIWEF]?([0-9]{2})([0-9]{2}) ", "$1-$2 "))
+        .when(shape == "syslog3164", F.concat(month, F.regexp_replace(F.substring(stamp, 4, 64), r"^ +", "-")))
+        .when(shape == "clf", F.concat(F.substring(stamp, 8, 4), F.lit("-"), month, F.lit("-"), F.substring(stamp, 1, 2), F.lit(" "), F.substring(stamp, 13, 64)))
+    )
 
 
-def from_stamp(stamp: Column, shape: Column, tz_offset_minutes: int, reference: datetime | None) -> Column:
-    """A struct (instant, default_tz, year_inferred) of a whole prefix timestamp."""
-    time = F.regexp_extract(stamp, r"([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)", 1)
-    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(stamp, r"([A-Za-z]{3})", 1))).cast("string")
-    zone = F.regexp_extract(stamp, r":[0-9]{2}(?:\.[0-9]+)? ?(Z|[+-][0-9]{2}:?[0-9]{2})$", 1)
-    clf, klog, logcat = shape == "clf", shape == "klog", shape == "logcat"
-    digits = F.regexp_replace(stamp, "^[VTDIWEF]", "")
-    parts = F.struct(
-        F.when(clf, F.substring(stamp, 8, 4)).otherwise(F.substring(stamp, 1, 4)).alias("year"),
-        F.when(clf | (shape == "syslog3164"), named).when(klog | logcat, F.substring(digits, 1, 2)).otherwise(F.substring(stamp, 6, 2)).alias("month"),
-        F.when(clf, F.substring(stamp, 1, 2))
-        .when(klog, F.substring(digits, 3, 2))
-        .when(logcat, F.substring(stamp, 4, 2))
-        .when(shape == "syslog3164", F.regexp_extract(stamp, "^[A-Za-z]{3} {1,2}([0-9]{1,2})", 1))
-        .otherwise(F.substring(stamp, 9, 2))
-        .alias("day"),
-        F.when(clf, F.substring(stamp, 13, 8)).otherwise(time).alias("time"),
-        zone.alias("zone"),
-        shape.isin(*YEARLESS).alias("yearless"),
+def stamp_instant(stamp: Column, shape: Column, text: Column, tz_offset_minutes: int, reference: datetime | None) -> Column:
+    """The instant of a prefix timestamp whose ``stamp_text`` is ``text``."""
+    local = lambda c: _shifted(_civil(c), F.lit(tz_offset_minutes)) if tz_offset_minutes else _civil(c)
+    zone = r" ?[+-][0-9]{2}:?[0-9]{2}$"
+    there = text.rlike(r":[0-9]{2}(?:\.[0-9]+)?" + zone)
+    dated = (
+        F.when(text.endswith("Z"), _civil(F.regexp_replace(text, "Z$", "")))
+        .when(there, _shifted(_civil(F.regexp_replace(text, zone, "")), _east(F.regexp_extract(text, r"[+-][0-9:]{4,6}$", 0))))
+        .otherwise(local(text))
     )
+    whole = F.when(shape == "epoch", from_epoch(stamp))
+    if reference is None:
+        return whole.when(shape.isin(*YEARLESS), None).otherwise(dated)
+    at = (reference if reference.tzinfo else reference.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
+    moment = F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
+    own, before = (local(F.concat(F.lit(f"{y:04d}-"), text)) for y in (at.year, at.year - 1))
+    return whole.when(shape.isin(*YEARLESS), F.when(own <= moment, own).otherwise(before)).otherwise(dated)
+
 
-    def built(p: Column) -> Column:
-        dated = _instant(p["year"], p["month"], p["day"], p["time"], _zone_minutes(p["zone"], tz_offset_minutes))
-        instant = dated
-        if reference is not None:
-            at = (reference if reference.tzinfo else reference.replace(tzinfo=timezone.utc)).astimezone(timezone.utc)
-            own, before = (_instant(F.lit(y), p["month"], p["day"], p["time"], F.lit(tz_offset_minutes)) for y in (at.year, at.year - 1))
-            moment = F.timestamp_micros(F.lit((at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)))
-            instant = F.when(p["yearless"], let(own, lambda o: F.when(o <= moment, o).otherwise(before))).otherwise(dated)
-        else:
-            instant = F.when(~p["yearless"], dated)
-        default_tz = p["yearless"] | (p["zone"] == "")
-        return F.struct(instant.alias("instant"), default_tz.alias("default_tz"), p["yearless"].alias("year_inferred"))
-
-    epoch = F.struct(from_epoch(stamp).alias("instant"), F.lit(False).alias("default_tz"), F.lit(False).alias("year_inferred"))
-    return F.when(shape == "epoch", epoch).when(shape.isNotNull(), let(parts, built))
+def stamp_is_naive(shape: Column, text: Column) -> Column:
+    return (shape != "epoch") & (shape.isin(*YEARLESS) | ~text.rlike(r"(?:Z|:[0-9]{2}(?:\.[0-9]+)? ?[+-][0-9]{2}:?[0-9]{2})$"))
 
 
 def rfc3339(instant: Column) -> Column:

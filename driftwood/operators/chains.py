@@ -1,25 +1,35 @@
 """Multi-line events: linking stack frames and payload bodies to the line that began them.
 
-A line's link depends on the lines before it, but never across a gap in line numbers or a
-plain prefixed line.  Sources are cut there into segments.  Cutting is done in blocks of
-line numbers, whose last cuts are carried over through a table of one row per block, so no
-task sorts a whole source.  Segments of more than one line are dealt out, sorted, and
-folded by a small state machine that streams: a task holds one line's state, however long
-a segment is.
+A line joins the event above it if it follows without a gap and either looks like a part
+of it by itself or the event has a brace open.  Everything that decides it is a running
+aggregate over lines in order:
+
+* a *stretch* begins at a gap and at each prefixed line that can join nothing: one that is
+  no logcat record, or whose record is another's than that of the prefixed line before it;
+* the open braces of a stretch are a sum of effects that never falls below 0, which is the
+  sum up to the line less its least value so far, so a sum and a maximum give it;
+* an event ends before the first line that does not join and after the line that closes
+  its outermost brace; a line is part of an event if nothing since the last prefixed line
+  has ended it.
+
+Lines are dealt to blocks of line numbers.  An event has at most ``chain_cap`` more lines,
+so a block sees that many lines before it, and no task holds more than a block.
+
+Two limits: in a run of records of one identity that goes on beyond the cap, events begin
+anew every ``chain_cap`` + 1 lines, counted from the first of the run that the block sees;
+and open braces of lines without a prefix that belong to no event count towards records of
+the identity around them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.config import Config
 
-#: Lines to a block when sources are cut.
-BLOCK = 1_000_000
+#: Lines to a block.
+BLOCK = 8_192
 
 _EXCEPTION = r"(?:[A-Za-z0-9_$.]*\.)?[A-Za-z0-9_$]*(?:Exception|Error|Throwable)(?:$(?![\s\S])|:)"
 _PYTHON = r'File "[\s\S]*?", line [0-9]'
@@ -46,100 +56,72 @@ def brace_effect(text: Column) -> tuple[Column, Column]:
     return F.when(braces == "", 0).otherwise(net), F.when(braces == "", 0).otherwise(from_zero)
 
 
-def chain_features(entries: DataFrame) -> DataFrame:
-    """What linking needs of each plain line: columns source, ordinal and a few flags.
-    ``entries`` has text, message, shape, identity and rest_raw."""
-    text, message = F.col("text"), F.col("message")
-    a, b = brace_effect(message)
-    prefixed, logcat = F.col("shape").isNotNull(), F.col("identity").isNotNull()
-    signal = F.when(logcat, F.col("rest_raw").rlike("^ [ \t]") | is_frame(message)).otherwise(is_frame(text))
-    return entries.select(
-        "source",
-        "ordinal",
-        prefixed.alias("prefixed"),
-        F.col("identity").alias("identity"),
-        F.coalesce(signal, F.lit(False)).alias("signal"),
-        text.rlike("^[ \t]").alias("indented"),
-        is_python_frame(message).alias("file_frame"),
-        a.cast("int").alias("a"),
-        b.cast("int").alias("b"),
-    )
-
-
-def segments(features: DataFrame) -> DataFrame:
-    """``features`` with ``segment``: the number of the line that begins the segment."""
-    block = F.floor((F.col("ordinal") - 1) / BLOCK)
-    # the last line of a block is also seen by the next block
-    last = F.col("ordinal") % BLOCK == 0
-    rows = features.withColumn("_block", F.explode(F.when(last, F.array(block, block + 1)).otherwise(F.array(block))))
-    rows = rows.withColumn("_halo", F.col("_block") != block)
-    order = Window.partitionBy("source", "_block").orderBy("ordinal")
-    gap = F.coalesce(F.col("ordinal") != F.lag("ordinal").over(order) + 1, F.lit(True))
-    alone = F.col("prefixed") & (F.col("identity").isNull() | F.coalesce(F.lag("prefixed").over(order) & ~F.col("identity").eqNullSafe(F.lag("identity").over(order)), F.lit(True)))
-    rows = rows.withColumn("_cut", F.when(gap | alone, F.col("ordinal"))).where(~F.col("_halo")).drop("_halo")
-    rows = rows.withColumn("_own", F.max("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy("source", "_block").agg(F.max("_cut").alias("_last"))
-    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.withColumn("_carried", F.max("_last").over(before)).drop("_last")
-    rows = rows.join(carried, ["source", "_block"])
-    return rows.withColumn("segment", F.coalesce("_own", "_carried", F.lit(0))).drop("_block", "_cut", "_own", "_carried")
-
-
-class Chain:
-    """The open event: its root, what it may take in, and how many lines it has."""
-
-    __slots__ = ("root", "identity", "depth", "members", "last", "file_frame")
-
-    def __init__(self, root: int, identity: str | None, depth: int, file_frame: bool):
-        self.root, self.identity, self.depth, self.members, self.last, self.file_frame = root, identity, depth, 0, root, file_frame
-
-
-def step(chain: Chain | None, line: tuple, cap: int) -> tuple[Chain | None, int | None, int | None]:
-    """The state after a line, the root it continues, and the root that the cap cut off.
-    ``line``: ordinal, prefixed, identity, signal, indented, file_frame, a, b."""
-    ordinal, prefixed, identity, signal, indented, file_frame, a, b = line
-    root = cut = None
-    if chain is not None and ordinal == chain.last + 1:
-        if not prefixed:
-            joins = chain.depth > 0 or signal or (chain.file_frame and indented)
-        else:
-            joins = identity is not None and identity == chain.identity and (signal or chain.depth > 0)
-        if joins and chain.members >= cap:
-            cut = chain.root
-        elif joins:
-            before, root = chain.depth, chain.root
-            chain.depth = max(before + a, b)
-            chain.members, chain.last, chain.file_frame = chain.members + 1, ordinal, file_frame
-            return (None if before > 0 and chain.depth == 0 else chain), root, None
-    return (Chain(ordinal, identity, b, file_frame) if prefixed else None), root, cut
-
-
-LINKS = "source string, ordinal bigint, continuation_of bigint, truncated_root bigint"
-
-
-def links(features: DataFrame, config: Config = Config()) -> DataFrame:
-    """Rows source, ordinal, continuation_of, truncated_root of lines that continue
-    another or that the cap kept from it."""
+def marks(text: Column, message: Column, prefixed: Column, identity: Column, rest_raw: Column) -> dict[str, Column]:
+    """What linking needs of each plain line."""
+    opens, floor = brace_effect(message)
+    looks = F.when(identity.isNotNull(), rest_raw.rlike("^ [ \t]") | is_frame(message)).when(~prefixed, is_frame(text))
+    return {
+        "prefixed": prefixed,
+        "identity": identity,
+        "looks": F.coalesce(looks, F.lit(False)),
+        "indented": ~prefixed & text.rlike("^[ \t]"),
+        "file_frame": is_python_frame(message),
+        "opens": opens.cast("int"),
+        "floor": floor.cast("int"),
+    }
+
+
+def _dealt(lines: DataFrame, size: int, cap: int) -> DataFrame:
+    """Lines with ``_block``, in the block that shows them and in those that only look at
+    them (``_shown`` is false): the next one at its first cap + 1 lines, the one before at
+    its last line."""
+    own = F.floor((F.col("ordinal") - 1) / size)
+    place = (F.col("ordinal") - 1) % size
+    blocks = F.when(place >= size - cap - 1, F.array(own, own + 1)).when(place == 0, F.array(own, own - 1)).otherwise(F.array(own))
+    return lines.withColumn("_block", F.explode(blocks)).withColumn("_shown", F.col("_block") == own)
+
+
+def linked(lines: DataFrame, config: Config = Config()) -> DataFrame:
+    """``lines`` (source, ordinal, the ``marks``, and any others, which stay) with
+    continuation_of (the line that began the event of a line that is not its first),
+    truncated_root (the event that the cap kept a line from) and chained (whether the
+    line's event has several lines)."""
     cap = config.chain_cap
-    rows = segments(features)
-    # segments of one line have nothing to link
-    size = rows.groupBy("source", "segment").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    rows = rows.join(size, ["source", "segment"], "left_semi")
-    rows = rows.repartition("source", "segment").sortWithinPartitions("source", "ordinal")
-    names = ["ordinal", "prefixed", "identity", "signal", "indented", "file_frame", "a", "b"]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, chain = None, None
-        for batch in batches:
-            out = []
-            ids = batch["identity"].astype(object).where(batch["identity"].notna(), None)
-            for key, *line in zip(zip(batch["source"], batch["segment"]), *(ids if n == "identity" else batch[n].tolist() for n in names)):
-                if key != now:
-                    now, chain = key, None
-                chain, root, cut = step(chain, tuple(line), cap)
-                if root is not None or cut is not None:
-                    out.append((key[0], line[0], root, cut))
-            made = pd.DataFrame(out, columns=["source", "ordinal", "continuation_of", "truncated_root"])
-            yield made.astype({"ordinal": "int64", "continuation_of": "Int64", "truncated_root": "Int64"})
-
-    return rows.select("source", "segment", *names).mapInPandas(fold, LINKS)
+    order = Window.partitionBy("source", "_block").orderBy("ordinal")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    c = F.col
+    rows = _dealt(lines, max(BLOCK, 8 * (cap + 1)), cap)
+    number = lambda when: F.when(when, c("ordinal"))
+    rows = rows.withColumns(
+        {
+            "_gap": F.coalesce(F.lag("ordinal").over(order) != c("ordinal") - 1, F.lit(True)),
+            "_after_file": F.coalesce(F.lag("file_frame").over(order), F.lit(False)),
+            "_head": F.max(number(c("prefixed"))).over(before),
+            "_head_id": F.last(F.when(c("prefixed"), F.struct("identity")), ignorenulls=True).over(before)["identity"],
+            "_sum": F.sum("opens").over(upto),
+        }
+    )
+    rows = rows.withColumn("_run", F.max(number(c("_gap"))).over(upto))
+    held = F.coalesce(c("_head") >= c("_run"), F.lit(False))
+    kin = ~c("prefixed") | (held & F.coalesce(c("identity") == c("_head_id"), F.lit(False)))
+    rows = rows.withColumn("_apart", c("_gap") | ~kin)
+    rows = rows.withColumn("_stretch", F.max(number(c("_apart"))).over(upto))
+    # the greatest of a stretch, as stretches only go up
+    rows = rows.withColumn("_depth", c("_sum") + F.max(F.struct(c("_stretch").alias("s"), (c("floor") - c("_sum")).alias("v"))).over(upto)["v"])
+    rows = rows.withColumn("_open", F.when(c("_apart"), 0).otherwise(F.lag("_depth").over(order)))
+    rows = rows.withColumn("_can", ~c("_apart") & (c("looks") | (c("_after_file") & c("indented")) | (c("_open") > 0)))
+    ends = (~c("prefixed") & ~c("_can")) | (c("_can") & (c("_open") > 0) & (c("_depth") == 0))
+    rows = rows.withColumn("_ended", F.max(number(ends)).over(before))
+    rows = rows.withColumn("_joins", c("_can") & held & F.coalesce(c("_ended") < c("_head"), F.lit(True)))
+    rows = rows.withColumn("_root", F.max(number(c("prefixed") & ~c("_joins"))).over(upto))
+    # what lies beyond the cap: lines of one identity begin anew, others are on their own
+    far = c("ordinal") - c("_root")
+    turn = F.floor(far / (cap + 1)) * (cap + 1)
+    of_identity = F.when(c("prefixed"), c("identity").isNotNull()).otherwise(c("_head_id").isNotNull())
+    root = F.when(far <= cap, c("_root")).when(of_identity & (far != turn), c("_root") + turn)
+    cut = F.when(of_identity & (far == turn), c("_root") + turn - cap - 1).when(far == cap + 1, c("_root"))
+    rows = rows.withColumns({"continuation_of": F.when(c("_joins"), root), "truncated_root": F.when(c("_joins") & (far > cap), cut)})
+    leads = F.coalesce(F.lead("continuation_of").over(order) == c("ordinal"), F.lit(False))
+    rows = rows.withColumn("chained", c("continuation_of").isNotNull() | leads).where(c("_shown"))
+    made = {n for n in rows.columns if n.startswith("_")} | {"prefixed", "identity", "looks", "indented", "file_frame", "opens", "floor"}
+    return rows.select(*(n for n in rows.columns if n not in made))

@@ -26,7 +26,7 @@ def sampled(lines: DataFrame, config: Config = Config()) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= config.sample_lines).drop("_n")
 
 
-def detect(lines: DataFrame, reference: datetime | None = None, tz_offset_minutes: int = 0, config: Config = Config()) -> DataFrame:
+def detect(lines: DataFrame, reference: datetime | None = None, config: Config = Config()) -> DataFrame:
     """One row per source of ``lines``: format, match_fraction, outcome (``threshold`` or
     ``fallback``), timestamp_shape and timestamp_offset.
 
@@ -39,9 +39,9 @@ def detect(lines: DataFrame, reference: datetime | None = None, tz_offset_minute
     pairs = structured.pair_count(F.col("_t"))
     rows = rows.withColumns(
         {
-            "_json": structured.is_json(text) & text.startswith("{"),
+            "_json": text.startswith("{") & structured.is_json(text),
             "_logfmt": (pairs >= 1) & (pairs >= config.logfmt_min_share * F.size("_t")),
-            "_prefix": prefix_only(F.col("text"), reference, config, tz_offset_minutes),
+            "_prefix": prefix_only(F.col("text"), reference, config),
         }
     ).select("source", "ordinal", "_json", "_logfmt", "_prefix.shape", "_prefix.offset")
     shares = rows.groupBy("source").agg(

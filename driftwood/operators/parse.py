@@ -5,15 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.config import FORMATS, Config
-from driftwood.functions import levels, structured, timestamps
+from driftwood.functions import levels, structured
 from driftwood.functions.core import settled
 from driftwood.operators import chains
 from driftwood.operators.detect import detect, is_blank
-from driftwood.operators.plain import with_plain
+from driftwood.operators.plain import FIELD_PARTS, plain_fields, with_plain
 
 DIAGNOSTICS = "source string, ordinal bigint, reason string, detail string"
 
@@ -30,77 +30,92 @@ class ParseResult:
     config: Config = Config()
 
 
-def _entries(df: DataFrame, p: str) -> DataFrame:
-    """The columns of entries from a struct column, and what diagnostics need."""
-    entry = F.struct(
-        F.col(f"{p}.instant").alias("timestamp"),
-        F.coalesce(f"{p}.default_tz", F.lit(False)).alias("timestamp_used_default_tz"),
-        F.coalesce(f"{p}.year_inferred", F.lit(False)).alias("timestamp_year_inferred"),
-        F.col(f"{p}.level").alias("level"),
-        F.coalesce(f"{p}.message", F.lit("")).alias("message"),
-        F.coalesce(f"{p}.fields", structured.empty_fields()).alias("fields"),
-        F.lit(None).cast("bigint").alias("continuation_of"),
-        F.unix_millis(F.col(f"{p}.instant")).alias("ts_ms"),
-        F.col("_reason"),
-        F.col("_detail"),
+def _settled(df: DataFrame, base: dict[str, Column], parts: dict[str, Column], features: dict[str, Column] | None = None) -> DataFrame:
+    """Columns source, ordinal and those given, computed here once: neither a filter above
+    nor what is built of them computes them again."""
+    every = {**base, **parts, **(features or {})}
+    entry = F.struct(*(every[n].alias(n) for n in every))
+    return df.select("source", "ordinal", settled(entry).alias("_e")).select("source", "ordinal", *(F.col(f"_e.{n}").alias(n) for n in every))
+
+
+def _entries(df: DataFrame, fields: Column, continuation: Column | None = None) -> DataFrame:
+    """Entries, and what diagnostics need, of settled lines."""
+    alone = continuation is None
+    return df.select(
+        "source",
+        "ordinal",
+        F.col("instant").alias("timestamp"),
+        F.coalesce("naive", F.lit(False)).alias("timestamp_used_default_tz"),
+        F.coalesce("inferred", F.lit(False)).alias("timestamp_year_inferred"),
+        "level",
+        F.coalesce("message", F.lit("")).alias("message"),
+        fields.alias("fields"),
+        (F.lit(None).cast("bigint") if alone else continuation).alias("continuation_of"),
+        F.unix_millis("instant").alias("ts_ms"),
+        (F.col("ordinal") if alone else F.coalesce(continuation, "ordinal")).alias("event"),
+        (F.lit(False) if alone else F.col("chained")).alias("chained"),
+        "reason",
+        "detail",
+        *([] if alone else ["truncated_root"]),
     )
-    return df.select("source", "ordinal", settled(entry).alias("_e")).select("source", "ordinal", "_e.*")
 
 
 def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
-    text = levels.trimmed(F.col("text"))
-    df = lines.withColumn("_ok", structured.is_json(text))
-    df = df.withColumn("_members", F.when(F.col("_ok") & text.startswith("{"), structured.json_fields(text)))
+    text = F.col("text")
+    df = lines.withColumn("_text", levels.trimmed(text)).withColumn("_parsed", structured.parsed_json(F.col("_text")))
+    df = df.withColumn("_repeated", structured.repeats_keys(F.col("_text"), F.col("_parsed")))
+    df = df.withColumn("_ok", structured.is_whole(F.col("_parsed")) | F.col("_repeated"))
+    df = df.withColumn("_members", F.when(F.col("_ok"), structured.json_members(F.col("_text"), F.col("_parsed"), F.col("_repeated"))))
     m = F.col("_members")
-    keys = F.array(*map(F.lit, ("log", "stream", "time")))
-    strings = F.forall(keys, lambda k: m[k]["kind"] == "string")
-    df = df.withColumn("_docker", F.coalesce((F.size("_members") == 3) & strings, F.lit(False)))
-    df = df.select("source", "ordinal", settled(F.struct("_ok", "_members", "_docker")).alias("_j")).select("source", "ordinal", "_j.*")
-    m = F.col("_members")
-    reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json")
-    own = df.where(~F.col("_docker")).withColumn("_own", structured.extracted(m, tz, F.lit("")))
-    own = own.withColumn("_reason", F.coalesce(reason, F.when(F.col("_own.bad_timestamp").isNotNull(), "unparsable_timestamp")))
-    own = own.withColumn("_detail", F.col("_own.bad_timestamp")).withColumn("_own", F.col("_own").withField("year_inferred", F.lit(False)))
+    is_text = lambda k: F.call_function("schema_of_variant", m[k]) == "STRING"
+    df = df.withColumn("_docker", F.coalesce((F.size("_members") == 3) & is_text("log") & is_text("stream") & is_text("time"), F.lit(False)))
+    df = df.withColumn("_none", F.lit(None).cast("map<string,string>"))
+    df = structured.extracted(df, "_o_", "_members", "_none", tz, F.lit(""))
     # records of a container's log: the line inside is parsed as the plain line it is
-    wrapped = df.where(F.col("_docker")).withColumn("_log", F.regexp_replace(m["log"]["value"], "[\n\r]+$", ""))
-    wrapped = wrapped.withColumn("_time", timestamps.from_value(m["time"]["value"], tz)).withColumn("_stream", F.create_map(F.lit("stream"), m["stream"]))
-    wrapped = with_plain(wrapped, "_log", "_plain", tz, reference, config)
-    inner, late = F.col("_plain"), F.col("_plain.instant").isNull()
-    unwrapped = F.struct(
-        F.coalesce(inner["instant"], F.col("_time.instant")).alias("instant"),
-        F.when(late, F.col("_time.default_tz")).otherwise(inner["default_tz"]).alias("default_tz"),
-        F.when(late, F.lit(False)).otherwise(inner["year_inferred"]).alias("year_inferred"),
-        inner["level"].alias("level"),
-        inner["message"].alias("message"),
-        F.map_concat(F.map_filter(inner["fields"], lambda k, v: k != "stream"), F.col("_stream")).alias("fields"),
-    )
-    none = F.lit(None).cast("string")
-    wrapped = wrapped.withColumn("_wrapped", unwrapped).withColumn("_reason", none).withColumn("_detail", none)
-    return _entries(own, "_own").unionByName(_entries(wrapped, "_wrapped"))
+    docker = F.col("_docker")
+    df = df.withColumn("_log", F.when(docker, F.regexp_replace(m["log"].cast("string"), "[\n\r]+$", "")))
+    df = with_plain(df, "_log", "_p_", tz, reference, config)
+    late = docker & F.col("_p_instant").isNull()
+    own = F.when(docker & ~late, F.col("_p_instant")).otherwise(F.col("_o_instant"))
+    bad = F.when(~docker, F.col("_o_bad"))
+    reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json").when(bad.isNotNull(), "unparsable_timestamp")
+    base = {
+        "instant": own,
+        "naive": F.when(docker & ~late, F.col("_p_naive")).otherwise(F.col("_o_naive")),
+        "inferred": F.when(docker & ~late, F.col("_p_inferred")).otherwise(False),
+        "level": F.when(docker, F.col("_p_level")).otherwise(F.col("_o_level")),
+        "message": F.when(docker, F.col("_p_message")).otherwise(F.col("_o_message")),
+        "reason": reason,
+        "detail": bad,
+    }
+    parts = {n: F.col(f"_p_{n}") for n in FIELD_PARTS} | {"own": F.when(~docker, m), "own_taken": F.col("_o_taken"), "stream": F.when(docker, m["stream"].cast("string"))}
+    df = _settled(df, base, parts)
+    own_fields = structured.typed_members(F.map_filter("own", lambda k, v: ~F.array_contains(F.col("own_taken"), k)))
+    stream = F.create_map(F.lit("stream"), F.struct(F.lit("string").alias("kind"), F.col("stream").alias("value")))
+    inner = F.map_concat(F.map_filter(plain_fields(F.col), lambda k, v: k != "stream"), stream)
+    return _entries(df, F.when(F.col("stream").isNotNull(), inner).when(F.col("own").isNotNull(), own_fields).otherwise(structured.empty_fields()))
 
 
 def _parse_logfmt(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
-    df = lines.withColumn("_tokens", structured.logfmt_tokens(F.col("text")))
-    df = df.withColumn("_raw", structured.logfmt_fields(F.col("_tokens")))
-    df = df.withColumn("_own", structured.extracted(F.col("_raw"), tz, structured.logfmt_words(F.col("_tokens"))))
-    bad = F.col("_own.bad_timestamp")
-    df = df.withColumn("_reason", F.when(bad.isNotNull(), "unparsable_timestamp")).withColumn("_detail", bad)
-    df = df.withColumn("_entry", F.col("_own").withField("year_inferred", F.lit(False)))
-    return _entries(df, "_entry")
+    df = lines.withColumn("_tokens", structured.logfmt_tokens(F.col("text"))).withColumn("_pairs", structured.logfmt_pairs(F.col("_tokens")))
+    df = df.withColumn("_texts", structured.as_map(F.col("_pairs.key"), F.col("_pairs.value"))).withColumn("_none", F.lit(None).cast("map<string,variant>"))
+    df = structured.extracted(df, "_o_", "_none", "_texts", tz, structured.logfmt_words(F.col("_tokens")))
+    bad = F.col("_o_bad")
+    base = {n: F.col(f"_o_{n}") for n in ("instant", "naive", "level", "message")} | {"inferred": F.lit(False), "reason": F.when(bad.isNotNull(), "unparsable_timestamp"), "detail": bad}
+    df = _settled(df, base, {"texts": F.col("_texts"), "taken": F.col("_o_taken")})
+    return _entries(df, structured.typed_texts(F.map_filter("texts", lambda k, v: ~F.array_contains(F.col("taken"), k))))
 
 
-def _parse_plain(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> tuple[DataFrame, DataFrame]:
-    df = with_plain(lines, "text", "_plain", tz, reference, config)
-    features = chains.chain_features(df.select("source", "ordinal", "text", "_plain.*"))
-    linked = chains.links(features, config)
-    df = df.withColumn("_reason", F.lit(None).cast("string")).withColumn("_detail", F.lit(None).cast("string"))
-    entries = _entries(df, "_plain").drop("continuation_of")
-    entries = entries.join(linked.select("source", "ordinal", "continuation_of"), ["source", "ordinal"], "left")
-    cut = linked.where("truncated_root IS NOT NULL").select("source", "ordinal", F.lit("chain_truncated").alias("reason"), F.col("truncated_root").cast("string").alias("detail"))
-    return entries, cut
+def _parse_plain(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
+    df = with_plain(lines, "text", "_p_", tz, reference, config)
+    base = {n: F.col(f"_p_{n}") for n in ("instant", "naive", "inferred", "level", "message")} | {n: F.lit(None).cast("string") for n in ("reason", "detail")}
+    parts = {n: F.col(f"_p_{n}") for n in FIELD_PARTS}
+    marks = chains.marks(F.col("text"), F.col("_p_message"), F.col("_p_shape").isNotNull(), F.col("_p_identity"), F.col("_p_rest_raw"))
+    df = chains.linked(_settled(df, base, parts, marks), config)
+    return _entries(df, plain_fields(F.col), F.col("continuation_of"))
 
 
-_COLUMNS = ["source", "ordinal", "timestamp", "timestamp_used_default_tz", "timestamp_year_inferred", "level", "message", "fields", "continuation_of", "ts_ms"]
+_COLUMNS = ["source", "ordinal", "timestamp", "timestamp_used_default_tz", "timestamp_year_inferred", "level", "message", "fields", "continuation_of", "ts_ms", "event", "chained"]
 
 
 def parse(
@@ -127,7 +142,7 @@ def parse(
     real = lines.where(~is_blank(F.col("text")))
     detection = None
     if format == "auto":
-        detection = detect(lines, reference, tz_offset_minutes, config)
+        detection = detect(lines, reference, config)
         kinds = [r[0] for r in detection.select("format").distinct().collect()]
         by_kind = {k: real.join(detection.where(F.col("format") == k).select("source"), "source", "left_semi") if len(kinds) > 1 else real for k in kinds}
     else:
@@ -136,14 +151,14 @@ def parse(
     for kind in FORMATS:
         if kind not in by_kind:
             continue
+        made = {"json": _parse_json, "logfmt": _parse_logfmt, "plain": _parse_plain}[kind](by_kind[kind], tz_offset_minutes, reference, config)
         if kind == "plain":
-            made, cut = _parse_plain(by_kind[kind], tz_offset_minutes, reference, config)
-            problems = problems.unionByName(cut)
+            bad = made.where("truncated_root IS NOT NULL").select("source", "ordinal", F.lit("chain_truncated").alias("reason"), F.col("truncated_root").cast("string").alias("detail"))
         else:
-            made = (_parse_json if kind == "json" else _parse_logfmt)(by_kind[kind], tz_offset_minutes, reference, config)
-            bad = made.where("_reason IS NOT NULL")
-            problems = problems.unionByName(bad.select("source", "ordinal", F.col("_reason").alias("reason"), F.col("_detail").alias("detail")))
-            made = made.where("_reason IS NULL OR _reason = 'unparsable_timestamp'")
+            bad = made.where("reason IS NOT NULL").select("source", "ordinal", "reason", "detail")
+        problems = problems.unionByName(bad)
+        if kind == "json":
+            made = made.where("reason IS NULL OR reason = 'unparsable_timestamp'")
         made = made.select(*_COLUMNS)
         entries = made if entries is None else entries.unionByName(made)
     if entries is None:  # no line at all

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,6 @@ from pyspark.sql import functions as F
 
 from driftwood.config import Config
 from driftwood.functions import levels, structured, timestamps
-from driftwood.functions.core import settled
-
-#: What a plain parse adds to a frame (each behind a prefix of the caller's).
-PARTS = ("instant", "default_tz", "year_inferred", "level", "message", "fields", "shape", "offset", "rest_raw", "identity")
-
 
 def _lead_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+", "")
@@ -30,93 +26,103 @@ def _text_value(value: Column, number: bool = False) -> Column:
 
 
 def with_plain(df: DataFrame, text: str, as_: str, tz_offset_minutes: int, reference: datetime | None, config: Config) -> DataFrame:
-    """``df`` with the struct column ``as_`` of ``PARTS``, parsed from the line in ``text``.
+    """``df`` with what the line in ``text`` says, in columns that begin with ``as_``:
+    instant, naive, inferred, level, message, members and texts (the payload's), taken,
+    record (a logcat line's own fields), prefix (the prefix's instant if a payload has
+    another), shape, offset, rest_raw and identity.  A null line gives nulls.
 
     One expression finds the prefix of all shapes; all else works on short pieces of the
-    line.  A null line gives nulls.
+    line.  What several columns need is a column too, so it is computed once.
     """
     line = F.col(text)
-    pattern = timestamps.prefix_pattern(config.head_window, reference is not None)
+    c = lambda n: F.col(as_ + n)
+    add = lambda **new: df.withColumns({as_ + n: v for n, v in new.items()})
+    pattern = timestamps.prefix_pattern(config.head_window, reference)
     # a line without hh:mm:ss and without a leading epoch cannot have a prefix
     likely = line.rlike(r"[0-9]:[0-9]{2}:[0-9]|^[0-9]{10}")
-    df = df.withColumn("_hit", F.when(likely, F.regexp_extract(line, pattern, 0)).otherwise(""))
-    df = df.withColumn("_head", F.when(F.col("_hit") != "", F.regexp_extract(line, pattern, 1)))
-    df = df.withColumn("_stamp", F.when(F.octet_length("_head") < config.head_window, F.substring("_hit", F.length("_head") + 1, F.length("_hit"))))
-    df = df.withColumn("_shape", timestamps.shape_of(F.col("_stamp")))
-    df = df.withColumn("_at", timestamps.from_stamp(F.col("_stamp"), F.col("_shape"), tz_offset_minutes, reference))
-    found = F.col("_at.instant").isNotNull()
+    df = add(hit=F.when(likely, F.regexp_extract(line, pattern, 0)).otherwise(""))
+    df = add(head=F.when(c("hit") != "", F.regexp_extract(c("hit"), pattern, 1)))
+    df = add(stamp=F.when(F.octet_length(c("head")) < config.head_window, F.substring(c("hit"), F.length(c("head")) + 1, F.length(c("hit")))))
+    df = add(shape=timestamps.shape_of(c("stamp")))
+    df = add(when_=timestamps.stamp_text(c("stamp"), c("shape")))
+    df = add(at=timestamps.stamp_instant(c("stamp"), c("shape"), c("when_"), tz_offset_minutes, reference))
+    found = c("at").isNotNull()
     # a bracket that opens right before the timestamp goes with its closing one
-    after = F.substring(line, F.length("_hit") + 1, F.length(line))
-    opener, closer = F.substring("_head", -1, 1), F.substring(after, 1, 1)
-    closed = F.concat(opener, closer).isin("[]", "()", "<>")
-    df = df.withColumn("_rest_raw", F.when(found, F.when(closed, F.substring(after, 2, F.length(after))).otherwise(after)))
-    df = df.withColumn("_before", F.when(found, levels.trimmed(F.when(closed, F.regexp_replace("_head", r".$", "")).otherwise(F.col("_head")))))
-    # logcat: columns between the time and the tag
-    parts = F.when(found & (F.col("_shape") == "logcat"), F.split(F.regexp_replace("_stamp", " +", " "), " "))
-    df = df.withColumn("_parts", parts)
-    size = F.size("_parts")
-    letter = F.when(F.col("_shape") == "klog", F.regexp_extract("_stamp", "^([VTDIWEF])", 1)).when(F.col("_shape") == "logcat", F.element_at("_parts", -2))
-    df = df.withColumn("_letter", F.when(found, letter))
-    tag = F.regexp_replace(F.element_at("_parts", -1), ":$", "")
-    pid, tid = F.element_at("_parts", -4), F.element_at("_parts", -3)
+    df = add(after=F.when(found, F.substring(line, F.length(c("hit")) + 1, F.length(line))))
+    closed = F.concat(F.substring(c("head"), -1, 1), F.substring(c("after"), 1, 1)).isin("[]", "()", "<>")
+    df = add(
+        rest_raw=F.when(closed, F.substring(c("after"), 2, F.length(c("after")))).otherwise(c("after")),
+        before=F.when(found, levels.trimmed(F.when(closed, F.regexp_replace(c("head"), r".$", "")).otherwise(c("head")))),
+        # logcat: columns between the time and the tag
+        parts=F.when(found & (c("shape") == "logcat"), F.split(F.regexp_replace(c("stamp"), " +", " "), " ")),
+    )
+    letter = F.when(c("shape") == "klog", F.regexp_extract(c("stamp"), "^([VTDIWEF])", 1)).when(c("shape") == "logcat", F.element_at(c("parts"), -2))
+    df = add(letter=F.when(found, letter), rest=_lead_trim(c("rest_raw")))
+    tag = F.regexp_replace(F.element_at(c("parts"), -1), ":$", "")
+    pid, tid = F.element_at(c("parts"), -4), F.element_at(c("parts"), -3)
     record = F.create_map(F.lit("tag"), _text_value(tag), F.lit("pid"), _text_value(pid, True), F.lit("tid"), _text_value(tid, True))
-    record = F.when(size == 7, _merged(record, F.create_map(F.lit("uid"), _text_value(F.try_element_at("_parts", F.lit(-5)), True)))).otherwise(record)
-    df = df.withColumn("_record", F.when(size >= 6, record).otherwise(structured.empty_fields()))
-    df = df.withColumn("_identity", F.when(size >= 6, F.to_json(F.struct(pid.alias("p"), tid.alias("t"), tag.alias("g"), F.col("_letter").alias("l")))))
+    uid = F.create_map(F.lit("uid"), _text_value(F.try_element_at(c("parts"), F.lit(-5)), True))
+    size = F.size(c("parts"))
     # level by position: the letter, else the next token
-    rest = _lead_trim(F.col("_rest_raw"))
-    df = df.withColumn("_rest", rest).withColumn("_by_letter", levels.from_letter(F.col("_letter")))
-    token = F.regexp_extract("_rest", r"(?U)^(\S+)", 1)
-    df = df.withColumn("_by_token", F.when(found & F.col("_by_letter").isNull() & (token != ""), levels.from_token(token)))
-    df = df.withColumn("_rest", F.when(F.col("_by_token").isNotNull(), _lead_trim(F.regexp_replace("_rest", r"(?U)^\S+", ""))).otherwise(F.col("_rest")))
-    df = df.withColumn("_level", F.coalesce("_by_letter", "_by_token"))
+    by_letter = levels.from_letter(c("letter"))
+    df = add(
+        record=F.when(size == 7, F.map_concat(record, uid)).when(size >= 6, record),
+        identity=F.when(size >= 6, F.to_json(F.struct(pid.alias("p"), tid.alias("t"), tag.alias("g"), c("letter").alias("l")))),
+        by_letter=by_letter,
+        token=F.when(found & by_letter.isNull(), F.regexp_extract(c("rest"), r"(?U)^(\S+)", 1)),
+    )
+    df = add(word=levels.token_word(c("token")))
+    df = add(by_token=levels.from_token(c("token"), c("word")))
+    df = add(rest=F.when(c("by_token").isNotNull(), _lead_trim(F.regexp_replace(c("rest"), r"(?U)^\S+", ""))).otherwise(c("rest")))
     # payload behind the prefix
-    body = levels.trimmed(F.col("_rest"))
-    braced = F.col("_rest").startswith("{")
-    df = df.withColumn("_json", F.when(braced & structured.is_json(body), structured.json_fields(body)))
-    pairs_likely = (F.length("_rest") - F.length(F.replace("_rest", F.lit("="), F.lit("")))) >= config.payload_min_pairs
-    df = df.withColumn("_tokens", F.when(~braced & pairs_likely, structured.logfmt_tokens(F.col("_rest"))))
-    df = df.withColumn("_pairs", F.when(structured.pair_count(F.col("_tokens")) >= config.payload_min_pairs, structured.logfmt_fields(F.col("_tokens"))))
-    df = df.withColumn("_raw", F.coalesce("_json", "_pairs"))
-    default = F.when(F.col("_json").isNotNull(), "").otherwise(structured.logfmt_words(F.col("_tokens")))
-    df = df.withColumn("_payload", F.when(F.col("_raw").isNotNull(), structured.extracted(F.col("_raw"), tz_offset_minutes, default)))
-    has_payload, own = F.col("_raw").isNotNull(), F.col("_payload.instant")
-    differs = own.isNotNull() & (own != F.col("_at.instant"))
-    joined = F.array_join(F.filter(F.array("_before", "_rest"), lambda p: p != ""), " ")
-    message = F.when(has_payload, F.col("_payload.message")).when(found, joined).otherwise(line)
-    df = df.withColumn("_message", message)
-    fields = F.when(has_payload, _merged(F.col("_record"), F.col("_payload.fields"))).otherwise(F.coalesce("_record", structured.empty_fields()))
-    df = df.withColumn("_fields", fields)
-    prefix_ts = F.create_map(F.lit("prefix_ts"), _text_value(timestamps.rfc3339(F.col("_at.instant"))))
-    fields = F.when(has_payload & differs, _merged(F.col("_fields"), prefix_ts)).otherwise(F.col("_fields"))
-    by_text = levels.in_text(F.col("_message"))
-    level = F.when(has_payload, F.coalesce("_payload.level", "_level")).when(found, F.coalesce(F.col("_level"), by_text)).otherwise(by_text)
-    made = F.struct(
-        F.when(has_payload, F.coalesce(own, F.col("_at.instant"))).otherwise(F.col("_at.instant")).alias("instant"),
-        F.when(has_payload & own.isNotNull(), F.col("_payload.default_tz")).otherwise(F.coalesce(found & F.col("_at.default_tz"), F.lit(False))).alias("default_tz"),
-        F.when(has_payload & own.isNotNull(), F.lit(False)).otherwise(F.coalesce(found & F.col("_at.year_inferred"), F.lit(False))).alias("year_inferred"),
-        level.alias("level"),
-        F.col("_message").alias("message"),
-        fields.alias("fields"),
-        F.when(found, F.col("_shape")).alias("shape"),
-        F.when(found, F.octet_length("_head")).alias("offset"),
-        F.col("_rest_raw").alias("rest_raw"),
-        F.col("_identity").alias("identity"),
+    body, braced = levels.trimmed(c("rest")), c("rest").startswith("{")
+    df = add(parsed=F.when(braced, structured.parsed_json(body)))
+    df = add(repeated=braced & structured.repeats_keys(body, c("parsed")))
+    pairs_likely = (F.length(c("rest")) - F.length(F.replace(c("rest"), F.lit("="), F.lit("")))) >= config.payload_min_pairs
+    df = add(
+        members=F.when(braced & (structured.is_whole(c("parsed")) | c("repeated")), structured.json_members(body, c("parsed"), c("repeated"))),
+        tokens=F.when(~braced & pairs_likely, structured.logfmt_tokens(c("rest"))),
     )
-    kept = [c for c in df.columns if not c.startswith("_") or c in _CARRIED]
-    return df.select(*kept, settled(made).alias(as_))
+    df = add(pairs=F.when(structured.pair_count(c("tokens")) >= config.payload_min_pairs, structured.logfmt_pairs(c("tokens"))))
+    df = add(texts=F.when(c("pairs").isNotNull(), structured.as_map(c("pairs")["key"], c("pairs")["value"])))
+    default = F.when(c("members").isNotNull(), "").otherwise(structured.logfmt_words(c("tokens")))
+    df = structured.extracted(df, as_ + "own_", as_ + "members", as_ + "texts", tz_offset_minutes, default)
+    has_payload, own = c("members").isNotNull() | c("texts").isNotNull(), c("own_instant")
+    joined = F.when(c("before") == "", c("rest")).when(c("rest") == "", c("before")).otherwise(F.concat_ws(" ", c("before"), c("rest")))
+    df = add(message=F.when(has_payload, c("own_message")).when(found, joined).otherwise(line))
+    by_prefix = F.coalesce(c("by_letter"), c("by_token"))
+    has_own = has_payload & own.isNotNull()
+    return add(
+        instant=F.when(has_own, own).otherwise(c("at")),
+        naive=F.when(has_own, c("own_naive")).otherwise(found & timestamps.stamp_is_naive(c("shape"), c("when_"))),
+        inferred=F.when(has_own, False).otherwise(found & c("shape").isin(*timestamps.YEARLESS)),
+        level=F.when(has_payload, F.coalesce(c("own_level"), by_prefix)).when(found, F.coalesce(by_prefix, levels.in_text(c("message")))).otherwise(levels.in_text(c("message"))),
+        taken=F.when(has_payload, c("own_taken")),
+        prefix=F.when(has_own & (own != c("at")), c("at")),
+        offset=F.when(found, F.octet_length(c("head"))),
+        shape=F.when(found, c("shape")),
+    )
+
+
+#: What of a plain line its fields are made of.
+FIELD_PARTS = ("members", "texts", "taken", "record", "prefix")
 
 
-#: Columns of callers that begin like the ones made on the way.
-_CARRIED = ("_time", "_stream")
+def plain_fields(part: Callable[[str], Column]) -> Column:
+    """The fields of a plain line from its ``FIELD_PARTS``."""
+    open_ = lambda m, typed: typed(F.map_filter(m, lambda k, v: ~F.array_contains(part("taken"), k)))
+    payload = F.when(part("members").isNotNull(), open_(part("members"), structured.typed_members)).when(part("texts").isNotNull(), open_(part("texts"), structured.typed_texts))
+    record, none = part("record"), structured.empty_fields()
+    fields = F.when(record.isNotNull() & payload.isNotNull(), _merged(record, payload)).otherwise(F.coalesce(record, payload, none))
+    prefix = F.create_map(F.lit("prefix_ts"), _text_value(timestamps.rfc3339(part("prefix"))))
+    return F.when(part("prefix").isNotNull(), _merged(fields, prefix)).otherwise(fields)
 
 
-def prefix_only(line: Column, reference: datetime | None, config: Config, tz_offset_minutes: int = 0) -> Column:
+def prefix_only(line: Column, reference: datetime | None, config: Config) -> Column:
     """A struct (shape, offset) of a line's prefix; nulls if it has none."""
-    pattern = timestamps.prefix_pattern(config.head_window, reference is not None)
+    pattern = timestamps.prefix_pattern(config.head_window, reference)
     head = F.regexp_extract(line, pattern, 1)
     hit = F.regexp_extract(line, pattern, 0)
-    stamp = F.when((hit != "") & (F.octet_length(head) < config.head_window), F.substring(hit, F.length(head) + 1, F.length(hit)))
-    shape = timestamps.shape_of(stamp)
-    there = timestamps.from_stamp(stamp, shape, tz_offset_minutes, reference)["instant"].isNotNull()
-    return F.struct(F.when(there, shape).alias("shape"), F.when(there, F.octet_length(head)).alias("offset"))
+    there = (hit != "") & (F.octet_length(head) < config.head_window)
+    shape = timestamps.shape_of(F.when(there, F.substring(hit, F.length(head) + 1, F.length(hit))))
+    return F.struct(shape.alias("shape"), F.when(shape.isNotNull(), F.octet_length(head)).alias("offset"))

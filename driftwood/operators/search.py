@@ -7,9 +7,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftwood.functions.core import settled
+
 
 class QueryError(ValueError):
     """A search that cannot be compiled."""
@@ -25,16 +28,14 @@ class Search:
 
 def compile_search(raw: str, spark: SparkSession | None = None) -> Search:
     """``re:`` begins a regular expression, ``\\re:`` a literal ``re:``, anything else is a
-    substring.  Expressions are checked now, by Python and, given a session, by Spark."""
+    substring.  Expressions are Java's, so Spark itself checks them, now, over no data."""
     if not raw:
         return Search()
     if raw.startswith("re:"):
         pattern = raw[3:]
         try:
-            re.compile(pattern)
-            if spark is not None:
-                spark.range(1).select(F.lit("").rlike(pattern)).collect()
-        except Exception as e:
+            (spark or SparkSession.active()).range(1).select(F.lit("").rlike(pattern)).collect()
+        except PySparkException as e:
             raise QueryError(f"invalid regex: {e}") from e
         return Search("regex", pattern)
     return Search("substring", (raw[1:] if raw.startswith("\\re:") else raw).lower())
@@ -76,6 +77,19 @@ def format_bound(ms: int) -> str:
     return f"{at:%Y-%m-%dT%H:%M:%S}.{ms % 1000:03d}"
 
 
+def range_of(start: str, end: str) -> tuple[int, int] | None:
+    """The range between two typed bounds; None if both are empty.  Both are needed, and
+    the end is not before the start: anything else is an error."""
+    if not start.strip() and not end.strip():
+        return None
+    low, high = parse_bound(start), parse_bound(end)
+    if low is None or high is None:
+        raise QueryError("both bounds are needed, as dates and times")
+    if high < low:
+        raise QueryError("the end of the range is before its start")
+    return low, high
+
+
 def field_value(name: str) -> Column:
     """A field as text; ``level`` is the entry's level.  Null if there is none."""
     return F.col("level") if name == "level" else F.col("fields")[name]["value"]
@@ -112,55 +126,75 @@ def in_range(start_ms: int | None, end_ms: int | None) -> Column:
 
 def with_event(entries: DataFrame) -> DataFrame:
     """``entries`` with ``event``: the root's number, or the line's own if it continues
-    nothing that is there (an orphan is an event of its own)."""
-    if "event" in entries.columns:
+    nothing that is there (an orphan is an event of its own), and ``chained``: whether the
+    event may have several lines.  Parsed entries have both; after a cut they are found
+    again."""
+    if {"event", "chained"} <= set(entries.columns):
         return entries
     roots = entries.where("continuation_of IS NULL").select("source", F.col("ordinal").alias("continuation_of"), F.lit(True).alias("_there"))
     members = entries.where("continuation_of IS NOT NULL").select("source", "continuation_of").distinct()
     # only roots that something continues are joined
     there = members.join(roots, ["source", "continuation_of"])
-    joined = entries.join(there, ["source", "continuation_of"], "left")
+    heads = there.select("source", F.col("continuation_of").alias("ordinal"), F.lit(True).alias("_leads"))
+    joined = entries.join(there, ["source", "continuation_of"], "left").join(heads, ["source", "ordinal"], "left")
     event = F.when(F.col("_there"), F.col("continuation_of")).otherwise(F.col("ordinal"))
-    return joined.select(*entries.columns, event.alias("event"))
+    columns = [c for c in entries.columns if c not in ("event", "chained")]
+    return joined.select(*columns, event.alias("event"), F.coalesce("_there", "_leads", F.lit(False)).alias("chained"))
+
+
+def marked(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search()) -> DataFrame:
+    """``entries`` with ``matches``: whether the line's event is one whose root passes the
+    facets and of which any line matches the search.
+
+    Lines that are events by themselves are told where they are; only those of events with
+    several lines are shuffled, and formats without such events have none.
+    """
+    wanted = {k: list(v) for k, v in (facets or {}).items() if list(v)}
+    rows = with_event(entries)
+    if not wanted and search.kind == "none":
+        return rows.withColumn("matches", F.lit(True))
+    if "fields" in rows.columns and (search.kind != "none" or set(wanted) - {"level"}):
+        # fields are built once, however many tests look at them
+        rows = rows.select(*(settled(F.col(c)).alias(c) if c == "fields" else c for c in rows.columns))
+    passes, hit = matches_facets(wanted), matches_search(search)
+    alone = rows.where(~F.col("chained")).withColumn("matches", passes & hit)
+    event = Window.partitionBy("source", "event")
+    root = F.max(F.when(F.col("ordinal") == F.col("event"), passes)).over(event)
+    many = rows.where("chained").withColumn("matches", F.coalesce(root, F.lit(False)) & F.max(hit).over(event))
+    return alone.unionByName(many)
 
 
 def matching(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search()) -> DataFrame:
-    """``entries`` of events whose root passes the facets and of which any line matches
-    the search.  Events without members are tested where they are; only the lines of
-    events with members are shuffled."""
-    facets = {k: list(v) for k, v in (facets or {}).items()}
-    if not any(facets.values()) and search.kind == "none":
-        return entries
-    columns = entries.columns
-    rows = with_event(entries).withColumns({"_root": matches_facets(facets), "_hit": matches_search(search)})
-    grouped = rows.where(F.col("event") != F.col("ordinal")).select("source", "event").distinct().withColumn("_many", F.lit(True))
-    rows = rows.join(grouped, ["source", "event"], "left")
-    alone = rows.where(F.col("_many").isNull() & F.col("_root") & F.col("_hit")).select(*columns)
-    event = Window.partitionBy("source", "event")
-    many = rows.where("_many").withColumns(
-        {"_r": F.max(F.when(F.col("ordinal") == F.col("event"), F.col("_root"))).over(event), "_h": F.max("_hit").over(event)}
-    )
-    return alone.unionByName(many.where("_r AND _h").select(*columns))
+    """The ``entries`` that ``marked`` marks."""
+    return marked(entries, facets, search).where("matches").select(*entries.columns)
+
+
+#: Two characters that are no characters, put around matches.
+_OPEN, _CLOSE = "﷐", "﷑"
 
 
 def match_ranges(text: Column, search: Search) -> Column:
     """Places of all matches in a text, for highlighting: array of (start, end), from 0,
-    end exclusive, matches of no length left out."""
+    end exclusive, matches of no length left out.
+
+    Matches are marked by one walk over the whole text, so what a match looks at around
+    itself is there; their places are the lengths of what lies between the marks.
+    """
     empty = F.array().cast("array<struct<start:int,end:int>>")
     if search.kind == "none" or not search.text:
         return empty
-    subject, pattern = (F.lower(text), re.escape(search.text)) if search.kind == "substring" else (text, search.text)
-    found = F.regexp_extract_all(subject, F.lit(pattern), F.lit(0))
+    # letters alike but for their case are alike one by one, so no place shifts
+    pattern = f"(?iu){re.escape(search.text)}" if search.kind == "substring" else search.text
+    plain = F.translate(text, _OPEN + _CLOSE, "��")
+    parts = F.split(F.regexp_replace(plain, pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
 
-    def put(state: Column, m: Column) -> Column:
-        # the next place of this match at or after the last one's end
-        rest = F.substring(subject, state["at"] + 1, F.length(subject))
-        start = state["at"] + F.instr(rest, m) - 1
-        end = start + F.length(m)
-        return F.struct(end.alias("at"), F.concat(state["ranges"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("ranges"))
+    def put(state: Column, part: Column) -> Column:
+        end = state["at"] + F.length(part)
+        inside = F.when(state["odd"] & (end > state["at"]), F.array(F.struct(state["at"].alias("start"), end.alias("end")))).otherwise(empty)
+        return F.struct(end.alias("at"), (~state["odd"]).alias("odd"), F.concat(state["ranges"], inside).alias("ranges"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("ranges"))
-    return F.coalesce(F.aggregate(F.filter(found, lambda m: F.length(m) > 0), begin, put, lambda s: s["ranges"]), empty)
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("ranges"))
+    return F.coalesce(F.aggregate(parts, begin, put, lambda s: s["ranges"]), empty)
 
 
 def members(entries: DataFrame, ordinal: int, source: str | None = None) -> DataFrame:
@@ -169,6 +203,8 @@ def members(entries: DataFrame, ordinal: int, source: str | None = None) -> Data
     return (rows if source is None else rows.where(F.col("source") == source)).orderBy("source", "ordinal")
 
 
-def chain_sizes(entries: DataFrame) -> DataFrame:
-    """For each event: source, event, lines (root and members)."""
-    return with_event(entries).groupBy("source", "event").agg(F.count("*").alias("lines"))
+def chain_sizes(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search(), start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """For each event: source, event, lines (root and members), and visible, how many of
+    them a predicate lets through: all lines of a matching event that are in the range."""
+    shown = F.col("matches") & in_range(start_ms, end_ms)
+    return marked(entries, facets, search).groupBy("source", "event").agg(F.count("*").alias("lines"), F.count_if(shown).alias("visible"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftwood.config import Config
 from driftwood.operators.detect import is_blank
 from driftwood.operators.parse import ParseResult
-from driftwood.operators.search import Search, in_range, matching
+from driftwood.operators.search import Search, in_range, marked
 
 REASONS = ("invalid_json", "non_object_json", "unparsable_timestamp", "encoding_fallback", "chain_truncated")
 
@@ -43,9 +43,10 @@ def accounting(result: ParseResult) -> DataFrame:
 def counts(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search(), start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """One row: total, timestamped, timestampless, matching, in_range (matching ones), and
     shown, which is in_range if there is a range, else matching."""
-    base = entries.agg(F.count("*").alias("total"), F.count("ts_ms").alias("timestamped"))
-    held = matching(entries, facets, search).agg(F.count("*").alias("matching"), F.count_if(in_range(start_ms, end_ms)).alias("in_range"))
-    row = base.crossJoin(held)  # one row each
+    hit = F.col("matches")
+    row = marked(entries, facets, search).agg(
+        F.count("*").alias("total"), F.count("ts_ms").alias("timestamped"), F.count_if(hit).alias("matching"), F.count_if(hit & in_range(start_ms, end_ms)).alias("in_range")
+    )
     shown = F.col("matching") if start_ms is None or end_ms is None else F.col("in_range")
     return row.select("total", "timestamped", (F.col("total") - F.col("timestamped")).alias("timestampless"), "matching", "in_range", shown.alias("shown"))
 
@@ -65,6 +66,7 @@ def tail(entries: DataFrame, n: int = Config().retention) -> DataFrame:
     rows = entries.withColumn("_b", F.floor(F.col("ordinal") / size)).join(blocks, ["source", "_b"])
     # only the oldest block is cut inside
     order = Window.partitionBy("source", "_b").orderBy(F.desc("ordinal"))
+    columns = [c for c in entries.columns if c not in ("event", "chained")]  # roots may be cut off
     whole = rows.where(F.col("_after") + F.col("_n") <= keep)
     part = rows.where(F.col("_after") + F.col("_n") > keep).withColumn("_at", F.row_number().over(order)).where(F.col("_after") + F.col("_at") <= keep)
-    return whole.select(*entries.columns).unionByName(part.select(*entries.columns))
+    return whole.select(*columns).unionByName(part.select(*columns))

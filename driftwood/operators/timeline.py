@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.config import BUCKET_LADDER, Config
-from driftwood.operators.search import Search, in_range, matching, with_event
+from driftwood.operators.search import Search, in_range, marked
 
 
 def bucket_width_ms(span_ms: int, target: int = Config().target_buckets) -> int:
     """The least readable width that cuts the span into at most ``target`` buckets."""
-    span = max(span_ms, 1)
-    for seconds in BUCKET_LADDER:
-        if span / (seconds * 1000) <= target:
-            return seconds * 1000
-    year = BUCKET_LADDER[-1] * 1000
-    return year * -(-span // (year * target))
+    needed = -(-max(span_ms, 1) // target)
+    at = bisect_left(BUCKET_LADDER, needed, key=lambda seconds: 1000 * seconds)
+    if at < len(BUCKET_LADDER):
+        return 1000 * BUCKET_LADDER[at]
+    # beyond the ladder, whole multiples of its last step
+    return -(-needed // (1000 * BUCKET_LADDER[-1])) * 1000 * BUCKET_LADDER[-1]
 
 
 def bucket_count(span_ms: int, width_ms: int) -> int:
@@ -56,15 +57,8 @@ def histogram(
     """
     inside = in_range(start_ms, start_ms + width_ms * count)
     bucket = F.floor((F.col("ts_ms") - start_ms) / width_ms).cast("int").alias("bucket")
-    events = with_event(entries).where(F.col("event") == F.col("ordinal"))
-    total = events.where(inside).groupBy(bucket).agg(F.count("*").alias("total"))
-    wanted = {k: list(v) for k, v in (facets or {}).items() if list(v)}
-    if wanted or search.kind != "none":
-        held = matching(with_event(entries), wanted, search).where(F.col("event") == F.col("ordinal"))
-        hits = held.where(inside).groupBy(bucket).agg(F.count("*").alias("matching"))
-        total = total.join(hits, "bucket", "left")
-    else:
-        total = total.withColumn("matching", F.col("total"))
+    events = marked(entries, facets, search).where((F.col("event") == F.col("ordinal")) & inside)
+    total = events.groupBy(bucket).agg(F.count("*").alias("total"), F.count_if("matches").alias("matching"))
     every = entries.sparkSession.range(count).select(F.col("id").cast("int").alias("bucket"))
     rows = every.join(F.broadcast(total), "bucket", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)

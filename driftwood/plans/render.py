@@ -10,7 +10,10 @@ WORDS = {"error": "ERROR", "purchase": "warning", "signup": "notice", "click": "
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The table; dealt out evenly where it has fewer splits than there are cores."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def word() -> Column:
