@@ -1,20 +1,18 @@
-"""Binding a value to a name inside an expression."""
+"""Keeping what is computed from being computed again."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns by name, added one group after the other: a later group uses those of earlier ones.
+Stages = list[dict[str, Column]]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often the body uses it.
 
-    Columns are trees: used twice, an expression is planned and computed twice, and trees
-    of trees grow beyond what a plan can hold.
-    """
-    return F.transform(F.array(value), body)[0]
+def added(df: DataFrame, stages: Stages) -> DataFrame:
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df
 
 
 def settled(value: Column) -> Column:
@@ -24,3 +22,9 @@ def settled(value: Column) -> Column:
     of a parsed value does not parse it again, and the planner need not reason about it.
     """
     return F.explode_outer(F.array(value))
+
+
+def parted(df: DataFrame, keys: list[str], parts: dict[str, Column]) -> DataFrame:
+    """``keys`` and ``parts`` as columns, the parts settled."""
+    whole = settled(F.struct(*(c.alias(n) for n, c in parts.items())))
+    return df.select(*keys, whole.alias("_whole")).select(*keys, *(F.col("_whole")[n].alias(n) for n in parts))

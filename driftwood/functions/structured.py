@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftwood.config import LEVEL_KEYS, MESSAGE_KEYS, TIMESTAMP_KEYS
 from driftwood.functions import levels, timestamps
+from driftwood.functions.core import Stages
 
 _EMPTY = "map<string,struct<kind:string,value:string>>"
 _QUOTED = r'"(?:\\[\s\S]|[^"\\])*+(?:"|\\?$(?![\s\S]))'
@@ -144,36 +145,43 @@ def first_key(keys: tuple[str, ...], *maps: Column) -> Column:
     for k in reversed(keys):
         there = F.lit(False)
         for m in maps:
-            there = there | F.coalesce(F.map_contains_key(m, k), F.lit(False))
+            there = there | F.map_contains_key(m, k)
         chosen = F.when(there, F.lit(k)).otherwise(chosen)
     return chosen
 
 
-def extracted(df: DataFrame, as_: str, members: str, texts: str, tz_offset_minutes: int, default_message: Column) -> DataFrame:
-    """``df`` with a line's own values, in columns that begin with ``as_``: instant,
-    naive, bad (a timestamp that is none), level, message, and taken (the keys these came
-    from).  ``members`` (of JSON) and ``texts`` (of logfmt) name its maps, either may be null.
+def extracted(as_: str, members: str | None, texts: str | None, tz_offset_minutes: int, default_message: Column) -> Stages:
+    """Columns of a line's own values, whose names begin with ``as_``: instant, naive, bad
+    (a timestamp that is none), level, message, and taken (the keys these came from).
+    ``members`` (of JSON) and ``texts`` (of logfmt) name its maps; where there are both, one
+    of them is null.
 
     The first key present decides: a timestamp key whose value is none stays a field and
     is reported, a level key is taken even if it names no level.
     """
-    maps = (F.col(members), F.col(texts))
+    maps = [F.col(m) for m in (members, texts) if m is not None]
     keys = {"ts": TIMESTAMP_KEYS, "lv": LEVEL_KEYS, "ms": MESSAGE_KEYS}
-    df = df.withColumns({f"{as_}k_{n}": first_key(k, *maps) for n, k in keys.items()})
     k = {n: F.col(f"{as_}k_{n}") for n in keys}
+    v = {n: F.col(f"{as_}v_{n}") for n in keys}
 
     def value(key: Column) -> Column:
-        return F.when(key.isNotNull(), F.coalesce(maps[1][key], F.when(maps[0].isNotNull(), json_text(maps[0][key]))))
-
-    df = df.withColumn(f"{as_}stamp", levels.trimmed(value(k["ts"])))
-    df = df.withColumn(f"{as_}instant", timestamps.value_instant(F.col(f"{as_}stamp"), tz_offset_minutes))
-    found = F.col(f"{as_}instant").isNotNull()
-    return df.withColumns(
-        {
-            f"{as_}naive": found & timestamps.value_is_naive(F.col(f"{as_}stamp")),
-            f"{as_}bad": F.when(k["ts"].isNotNull() & ~found, k["ts"]),
-            f"{as_}level": levels.from_value(value(k["lv"])),
-            f"{as_}message": F.coalesce(value(k["ms"]), default_message),
-            f"{as_}taken": F.array_compact(F.array(F.when(found, k["ts"]), k["lv"], k["ms"])),
-        }
-    )
+        found = [] if texts is None else [F.col(texts)[key]]
+        if members is not None:
+            found.append(F.when(F.col(members).isNotNull(), json_text(F.col(members)[key])))
+        return F.when(key.isNotNull(), F.coalesce(*found))
+
+    found, stamp = F.col(f"{as_}instant").isNotNull(), F.col(f"{as_}stamp")
+    own = {
+        "naive": found & timestamps.value_is_naive(stamp),
+        "bad": F.when(k["ts"].isNotNull() & ~found, k["ts"]),
+        "level": levels.from_value(v["lv"]),
+        "message": F.coalesce(v["ms"], default_message),
+        "taken": F.array_compact(F.array(F.when(found, k["ts"]), k["lv"], k["ms"])),
+    }
+    return [
+        {f"{as_}k_{n}": first_key(names, *maps) for n, names in keys.items()},
+        {f"{as_}v_{n}": value(key) for n, key in k.items()},
+        {f"{as_}stamp": levels.trimmed(v["ts"])},
+        {f"{as_}instant": timestamps.value_instant(stamp, tz_offset_minutes)},
+        {f"{as_}{n}": c for n, c in own.items()},
+    ]

@@ -78,7 +78,8 @@ def shape_of(stamp: Column) -> Column:
 
 def _civil(text: Column) -> Column:
     """The instant of a date and time, read as UTC; null if there is none."""
-    short = F.when(text.rlike(r"\.[0-9]{7}"), F.regexp_replace(text, r"(\.[0-9]{6})[0-9]+", "$1")).otherwise(text)
+    # more digits of a second than six come only in long texts
+    short = F.when((F.octet_length(text) > 26), F.regexp_replace(text, r"(\.[0-9]{6})[0-9]+", "$1")).otherwise(text)
     return F.concat(short, F.lit("Z")).try_cast("timestamp")
 
 
@@ -109,8 +110,8 @@ def value_instant(text: Column, tz_offset_minutes: int = 0) -> Column:
     """The instant of a (trimmed) value: an integer is an epoch, else a date and time with
     an offset, else one without, which is read at ``tz_offset_minutes``.  Null if none."""
     utc = text.rlike("[Zz]$")
-    cut = F.upper(F.regexp_replace(text, r"(?:[Zz]|[+-][0-9]{2}:[0-9]{2})$", ""))
-    zoned = F.when(utc, _civil(cut)).otherwise(_shifted(_civil(cut), _east(F.substring(text, -6, 6))))
+    cut = lambda n: F.translate(F.substring(text, F.lit(1), F.octet_length(text) - n), "t", "T")
+    zoned = F.when(utc, _civil(cut(1))).otherwise(_shifted(_civil(cut(6)), _east(F.substring(text, -6, 6))))
     naive = _shifted(_civil(text), F.lit(tz_offset_minutes)) if tz_offset_minutes else _civil(text)
     return F.when(text.rlike(_ZONED), zoned).when(text.rlike(_NAIVE), naive).when(text.rlike(_NUMBER), from_epoch(text))
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.config import FORMATS, Config
 from driftwood.functions import levels, structured
-from driftwood.functions.core import settled
+from driftwood.functions.core import Stages, added, parted
 from driftwood.operators import chains
 from driftwood.operators.detect import detect, is_blank
-from driftwood.operators.plain import FIELD_PARTS, plain_fields, with_plain
+from driftwood.operators.plain import FIELD_PARTS, plain_fields, plain_stages
 
 DIAGNOSTICS = "source string, ordinal bigint, reason string, detail string"
 
@@ -30,89 +31,110 @@ class ParseResult:
     config: Config = Config()
 
 
-def _settled(df: DataFrame, base: dict[str, Column], parts: dict[str, Column], features: dict[str, Column] | None = None) -> DataFrame:
-    """Columns source, ordinal and those given, computed here once: neither a filter above
-    nor what is built of them computes them again."""
-    every = {**base, **parts, **(features or {})}
-    entry = F.struct(*(every[n].alias(n) for n in every))
-    return df.select("source", "ordinal", settled(entry).alias("_e")).select("source", "ordinal", *(F.col(f"_e.{n}").alias(n) for n in every))
-
-
-def _entries(df: DataFrame, fields: Column, continuation: Column | None = None) -> DataFrame:
-    """Entries, and what diagnostics need, of settled lines."""
-    alone = continuation is None
-    return df.select(
-        "source",
-        "ordinal",
-        F.col("instant").alias("timestamp"),
-        F.coalesce("naive", F.lit(False)).alias("timestamp_used_default_tz"),
-        F.coalesce("inferred", F.lit(False)).alias("timestamp_year_inferred"),
-        "level",
-        F.coalesce("message", F.lit("")).alias("message"),
-        fields.alias("fields"),
-        (F.lit(None).cast("bigint") if alone else continuation).alias("continuation_of"),
-        F.unix_millis("instant").alias("ts_ms"),
-        (F.col("ordinal") if alone else F.coalesce(continuation, "ordinal")).alias("event"),
-        (F.lit(False) if alone else F.col("chained")).alias("chained"),
-        "reason",
-        "detail",
-        *([] if alone else ["truncated_root"]),
-    )
+@lru_cache(64)
+def _entry(format: str) -> dict[str, Column]:
+    """The columns of entries, and what diagnostics need, of lines whose parts are settled."""
+    chains_ = format == "plain"
+    root = F.col("continuation_of") if chains_ else F.lit(None).cast("bigint")
+    if chains_:
+        fields = plain_fields()
+    else:
+        own = lambda m, typed: typed(F.map_filter(m, lambda k, v: ~F.array_contains(F.col("own_taken"), k)))
+        fields = F.coalesce(own("own", structured.typed_members if format == "json" else structured.typed_texts), structured.empty_fields())
+    if format == "json":
+        stream = F.create_map(F.lit("stream"), F.struct(F.lit("string").alias("kind"), F.col("stream").alias("value")))
+        fields = F.when(F.col("stream").isNotNull(), F.map_concat(F.map_filter(plain_fields(), lambda k, v: k != "stream"), stream)).otherwise(fields)
+    return {
+        "timestamp": F.col("instant"),
+        "timestamp_used_default_tz": F.coalesce("naive", F.lit(False)),
+        "timestamp_year_inferred": F.coalesce("inferred", F.lit(False)),
+        "level": F.col("level"),
+        "message": F.coalesce("message", F.lit("")),
+        "fields": fields,
+        "continuation_of": root,
+        "ts_ms": F.unix_millis("instant"),
+        "event": F.coalesce(root, "ordinal") if chains_ else F.col("ordinal"),
+        "chained": F.col("chained") if chains_ else F.lit(False),
+        "reason": F.col("reason"),
+        "detail": F.col("detail"),
+        "truncated_root": F.col("truncated_root") if chains_ else F.lit(None).cast("bigint"),
+    }
 
 
-def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
-    text = F.col("text")
-    df = lines.withColumn("_text", levels.trimmed(text)).withColumn("_parsed", structured.parsed_json(F.col("_text")))
-    df = df.withColumn("_repeated", structured.repeats_keys(F.col("_text"), F.col("_parsed")))
-    df = df.withColumn("_ok", structured.is_whole(F.col("_parsed")) | F.col("_repeated"))
-    df = df.withColumn("_members", F.when(F.col("_ok"), structured.json_members(F.col("_text"), F.col("_parsed"), F.col("_repeated"))))
-    m = F.col("_members")
+def _entries(df: DataFrame, format: str) -> DataFrame:
+    return df.select("source", "ordinal", *(c.alias(n) for n, c in _entry(format).items()))
+
+
+@lru_cache(64)
+def _json_stages(tz: int, reference: datetime | None, config: Config) -> tuple[Stages, dict[str, Column]]:
+    text, parsed, repeated, m = F.col("_text"), F.col("_parsed"), F.col("_repeated"), F.col("_members")
     is_text = lambda k: F.call_function("schema_of_variant", m[k]) == "STRING"
-    df = df.withColumn("_docker", F.coalesce((F.size("_members") == 3) & is_text("log") & is_text("stream") & is_text("time"), F.lit(False)))
-    df = df.withColumn("_none", F.lit(None).cast("map<string,string>"))
-    df = structured.extracted(df, "_o_", "_members", "_none", tz, F.lit(""))
-    # records of a container's log: the line inside is parsed as the plain line it is
     docker = F.col("_docker")
-    df = df.withColumn("_log", F.when(docker, F.regexp_replace(m["log"].cast("string"), "[\n\r]+$", "")))
-    df = with_plain(df, "_log", "_p_", tz, reference, config)
-    late = docker & F.col("_p_instant").isNull()
-    own = F.when(docker & ~late, F.col("_p_instant")).otherwise(F.col("_o_instant"))
+    stages = [
+        {"_text": levels.trimmed(F.col("text"))},
+        {"_parsed": structured.parsed_json(text)},
+        {"_repeated": structured.repeats_keys(text, parsed)},
+        {"_ok": structured.is_whole(parsed) | repeated},
+        {"_members": F.when(F.col("_ok"), structured.json_members(text, parsed, repeated))},
+        {"_docker": F.coalesce((F.size("_members") == 3) & is_text("log") & is_text("stream") & is_text("time"), F.lit(False))},
+        # records of a container's log: the line inside is parsed as the plain line it is
+        {"_log": F.when(docker, F.regexp_replace(m["log"].cast("string"), "[\n\r]+$", ""))},
+    ]
+    stages += structured.extracted("_o_", "_members", None, tz, F.lit(""))
+    stages += plain_stages("_log", "_p_", tz, reference, config)
+    inner = docker & F.col("_p_instant").isNotNull()
     bad = F.when(~docker, F.col("_o_bad"))
-    reason = F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json").when(bad.isNotNull(), "unparsable_timestamp")
-    base = {
-        "instant": own,
-        "naive": F.when(docker & ~late, F.col("_p_naive")).otherwise(F.col("_o_naive")),
-        "inferred": F.when(docker & ~late, F.col("_p_inferred")).otherwise(False),
+    parts = {
+        "instant": F.when(inner, F.col("_p_instant")).otherwise(F.col("_o_instant")),
+        "naive": F.when(inner, F.col("_p_naive")).otherwise(F.col("_o_naive")),
+        "inferred": F.when(inner, F.col("_p_inferred")),
         "level": F.when(docker, F.col("_p_level")).otherwise(F.col("_o_level")),
         "message": F.when(docker, F.col("_p_message")).otherwise(F.col("_o_message")),
-        "reason": reason,
+        "reason": F.when(~F.col("_ok"), "invalid_json").when(m.isNull(), "non_object_json").when(bad.isNotNull(), "unparsable_timestamp"),
         "detail": bad,
+        **{n: F.col(f"_p_{n}") for n in FIELD_PARTS},
+        "own": F.when(~docker, m),
+        "own_taken": F.col("_o_taken"),
+        "stream": F.when(docker, m["stream"].cast("string")),
     }
-    parts = {n: F.col(f"_p_{n}") for n in FIELD_PARTS} | {"own": F.when(~docker, m), "own_taken": F.col("_o_taken"), "stream": F.when(docker, m["stream"].cast("string"))}
-    df = _settled(df, base, parts)
-    own_fields = structured.typed_members(F.map_filter("own", lambda k, v: ~F.array_contains(F.col("own_taken"), k)))
-    stream = F.create_map(F.lit("stream"), F.struct(F.lit("string").alias("kind"), F.col("stream").alias("value")))
-    inner = F.map_concat(F.map_filter(plain_fields(F.col), lambda k, v: k != "stream"), stream)
-    return _entries(df, F.when(F.col("stream").isNotNull(), inner).when(F.col("own").isNotNull(), own_fields).otherwise(structured.empty_fields()))
+    return stages, parts
 
 
-def _parse_logfmt(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
-    df = lines.withColumn("_tokens", structured.logfmt_tokens(F.col("text"))).withColumn("_pairs", structured.logfmt_pairs(F.col("_tokens")))
-    df = df.withColumn("_texts", structured.as_map(F.col("_pairs.key"), F.col("_pairs.value"))).withColumn("_none", F.lit(None).cast("map<string,variant>"))
-    df = structured.extracted(df, "_o_", "_none", "_texts", tz, structured.logfmt_words(F.col("_tokens")))
+def _parse_json(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
+    stages, parts = _json_stages(tz, reference, config)
+    return _entries(parted(added(lines, stages), ["source", "ordinal"], parts), "json")
+
+
+@lru_cache(64)
+def _logfmt_stages(tz: int) -> tuple[Stages, dict[str, Column]]:
+    stages = [
+        {"_tokens": structured.logfmt_tokens(F.col("text"))},
+        {"_pairs": structured.logfmt_pairs(F.col("_tokens"))},
+        {"_texts": structured.as_map(F.col("_pairs.key"), F.col("_pairs.value"))},
+    ]
+    stages += structured.extracted("_o_", None, "_texts", tz, structured.logfmt_words(F.col("_tokens")))
     bad = F.col("_o_bad")
-    base = {n: F.col(f"_o_{n}") for n in ("instant", "naive", "level", "message")} | {"inferred": F.lit(False), "reason": F.when(bad.isNotNull(), "unparsable_timestamp"), "detail": bad}
-    df = _settled(df, base, {"texts": F.col("_texts"), "taken": F.col("_o_taken")})
-    return _entries(df, structured.typed_texts(F.map_filter("texts", lambda k, v: ~F.array_contains(F.col("taken"), k))))
+    parts = {n: F.col(f"_o_{n}") for n in ("instant", "naive", "level", "message")}
+    parts |= {"inferred": F.lit(False), "reason": F.when(bad.isNotNull(), "unparsable_timestamp"), "detail": bad, "own": F.col("_texts"), "own_taken": F.col("_o_taken")}
+    return stages, parts
+
+
+def _parse_logfmt(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
+    stages, parts = _logfmt_stages(tz)
+    return _entries(parted(added(lines, stages), ["source", "ordinal"], parts), "logfmt")
+
+
+@lru_cache(64)
+def _plain_parts() -> dict[str, Column]:
+    parts = {n: F.col(f"_p_{n}") for n in ("instant", "naive", "inferred", "level", "message", *FIELD_PARTS)}
+    parts |= chains.marks(F.col("text"), F.col("_p_message"), F.col("_p_shape").isNotNull(), F.col("_p_identity"), F.col("_p_rest_raw"))
+    none = F.lit(None).cast("string")
+    return parts | {"reason": none, "detail": none}
 
 
 def _parse_plain(lines: DataFrame, tz: int, reference: datetime | None, config: Config) -> DataFrame:
-    df = with_plain(lines, "text", "_p_", tz, reference, config)
-    base = {n: F.col(f"_p_{n}") for n in ("instant", "naive", "inferred", "level", "message")} | {n: F.lit(None).cast("string") for n in ("reason", "detail")}
-    parts = {n: F.col(f"_p_{n}") for n in FIELD_PARTS}
-    marks = chains.marks(F.col("text"), F.col("_p_message"), F.col("_p_shape").isNotNull(), F.col("_p_identity"), F.col("_p_rest_raw"))
-    df = chains.linked(_settled(df, base, parts, marks), config)
-    return _entries(df, plain_fields(F.col), F.col("continuation_of"))
+    df = parted(added(lines, plain_stages("text", "_p_", tz, reference, config)), ["source", "ordinal"], _plain_parts())
+    return _entries(chains.linked(df, config), "plain")
 
 
 _COLUMNS = ["source", "ordinal", "timestamp", "timestamp_used_default_tz", "timestamp_year_inferred", "level", "message", "fields", "continuation_of", "ts_ms", "event", "chained"]

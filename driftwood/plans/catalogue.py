@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwood.config import Config
@@ -17,10 +17,12 @@ from driftwood.functions import levels
 from driftwood.operators import inventory, search, stats, timeline
 from driftwood.operators.detect import detect, is_blank
 from driftwood.operators.parse import parse
-from driftwood.operators.search import Search, compile_search, in_range, matches_facets, matching
+from driftwood.operators.search import Search, compile_search, in_range, matching, range_of
 from driftwood.plans import render
-from driftwood.plans.spec import parse_spec
+from driftwood.plans.spec import parse_spec, unknown_fields
 from driftwood.sources import lines as sources
+from driftwood.sources.shared import shared_path
+from driftwood.sources.sinks import envelope, write_entries
 
 REFERENCE = datetime(2024, 12, 31, 23, 59, 59)
 DAY = 86_400_000
@@ -149,20 +151,36 @@ def prefix_payload_conflict(spark, d):
     return parse(render.as_lines(events, text), "plain").entries.select("ordinal", "ts_ms", _field("prefix_ts").isNotNull().alias("conflict"))
 
 
-@query(f"SELECT event_id + 1 AS ordinal, {_LEVEL} AS level, event_type AS message, 'stdout' AS stream, {_MS} AS ts_ms FROM events")
+@query(f"SELECT event_id + 1 AS ordinal, CASE event_type WHEN 'signup' THEN NULL ELSE {_LEVEL} END AS level, event_type AS message, 'stdout' AS stream, {_MS} AS ts_ms FROM events")
 def docker_unwrap(spark, d):
+    # the line inside has no prefix, so its level is what the scan of free text finds
     body = F.struct(F.concat(render.word(), F.lit(" "), "event_type", F.lit("\n")).alias("log"), F.lit("stdout").alias("stream"), F.concat(render.iso(), F.lit("Z")).alias("time"))
     found = parse(render.as_lines(render.events(spark, d), F.to_json(body)), "json").entries
-    # without a prefix the level is found by the scan, which knows neither all words
-    level = F.coalesce("level", F.when(F.col("message").startswith("notice"), "INFO"))
-    return found.select("ordinal", level.alias("level"), F.regexp_replace("message", "^[A-Za-z]+ ", "").alias("message"), _field("stream").alias("stream"), "ts_ms")
+    return found.select("ordinal", "level", F.regexp_replace("message", "^[A-Za-z]+ ", "").alias("message"), _field("stream").alias("stream"), "ts_ms")
 
 
-@query("SELECT * FROM (VALUES ('json', 'json', 1.0, 'threshold', NULL, NULL), ('logfmt', 'logfmt', 1.0, 'threshold', NULL, NULL), ('plain', 'plain', 1.0, 'threshold', 'iso8601', 0)) AS t(source, format, match_fraction, outcome, timestamp_shape, timestamp_offset)")
+_SAMPLE = "(SELECT *, row_number() OVER (ORDER BY event_id) AS k FROM events)"
+
+
+@query(f"""
+WITH f AS (SELECT event_type = 'view' AS a, user_id % 3 = 0 AS b, event_id FROM {_SAMPLE} WHERE k <= 100),
+s AS (SELECT avg(CAST(event_id % 10 <> 3 AS INT)) AS j, avg(CAST(event_id % 8 <> 1 AS INT)) AS l, avg(CAST(event_id % 7 <> 2 AS INT)) AS p, avg(CAST(a AS INT)) AS q,
+  count(*) FILTER (event_id % 7 <> 2 AND b) AS slash, count(*) FILTER (event_id % 7 <> 2 AND NOT b) AS iso FROM f)
+SELECT 'json' AS source, CASE WHEN j >= 0.8 THEN 'json' ELSE 'plain' END AS format, j AS match_fraction, CASE WHEN j >= 0.8 THEN 'threshold' ELSE 'fallback' END AS outcome, NULL AS timestamp_shape, NULL AS timestamp_offset FROM s
+UNION ALL SELECT 'logfmt', CASE WHEN l >= 0.8 THEN 'logfmt' ELSE 'plain' END, l, CASE WHEN l >= 0.8 THEN 'threshold' ELSE 'fallback' END, NULL, NULL FROM s
+UNION ALL SELECT 'plain', 'plain', p, CASE WHEN p >= 0.8 THEN 'threshold' ELSE 'fallback' END, CASE WHEN iso > slash THEN 'iso8601' ELSE 'slash-date' END, CASE WHEN iso > slash THEN 0 ELSE 5 END FROM s
+UNION ALL SELECT 'some', CASE WHEN q >= 0.8 THEN 'json' ELSE 'plain' END, q, CASE WHEN q >= 0.8 THEN 'threshold' ELSE 'fallback' END, NULL, NULL FROM s""")
 def detect_format(spark, d):
-    events = render.events(spark, d)
-    rows = [f(events).withColumn("source", F.lit(s)) for s, f in (("json", render.json_lines), ("logfmt", render.logfmt_lines), ("plain", render.plain_lines))]
-    return detect(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    events, n = render.events(spark, d), F.col("event_id")
+    prose = F.lit("some words only")
+    mixed = {
+        "json": F.when(n % 10 != 3, F.to_json(F.struct("user_id"))).otherwise(prose),
+        "logfmt": F.when(n % 8 != 1, F.concat(F.lit("user="), "user_id", F.lit(" kind="), "event_type")).otherwise(prose),
+        "plain": F.when(n % 7 == 2, prose).when(F.col("user_id") % 3 == 0, F.concat(F.lit("host "), render.stamp("yyyy/MM/dd HH:mm:ss"))).otherwise(render.iso()),
+        "some": F.when(F.col("event_type") == "view", F.to_json(F.struct("user_id"))).otherwise(prose),
+    }
+    rows = [render.as_lines(events, text, source) for source, text in mixed.items()]
+    return detect(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), REFERENCE)
 
 
 @query("SELECT * FROM (SELECT 'invalid_json' AS reason, count(*) FILTER (event_id % 7 = 0) AS n FROM events UNION ALL SELECT 'non_object_json', count(*) FILTER (event_id % 7 = 1) FROM events UNION ALL SELECT 'unparsable_timestamp', count(*) FILTER (event_id % 7 = 2) FROM events) WHERE n > 0")
@@ -174,7 +192,7 @@ def malformed_diagnostics(spark, d):
 
 @query("SELECT event_id + 1 AS ordinal FROM events WHERE event_type IN ('error', 'click') AND user_id IN (1, 2, 3, 50)")
 def facet_or_and(spark, d):
-    return _json(spark, d).where(matches_facets({"kind": ["error", "click"], "user": ["1", "2", "3", "50"], "level": []})).select("ordinal")
+    return matching(_json(spark, d), {"kind": ["error", "click"], "user": ["1", "2", "3", "50"], "level": []}).select("ordinal")
 
 
 @query("SELECT event_id + 1 AS ordinal FROM events WHERE contains(lower('event ' || event_type), 'nt pur') OR contains(CAST(user_id AS VARCHAR), 'nt pur')")
@@ -362,16 +380,20 @@ def retention_tail(spark, d):
 
 @query(f"SELECT {_SEC} AS second_ms, count(*) AS lines FROM events GROUP BY 1")
 def rate_per_second(spark, d):
-    events = render.events(spark, d)
-    return events.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("lines")).select(F.unix_millis(F.col("w.start").cast("timestamp")).alias("second_ms"), "lines")
+    from driftwood.streaming.live import rates
 
+    arrived = render.events(spark, d).select(F.col("ts").cast("timestamp").alias("arrived"))
+    return rates(arrived).select(F.unix_millis("start").alias("second_ms"), "lines")
 
-@query("SELECT event_id AS seq, event_type AS text FROM events WHERE event_id < 700")
+
+@query("SELECT event_id AS seq, event_type AS text FROM events")
 def snapshot_live_dedup(spark, d):
     from driftwood.streaming.live import merged
 
     rows = render.events(spark, d).select(F.lit("s").alias("source"), F.lit(0).alias("epoch"), F.col("event_id").alias("seq"), F.col("event_type").alias("text"))
-    return merged(rows.where("seq < 500"), rows.where("seq >= 400 AND seq < 700")).select("seq", "text")
+    last = rows.agg(F.max("seq")).head()[0] or 0
+    # the snapshot ends behind the place from which the live lines are sent again
+    return merged(rows.where(F.col("seq") <= 0.6 * last), rows.where(F.col("seq") >= 0.5 * last)).select("seq", "text")
 
 
 @query("SELECT event_id + 1 AS ordinal, CASE WHEN event_type = 'error' THEN '[(6,11)]' ELSE '[]' END AS ranges FROM events")
@@ -385,3 +407,137 @@ def match_highlight(spark, d):
 def json_line_counts(spark, d):
     text = F.when(F.col("event_id") % 4 == 0, "{oops").when(F.col("event_id") % 4 == 1, "[1]").when(F.col("event_id") % 4 == 2, "17").otherwise('{"a":"b"}')
     return sources.json_line_counts(render.as_lines(render.events(spark, d), text))
+
+
+def _ranges_text(found):
+    return F.concat(F.lit("["), F.array_join(F.transform(found, lambda r: F.concat(F.lit("("), r["start"].cast("string"), F.lit(","), r["end"].cast("string"), F.lit(")"))), ","), F.lit("]"))
+
+
+@query("""SELECT event_id + 1 AS ordinal, CASE WHEN user_id % 2 = 0 THEN '[(7,10)]' ELSE '[(0,3),(8,11)]' END AS ranges FROM events""")
+def match_highlight_boundaries(spark, d):
+    """What a match looks at around itself counts: whole words only."""
+    text = F.when(F.col("user_id") % 2 == 0, "concat cat").otherwise("cat con cat")
+    return render.events(spark, d).select((F.col("event_id") + 1).alias("ordinal"), _ranges_text(search.match_ranges(text, Search("regex", r"\bcat\b"))).alias("ranges"))
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE regexp_matches(event_type, '^\\pL+$') AND event_type <> 'view'")
+def search_dialect(spark, d):
+    """A pattern that only the dialect of the engine knows: a class of letters, possessive."""
+    return matching(_json(spark, d), {}, compile_search(r"re:^event (?!view)\p{L}++$", spark)).select("ordinal")
+
+
+@query(f"SELECT event_id + 1 AS ordinal, {_SEC} AS ts_ms, event_id % 2 = 0 AS epoch_before FROM events")
+def prefix_past_bad_dates(spark, d):
+    """A date that does not exist and a number that is no epoch do not end the search."""
+    bad = F.when(F.col("event_id") % 2 == 0, "9999999999999999999 ").otherwise("2023-02-29T10:00:00Z [")
+    text = F.concat(bad, render.stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"), F.when(F.col("event_id") % 2 == 0, " INFO x").otherwise("] INFO x"))
+    found = parse(render.as_lines(render.events(spark, d), text), "plain").entries
+    return found.select("ordinal", "ts_ms", F.col("message").startswith("9999").alias("epoch_before"))
+
+
+@query(f"SELECT event_id + 1 AS ordinal FROM events WHERE {_MS} >= {START + 3 * DAY} AND {_MS} < {START + 6 * DAY}")
+def range_bounds(spark, d):
+    low, high = range_of("2024-01-04T00:00:00", " 2024-01-07 00:00:00.000 ")
+    return _json(spark, d).where(in_range(low, high)).select("ordinal")
+
+
+@query("SELECT event_id + 1 AS ordinal FROM events WHERE event_type = 'click'")
+def unknown_field_facets(spark, d):
+    spec, gone = unknown_fields(parse_spec("filter=kind%3Dclick&filter=pod%3Dx").spec, {"kind", "user", "props"})
+    if gone != ("pod",):
+        raise ValueError(f"unknown fields {gone}")
+    return spec.apply(_json(spark, d)).select("ordinal")
+
+
+@query("SELECT event_id + 1 AS ordinal, event_type AS word, 'first ' || event_type || ' last' AS message FROM events")
+def logfmt_bare_words(spark, d):
+    text = F.concat(F.lit("first user="), "user_id", F.lit(" "), "event_type", F.lit(' word="'), "event_type", F.lit('" last'))
+    return parse(render.as_lines(render.events(spark, d), text), "logfmt").entries.select("ordinal", _field("word").alias("word"), "message")
+
+
+@query("SELECT count(*) AS entries, 0 AS linked, count(*) FILTER (event_id % 3 = 1) AS frames FROM events")
+def logfmt_never_chains(spark, d):
+    text = F.when(F.col("event_id") % 3 == 1, "  at a.b").otherwise(F.concat(F.lit("level=error kind="), "event_type"))
+    found = parse(render.as_lines(render.events(spark, d), text), "logfmt").entries
+    return found.agg(F.count("*").alias("entries"), F.count("continuation_of").alias("linked"), F.count_if(F.col("message") == "at a.b").alias("frames"))
+
+
+_ROOT = "(SELECT min(event_id) * 6 + 1 FROM events WHERE event_type = 'error' AND event_id % 5 = 4)"
+
+
+@query(f"SELECT ordinal, ordinal = root AS is_root FROM ({_FRAMES}) WHERE root = {_ROOT}")
+def chain_members(spark, d):
+    """One event by its root's number: the root, then its members."""
+    from driftwood.session import Log
+
+    lines = render.chained_lines(render.events(spark, d))
+    log = Log(parse(lines, "plain"))
+    root = render.events(spark, d).where("event_type = 'error' AND event_id % 5 = 4").agg(F.min("event_id") * 6 + 1).head()[0]
+    both = log.get(root, "events").unionByName(log.members(root, "events"))
+    return both.select("ordinal", (F.col("ordinal") == root).alias("is_root"))
+
+
+@query(f"SELECT root AS event, count(*) AS lines, count(*) FILTER (event_type = 'error' AND i = 0 AND {_MS} < {START + 10 * DAY}) AS visible FROM ({_FRAMES}) GROUP BY 1")
+def chain_size_visible(spark, d):
+    """Members have no time of their own, so a range shows the root alone."""
+    found = search.chain_sizes(_chained(spark, d), {"level": ["ERROR"]}, Search(), START, START + 10 * DAY)
+    return found.select("event", "lines", "visible")
+
+
+@query("SELECT event_id + 1 AS ordinal, 'invalid_json' AS reason FROM events WHERE event_id % 7 = 0 ORDER BY 1 LIMIT 40")
+def diagnostic_examples(spark, d):
+    text = F.when(F.col("event_id") % 7 == 0, '{"a":').otherwise('{"a":1}')
+    return stats.diagnostic_examples(parse(render.as_lines(render.events(spark, d), text), "json"), 40).select("ordinal", "reason")
+
+
+@query("SELECT count(*) AS total_lines, count(*) FILTER (event_id % 4 = 0) AS malformed, count(*) FILTER (event_id % 4 = 0) / count(*) AS skip_ratio, count(*) FILTER (event_id % 4 = 0) / count(*) > 0.2 AS severe FROM events")
+def skip_ratio(spark, d):
+    text = F.when(F.col("event_id") % 4 == 0, "{oops").otherwise('{"a":"b"}')
+    return stats.accounting(parse(render.as_lines(render.events(spark, d), text), "json")).select("total_lines", "malformed", "skip_ratio", "severe")
+
+
+_LADDER = "(VALUES (1), (5), (10), (30), (60), (300), (600), (1800), (3600), (10800), (21600), (43200), (86400), (604800), (2592000), (31536000)) AS l(w)"
+
+
+@query(f"""
+WITH s AS (SELECT n_nationkey AS k, CAST(1000 * power(n_nationkey + 1, 5) AS BIGINT) AS span FROM nation),
+w AS (SELECT k, span, (SELECT min(w) FROM {_LADDER} WHERE span <= w * 120000) * 1000 AS width FROM s)
+SELECT k, CAST(width AS BIGINT) AS width, CAST({START + 1} // width * width AS BIGINT) AS start, CAST(ceil(span / width) AS BIGINT) AS buckets FROM w""")
+def histogram_layout(spark, d):
+    spans = [(r[0], 1000 * (r[0] + 1) ** 5) for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()]
+    laid = [(k, *timeline.layout(START + 1, START + 1 + span)) for k, span in spans]
+    return spark.createDataFrame([(k, w, s, n) for k, s, w, n in laid], "k bigint, width bigint, start bigint, buckets bigint")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 9 = 4 THEN 'caf' || chr(233) ELSE event_type END AS text, event_id % 9 = 4 AS used_fallback FROM events")
+def file_scan(spark, d):
+    """A file written from the table and read back: numbers, carriage returns, encodings."""
+    folder = shared_path(spark, "lines")
+    latin = F.unhex(F.lit("636166E90D")).cast("string")
+    text = F.when(F.col("event_id") % 9 == 4, latin).otherwise(F.concat("event_type", F.lit("\r")))
+    spark.read.parquet(f"{d}/events.parquet").coalesce(1).sortWithinPartitions("event_id").select(text).write.text(folder)
+    return sources.read_text(spark, folder).select("ordinal", "text", "used_fallback")
+
+
+@query("SELECT event_type AS kind, sum(octet_length(encode(event_type || chr(10)))) AS bytes, event_type = 'click' AS binary, false AS empty FROM events GROUP BY 1")
+def binary_heads(spark, d):
+    folder = shared_path(spark, "heads")
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", F.when(F.col("event_type") == "click", F.concat(F.lit("cli"), F.unhex(F.lit("00")).cast("string"), F.lit("k"))).otherwise(F.col("event_type")))
+    rows.coalesce(1).write.partitionBy("event_type").text(folder)
+    found = sources.binary_sources(spark, folder + "/*/*.txt")
+    return found.select(F.regexp_extract("source", "event_type=([a-z]+)", 1).alias("kind"), "bytes", "binary", "empty")
+
+
+@query("SELECT event_id + 1 AS ordinal, '{\"type\":\"line\",\"source\":\"events\",\"seq\":' || (event_id + 1) || ',\"text\":\"' || event_type || '\"}' AS envelope FROM events")
+def live_envelope(spark, d):
+    lines = render.as_lines(render.events(spark, d), F.col("event_type"))
+    return lines.select("ordinal", envelope("line", source=F.col("source"), seq=F.col("ordinal"), text=F.col("text")).alias("envelope"))
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min({_MS}) AS first, max({_MS}) AS last FROM events GROUP BY 1")
+def entries_by_time(spark, d):
+    """Entries written by day in order of time, and read back."""
+    folder = shared_path(spark, "entries")
+    write_entries(_json(spark, d), folder)
+    rows = spark.read.parquet(folder)
+    return rows.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))

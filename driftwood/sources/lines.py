@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +67,25 @@ def from_texts(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def binary_sources(spark: SparkSession, path: str | list[str], config: Config = Config()) -> DataFrame:
-    """For each file its size, and whether a NUL is among its first bytes or it is empty."""
-    files = spark.read.format("binaryFile").load(path)
-    head = F.substring("content", 1, config.sniff_bytes)
-    return files.select(
-        F.col("path").alias("source"),
-        F.col("length").alias("bytes"),
-        F.coalesce(F.hex(head).rlike("^(?:..)*?00"), F.lit(False)).alias("binary"),
-        (F.col("length") == 0).alias("empty"),
-    )
+    """For each file its size, and whether a NUL is among its first bytes or it is empty.
+
+    The listing gives names and sizes without reading files; tasks open each file and read
+    its head alone, so a file of any size costs the same.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("bytes"))
+    size = config.sniff_bytes
+
+    def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for name in batch.column(0).to_pylist():
+                system, at = FileSystem.from_uri(name)
+                with system.open_input_stream(at, buffer_size=0, compression=None) as f:
+                    heads.append(b"\0" in f.read(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.bool_())], names=["source", "bytes", "binary"])
+
+    found = files.mapInArrow(sniff, "source string, bytes bigint, binary boolean")
+    return found.withColumn("empty", F.col("bytes") == 0)
 
 
 def json_line_counts(lines: DataFrame) -> DataFrame:
