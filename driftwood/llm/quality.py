@@ -6,14 +6,14 @@ the Jensen-Shannon distance (base 2, so 0 to 1).  A text fails when a distance i
 its threshold.  Short texts have noisy histograms, so each comparison asks for a least
 number of characters or words and is passed over below it.
 
-References cover all documents of a language.  Characters are counted exactly.  Words are
-counted by each task with a bounded error: of a task's words of one language, those with
-a share below ``COUNT_ERROR`` may be left out, so a common word's count is too low by at
-most that share of all words.
+References cover all documents of a language and are exact: every task hands on the counts
+of all its words, however many, and they are summed by language and word.  Only the common
+words of a language, a few hundred at most by their share, are sent to the workers.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -22,50 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftwood.llm.arrow import add_columns
+from driftwood.llm.arrow import add_columns, kept_fields
+from driftwood.llm.worker import kept, released
 
 #: Base rules (fixed values of the contract).
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 5, 10, 20
 #: Words with at least this share of a language's words are common, at most so many.
-COMMON_SHARE, MOST_COMMON, COUNT_ERROR = 0.003, 100, 0.0003
+COMMON_SHARE, MOST_COMMON = 0.003, 100
+#: Different words that a task counts before it hands their counts on.
+COUNTER_SIZE = 200_000
 #: Thresholds of the distances and the least lengths they are applied to.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
 LEAST_CHARS, LEAST_COMPARED_WORDS = 200, 100
-#: Reference tables of up to so many languages are sent to the workers.
-MOST_LANGUAGES = 1_000
+#: Languages whose references are sent to the workers at a time; more take more passes.
+LANGUAGES_AT_ONCE = 1_000
 
-CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "two_byte", "three_byte", "four_byte", "control")
+CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "punctuation", "symbol", "control")
 _SPACE = bytes(range(9, 14)) + b" "
+#: Classes by the first letter of a character's Unicode category, but for letters' case.
+_BY_CATEGORY = {"M": "mark", "N": "digit", "Z": "space", "P": "punctuation", "S": "symbol", "C": "control", "L": "letter"}
 
 
-def _class_of_byte() -> np.ndarray:
-    """The class of each byte that begins a character; 255 for those inside one."""
-    table = np.full(256, CLASSES.index("control"), np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 0x80:
-            name = None if b < 0xC0 else "two_byte" if b < 0xE0 else "three_byte" if b < 0xF0 else "four_byte"
-        elif b in _SPACE:
-            name = "space"
-        elif c.isalpha():
-            name = "lower" if c.islower() else "upper"
-        elif c.isdigit():
-            name = "digit"
-        else:
-            name = "symbol" if c in SYMBOLS else "punctuation" if c.isprintable() else "control"
-        table[b] = 255 if name is None else CLASSES.index(name)
-    return table
+def class_of(c: str) -> str:
+    category = unicodedata.category(c)
+    if category in ("Ll", "Lu", "Lt"):
+        return "lower" if category == "Ll" else "upper"
+    return "symbol" if c in SYMBOLS else "space" if "\t" <= c <= "\r" else _BY_CATEGORY[category[0]]
 
 
-_CLASS = _class_of_byte()
-_ONTO = np.zeros((256, len(CLASSES)), np.int64)
-_ONTO[np.flatnonzero(_CLASS < 255), _CLASS[_CLASS < 255]] = 1
+def _table(size: int) -> np.ndarray:
+    return np.array([CLASSES.index(class_of(chr(i))) for i in range(size)], np.uint8)
 
 
-def char_classes(data: bytes) -> np.ndarray:
-    """Characters of each class in a UTF-8 text."""
-    return np.bincount(np.frombuffer(data, np.uint8), minlength=256) @ _ONTO
+_ASCII = _table(128)
+
+
+def char_classes(text: str) -> np.ndarray:
+    """Characters of each class in a text."""
+    if text.isascii():
+        found = _ASCII[np.frombuffer(text.encode(), np.uint8)]
+    else:
+        held = kept("quality")
+        if "classes" not in held:
+            held["classes"] = _table(0x110000)
+        found = held["classes"][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    return np.bincount(found, minlength=len(CLASSES))
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -110,70 +113,84 @@ REFERENCE = T.StructType([T.StructField("lang", T.StringType()), T.StructField("
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows lang, kind (``class``, ``word`` or ``words``), item, n over all documents: the
-    characters of each class, each common word, and all words.  A null language is one of
-    its own.  Every task hands on a bounded number of rows per language."""
+    characters of each class, each word, and all words.  A null language is one of its own.
+    Every task sums what it has before the shuffle, in counters of bounded size."""
+    arrow = to_arrow_schema(REFERENCE)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("quality")
         chars: dict = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
-        counts: dict = defaultdict(Counter)
+        words: dict = defaultdict(Counter)
         totals: Counter = Counter()
 
-        def trim(c: Counter, least: float) -> Counter:
-            return Counter({w: n for w, n in c.items() if n >= least})
+        def handed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(rows), 20_000):
+                columns = zip(*rows[at : at + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for k, c in words.items():
+                yield from handed([(k, "word", w.decode(), n) for w, n in c.items()])
+            words.clear()
 
         for batch in batches:
             for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t:
-                    data = t.encode()
-                    words = data.lower().split()
-                    chars[k] += char_classes(data)
-                    totals[k] += len(words)
-                    counts[k].update(words)
-                    if len(counts[k]) > 300_000:
-                        counts[k] = trim(counts[k], COUNT_ERROR * totals[k] / 4)
-        rows = []
-        for k in totals:
-            rows += [(k, "class", name, int(n)) for name, n in zip(CLASSES, chars[k])]
-            rows.append((k, "words", "", totals[k]))
-            rows += [(k, "word", w.decode(), n) for w, n in trim(counts[k], COUNT_ERROR * totals[k]).items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], names=REFERENCE.names)
+                    own = t.lower().encode().split()
+                    chars[k] += char_classes(t)
+                    totals[k] += len(own)
+                    words[k].update(own)
+                    if sum(map(len, words.values())) > COUNTER_SIZE:
+                        yield from counted()
+        yield from counted()
+        yield from handed([(k, "class", name, int(n)) for k in chars for name, n in zip(CLASSES, chars[k])])
+        yield from handed([(k, "words", "", n) for k, n in totals.items()])
+        released()
 
     return docs.select(text, lang).mapInArrow(gather, REFERENCE).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
+def common(rows: DataFrame) -> DataFrame:
+    """Of ``references``, all but the words that are not common: a bounded number of rows
+    for each language.  Languages are few beside words, so their totals are joined."""
+    totals = rows.where("kind = 'words'").select(F.col("lang").alias("_lang"), F.col("n").alias("_total"))
+    held = rows.join(totals, F.col("lang").eqNullSafe(F.col("_lang")), "left").where((F.col("kind") != "word") | (F.col("n") >= COMMON_SHARE * F.col("_total")))
+    # at most 1 / COMMON_SHARE words of a language are left to be ranked
+    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
+    return held.withColumn("_at", F.row_number().over(order)).where((F.col("kind") != "word") | (F.col("_at") <= MOST_COMMON)).select("lang", "kind", "item", "n")
+
+
 class Reference:
     """One language: the histogram of character classes and of its common words."""
 
     def __init__(self, classes: dict[str, int], words: dict[str, int], total: int):
         self.classes = np.array([classes.get(c, 0) for c in CLASSES], np.float64)
-        top = sorted((w for w, n in words.items() if n >= COMMON_SHARE * total), key=lambda w: (-words[w], w))[:MOST_COMMON]
-        self.slot = {w.encode(): i for i, w in enumerate(top)}
-        counts = [words[w] for w in top]
+        self.slot = {w.encode(): i for i, w in enumerate(sorted(words))}
+        counts = [words[w] for w in sorted(words)]
         self.words = np.array([*counts, max(0, total - sum(counts))], np.float64)
 
-    def distances(self, data: bytes, words: list[bytes]) -> tuple[float, float]:
+    def distances(self, chars: np.ndarray, words: list[bytes]) -> tuple[float, float]:
         slots = np.fromiter((self.slot.get(w, len(self.slot)) for w in words), np.int64, len(words))
-        return js_distance(char_classes(data), self.classes), js_distance(np.bincount(slots, minlength=len(self.words)), self.words)
+        return js_distance(chars, self.classes), js_distance(np.bincount(slots, minlength=len(self.words)), self.words)
 
 
-def collected(rows: DataFrame) -> dict[str | None, Reference]:
-    """The references of all languages on the driver: at most ``MOST_LANGUAGES`` times the
-    classes and common words."""
-    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
-    rows = rows.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max(MOST_COMMON, len(CLASSES)))
-    by: dict = defaultdict(lambda: defaultdict(dict))
-    for r in rows.collect():
-        by[r["lang"]][r["kind"]][r["item"]] = r["n"]
-    return {k: Reference(v["class"], v["word"], v["words"].get("", 0)) for k, v in by.items()}
+def collected(rows: DataFrame) -> Iterator[dict[str | None, Reference]]:
+    """References by language, ``LANGUAGES_AT_ONCE`` of them at a time."""
+    by: dict = {}
+    now = None
+    for r in rows.orderBy(F.col("lang").asc_nulls_first(), "kind", "item").toLocalIterator():
+        if by and r["lang"] != now and len(by) >= LANGUAGES_AT_ONCE:
+            yield {k: Reference(v["class"], v["word"], v["words"].get("", 0)) for k, v in by.items()}
+            by = {}
+        now = r["lang"]
+        by.setdefault(now, defaultdict(dict))[r["kind"]][r["item"]] = r["n"]
+    if by:
+        yield {k: Reference(v["class"], v["word"], v["words"].get("", 0)) for k, v in by.items()}
 
 
-VERDICT = T.StructType(
-    [T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [T.StructField("base_failed", T.BooleanType(), False), T.StructField("char_distance", T.DoubleType(), False), T.StructField("word_distance", T.DoubleType(), False), T.StructField("kept", T.BooleanType(), False)]
-)
+COUNTS = T.StructType([T.StructField(n, T.LongType(), False) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
+DISTANCES = T.StructType([T.StructField("char_distance", T.DoubleType()), T.StructField("word_distance", T.DoubleType())])
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
@@ -185,24 +202,31 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     alike.  An empty table gives an empty result; input columns with the names of the
     output are replaced, others handed on as ``keep`` says (None: all).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(collected(references(docs, text, lang).where("n > 0")))
-
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        known = sent.value
-        rows = []
-        texts, langs = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, lang))
-        for t, k in zip(texts, langs):
-            data = (t or "").encode()
+    handed = [f.name for f in kept_fields(docs, T.StructType([T.StructField(n, T.StringType()) for n in VERDICT]), keep)]
+    rows = docs.select(*(F.col(c) for c in handed), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in collected(common(references(docs, text, lang).where("n > 0")))]
+
+    def make(batch: pa.RecordBatch, known: dict, first: bool) -> list[pa.Array]:
+        out = []
+        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+        old = [(None, None)] * batch.num_rows if first else list(zip(column("char_distance"), column("word_distance")))
+        for t, k, far in zip(column("_text"), column("_lang"), old):
+            t = t or ""
+            data = t.encode()
             words = data.split()
-            counts = base_counts(data, words)
-            failed = len(words) < LEAST_WORDS or 100 * counts[3] > MOST_REPEATED * len(words)
-            low = data.lower().split()
-            near = [known[k]] if k is not None and k in known else list(known.values())
-            far = min((r.distances(data, low) for r in near), key=sum, default=(0.0, 0.0)) if words else (0.0, 0.0)
-            bad = (counts[0] >= LEAST_CHARS and far[0] > MAX_CHAR_DISTANCE) or (len(words) >= LEAST_COMPARED_WORDS and far[1] > MAX_WORD_DISTANCE)
-            rows.append((len(words), *counts, failed, *far, not failed and not bad))
-        cols = list(zip(*rows)) if rows else [()] * len(VERDICT)
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-        return [pa.array(c, f) for c, f in zip(cols, kinds)]
-
-    return add_columns(docs, VERDICT, make, keep, owner="quality")
+            near = [known[k]] if k is not None and k in known else list(known.values()) if k is None or (first and len(blocks) == 1) else []
+            if words and near:
+                low, chars = t.lower().encode().split(), char_classes(t)
+                far = min([*(r.distances(chars, low) for r in near), *([far] if far[0] is not None else [])], key=sum)
+            out.append((*((len(words), *base_counts(data, words)) if first else ()), *far))
+        kinds = [pa.int64()] * 5 * first + [pa.float64()] * 2
+        return [pa.array(c, f) for c, f in zip(zip(*out) if out else [()] * len(kinds), kinds)]
+
+    for i, sent in enumerate(blocks or [docs.sparkSession.sparkContext.broadcast({})]):
+        new = T.StructType((list(COUNTS) if i == 0 else []) + list(DISTANCES))
+        rows = add_columns(rows, new, lambda batch, sent=sent, first=i == 0: make(batch, sent.value, first), owner="quality")
+    rows = rows.withColumns({c.name: F.coalesce(c.name, F.lit(0.0)) for c in DISTANCES})
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    far = (F.col("word_chars") >= LEAST_CHARS) & (F.col("char_distance") > MAX_CHAR_DISTANCE)
+    far |= (F.col("n_words") >= LEAST_COMPARED_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~(failed | far)).select(*handed, *VERDICT)
