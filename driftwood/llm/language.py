@@ -8,8 +8,9 @@ are learned too.  Forward-backward gives each word's probabilities; a text's lan
 the one with most words in expectation and its score is that share.
 
 The field is fitted on the driver on a bounded sample of labelled rows
-(``SAMPLE_DOCS`` whole texts for each language, each of at most ``SAMPLE_CHARS``
-characters, chosen by a hash of their key).  Its training sequences join pieces of
+(``SAMPLE_DOCS`` whole texts for each language, fewer where ``SAMPLE_TEXTS`` are shared by
+many languages but always one, each of at most ``SAMPLE_CHARS`` characters, chosen by a hash
+of their key).  Its training sequences join pieces of
 different texts, so that switches between languages are seen.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 from driftwood.llm.arrow import add_columns
 from driftwood.llm.worker import kept
 
-#: Bounds of the sample, and of the number of languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 150, 20_000, 64
+#: Bounds of the sample: texts of a language, characters of a text, texts of all languages.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXTS = 150, 20_000, 9_600
 LEXICON, FEATURES, EPOCHS, BATCH, LENGTH = 500, 1 << 16, 4, 48, 96
 #: Words to a chunk of the scan, words handled at a time, words in a worker's cache.
 CHUNK, SLICE_WORDS, CACHE_SIZE = 32, 200_000, 300_000
@@ -228,17 +229,19 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field:
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_DOCS`` labelled texts of each language, the first by a hash of
-    their key."""
+    """Labelled texts of each language within the bounds of the sample, the first by a hash
+    of their key."""
     fit_for = docs.where(F.col(lang).isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = fit_for.select(key, lang).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= SAMPLE_DOCS)
-    if fit_for.select(lang).distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # no more than SAMPLE_DOCS x MOST_LANGUAGES keys
+    share = max(1, min(SAMPLE_DOCS, SAMPLE_TEXTS // max(1, fit_for.select(lang).distinct().count())))
+    chosen = fit_for.select(key, lang).withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= share)
+    # as many keys as texts in the sample
     keys = F.broadcast(chosen.select(F.col(key).alias("_k")).distinct())
     rows = fit_for.join(keys, F.col(key).eqNullSafe(F.col("_k"))).select(text, lang)
-    return [(r[0], r[1]) for r in rows.limit(2 * SAMPLE_DOCS * MOST_LANGUAGES).collect()]
+    # rows that share a key with a chosen one are met too; of those, the first by text
+    first = Window.partitionBy(lang).orderBy(F.xxhash64(text), text)
+    rows = rows.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= share)
+    return [(r[0], r[1]) for r in rows.select(text, lang).collect()]
 
 
 class _Emissions:
