@@ -5,8 +5,8 @@ text's token count is a sum over its pre-tokens.  ``frequent_lengths`` counts th
 pre-tokens of the whole corpus in one pass of bounded memory (each task keeps a lossy
 count and hands on a bounded summary) and ``count_tokens`` broadcasts the lengths of the
 most frequent ones.  Every other pre-token is encoded inside the worker that met it and
-remembered in a bounded cache of that worker.  No pre-token is ever shuffled; only the
-bounded summaries of the first pass are.
+remembered in a bounded cache of that worker.  No pre-token is ever a key of a shuffle: the
+bounded summaries of the first pass travel whole.
 
 The first pass decides only what is looked up and what is encoded, never a count.
 """
@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftwood.llm.arrow import add_columns, texts_of
 from driftwood.llm.worker import kept
@@ -35,6 +37,8 @@ RARE = regex.compile("[԰-῿⁰-⿿ꀀ-꯿힤-\U0010ffff]")
 #: Entries of the broadcast table, of a task's summary and of a worker's caches.
 TABLE_SIZE, SUMMARY_SIZE, CACHE_SIZE = 16_384, 4_096, 300_000
 COUNTER_SIZE = 200_000
+#: Summaries that are merged into one at each level of the tree.
+FAN_IN = 16
 
 
 def byte_letters() -> dict[str, int]:
@@ -154,18 +158,33 @@ def loaded(path: str, key: object, frequent: dict[str, int] | None) -> PreTokens
     return held[path, key]
 
 
+SUMMARY = T.StructType([T.StructField("part", T.LongType()), T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+
+
+def _merged(tables: Iterator[tuple[list, list]], size: int) -> list[tuple[str, int]]:
+    total: Counter = Counter()
+    for pieces, counts in tables:
+        for p, n in zip(pieces, counts):
+            total[p] += n
+    return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:size]
+
+
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int = TABLE_SIZE) -> dict[str, int]:
     """Lengths of the ``size`` most frequent pre-tokens of all texts.
 
     A task counts units lossily (it drops the rarest when ``COUNTER_SIZE`` is passed) and
-    hands on at most ``SUMMARY_SIZE`` pre-tokens, whatever its input; the driver gets at
-    most ``size`` rows.
+    hands on one row, a summary of at most ``SUMMARY_SIZE`` pre-tokens, whatever its input.
+    Summaries are merged in a tree, ``FAN_IN`` to one of at most ``size``; what is shuffled
+    is whole summaries by their number, and the driver gets no more than one tree's top.
     """
-    schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
-    arrow = pa.schema([("piece", pa.string()), ("n", pa.int64())])
+    arrow = to_arrow_schema(SUMMARY)
+
+    def row(part: int, top: list[tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([[p for p, _ in top]], arrow.field(1).type), pa.array([[n for _, n in top]], arrow.field(2).type)], schema=arrow)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
@@ -177,14 +196,20 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text", size: int =
             if tokens.special is None or tokens.special.search(unit) is None:
                 for p in tokens.pieces(unit if unit[:1] == "\n" else " " + unit):
                     pieces[p] += n
-        top = pieces.most_common(SUMMARY_SIZE)
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top]), pa.array([n for _, n in top])], schema=arrow)
+        if pieces:
+            yield row(part, pieces.most_common(SUMMARY_SIZE))
+
+    def merge(table: pa.Table) -> pa.Table:
+        tables = zip(table.column("pieces").to_pylist(), table.column("counts").to_pylist())
+        return pa.Table.from_batches([row(table.column("part")[0].as_py(), _merged(tables, size))])
 
-    found = docs.select(text).mapInArrow(summarise, schema).groupBy("piece").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "piece").limit(size).collect()
+    found, left = docs.select(text).mapInArrow(summarise, SUMMARY), docs.rdd.getNumPartitions()
+    while left > FAN_IN:
+        found = found.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part").applyInArrow(merge, SUMMARY)
+        left = -(-left // FAN_IN)
     tokens = PreTokens(path)
-    return {r["piece"]: tokens.merge(r["piece"]) for r in rows}
+    top = _merged(((r["pieces"], r["counts"]) for r in found.toLocalIterator()), size)
+    return {p: tokens.merge(p) for p, _ in top}
 
 
 def count_tokens(
