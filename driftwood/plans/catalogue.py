@@ -501,7 +501,7 @@ _LADDER = "(VALUES (1), (5), (10), (30), (60), (300), (600), (1800), (3600), (10
 
 @query(f"""
 WITH s AS (SELECT n_nationkey AS k, CAST(1000 * power(n_nationkey + 1, 5) AS BIGINT) AS span FROM nation),
-w AS (SELECT k, span, (SELECT min(w) FROM {_LADDER} WHERE span <= w * 120000) * 1000 AS width FROM s)
+w AS (SELECT k, span, (SELECT min(CAST(w AS BIGINT)) FROM {_LADDER} WHERE span <= CAST(w AS BIGINT) * 120000) * 1000 AS width FROM s)
 SELECT k, CAST(width AS BIGINT) AS width, CAST({START + 1} // width * width AS BIGINT) AS start, CAST(ceil(span / width) AS BIGINT) AS buckets FROM w""")
 def histogram_layout(spark, d):
     spans = [(r[0], 1000 * (r[0] + 1) ** 5) for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()]

@@ -1,9 +1,11 @@
 import random
 
 import pytest
-from helpers import lines_of, parsed, rows_of
+from helpers import parsed, rows_of
 
+from driftwood.config import Config
 from driftwood.operators import chains
+from driftwood.operators.parse import parse
 
 
 def links(spark, lines, **more):
@@ -11,16 +13,16 @@ def links(spark, lines, **more):
 
 
 def test_stack_traces(spark):
-    java = ["2026-08-08T17:42:01Z ERROR failed", "java.lang.IllegalStateException: bad", "\tat a.B.c(D.java:1)", "Caused by: x.YError", "\t... 14 more", "2026-08-08T17:42:02Z INFO on"]
+    java = ["2026-06-03T09:15:27Z ERROR failed", "java.lang.IllegalStateException: bad", "\tat a.B.c(D.java:1)", "Caused by: x.YError", "\t... 14 more", "2026-06-03T09:15:28Z INFO on"]
     assert links(spark, java) == [None, 1, 1, 1, 1, None]
-    python = ["2026-08-08T17:42:01Z ERROR failed", "Traceback (most recent call last):", '  File "app.py", line 12, in f', "    call()", "ValueError: no", "prose"]
+    python = ["2026-06-03T09:15:27Z ERROR failed", "Traceback (most recent call last):", '  File "app.py", line 12, in f', "    call()", "ValueError: no", "prose"]
     assert links(spark, python) == [None, 1, 1, 1, 1, None]
-    assert links(spark, ["2026-08-08T17:42:01Z x", "  at a", "", "  at b"]) == [None, 1, None]
+    assert links(spark, ["2026-06-03T09:15:27Z x", "  at a", "", "  at b"]) == [None, 1, None]
     assert links(spark, ["  at a", "  at b", "prose"]) == [None, None, None]
 
 
 def test_logcat_and_braces(spark):
-    t = "08-08 17:42:01.{:03d}   806   995 E App: {}"
+    t = "06-03 09:15:27.{:03d}   511   640 E Unit: {}"
     trace = [t.format(1, "FATAL EXCEPTION: main"), t.format(1, "java.lang.NullPointerException"), t.format(2, "  at a.b"), t.format(3, "*"), t.format(3, "*")]
     assert links(spark, trace) == [None, 1, 1, None, None]
     body = [t.format(1, "Body {"), t.format(1, '"a": {'), t.format(1, "}"), t.format(1, "}"), t.format(1, "next")]
@@ -29,32 +31,56 @@ def test_logcat_and_braces(spark):
 
 @pytest.mark.parametrize("frames, cut", [(1000, []), (1003, [1002])])
 def test_cap(spark, frames, cut):
-    result = parsed(spark, ["2026-08-08T17:42:01Z x"] + ["  at a"] * frames)
+    result = parsed(spark, ["2026-06-03T09:15:27Z x"] + ["  at a"] * frames)
     assert result.entries.where("continuation_of = 1").count() == 1000
     assert [r["ordinal"] for r in result.diagnostics.where("reason = 'chain_truncated'").collect()] == cut
 
 
-def test_segments_in_blocks_agree_with_a_plain_fold(spark, monkeypatch):
-    """The cutting into blocks and segments never changes a link."""
-    monkeypatch.setattr(chains, "BLOCK", 7)
+def by_hand(lines, cap):
+    """The rules told line by line, for lines of the kinds below: what each line continues."""
+    own = {"root {": ("p", 1), "root": ("p", 0), "  at f": ("s", 0), "words": ("w", 0), "}": ("w", -1), "  File": ("f", 0), "  body": ("i", 0), "log at": ("ls", 0), "log {": ("l", 1), "log }": ("l", -1), "other": ("o", 0), "": ("gap", 0)}
+    found, event = [], None  # event: its number, its record, open braces, lines, after a file
+    for number, line in enumerate(lines, 1):
+        kind, braces = own[line]
+        record = {"l": "a", "ls": "a", "o": "b"}.get(kind)
+        mark = kind in ("s", "f", "ls") or (kind == "i" and event is not None and event["file"])
+        fits = event is not None and kind not in ("p", "gap") and (record is None or record == event["record"]) and (mark or event["open"] > 0)
+        if fits and event["lines"] < cap:
+            found.append(event["number"])
+            was, event["open"] = event["open"], max(0, event["open"] + braces)
+            event["lines"], event["file"] = event["lines"] + 1, kind == "f"
+            event = None if was and not event["open"] else event
+        else:
+            found.append(None)
+            begins = kind in ("p", "l", "ls", "o")
+            event = {"number": number, "record": record, "open": max(0, braces), "lines": 0, "file": False} if begins else None
+    return found
+
+
+TEXTS = {
+    "root {": "2026-06-03T09:15:27Z x {", "root": "2026-06-03T09:15:27Z y", "  at f": "  at f", "words": "words", "}": "}", "  File": '  File "m.py", line 4', "  body": "  body", "": "",
+    "log at": "06-03 09:15:27.001   511   7 E Unit:   at x", "log {": "06-03 09:15:27.001   511   7 E Unit: z {", "log }": "06-03 09:15:27.002   511   7 E Unit: }", "other": "06-03 09:15:27.001   511   8 E Unit: q",
+}
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_links_are_what_the_rules_say(spark, monkeypatch, block):
+    """Blocks never change a link."""
+    monkeypatch.setattr(chains, "BLOCK", block)
     rng = random.Random(3)
-    t = "08-08 17:42:01.001   806   {} E App: {}"
-    kinds = ["2026-08-08T17:42:01Z x {", "2026-08-08T17:42:01Z y", "  at a", "prose", "", "}", '  File "a", line 1', "  body", t.format(1, "  at x"), t.format(1, "z {"), t.format(1, "}"), t.format(2, "q")]
-    lines = [rng.choice(kinds) for _ in range(400)]
-    got = {r["ordinal"]: r["continuation_of"] for r in parsed(spark, lines).entries.collect()}
-    from helpers import REFERENCE
-
-    from driftwood.config import Config
-    from driftwood.operators.plain import with_plain
-
-    df = with_plain(lines_of(spark, lines).where("text != ''"), "text", "p", 0, REFERENCE, Config())
-    rows = chains.chain_features(df.select("source", "ordinal", "text", "p.*")).orderBy("ordinal").collect()
-    chain, want = None, {}
-    for r in rows:
-        line = tuple(r[n] for n in ("ordinal", "prefixed", "identity", "signal", "indented", "file_frame", "a", "b"))
-        chain, root, _ = chains.step(chain, line, 1000)
-        want[r["ordinal"]] = root
-    assert got == want and any(want.values())
+    lines = [rng.choice([*TEXTS, "  at f", "words"]) for _ in range(900)]
+    result = parsed(spark, [TEXTS[x] for x in lines], config=Config(chain_cap=40))
+    got = {r["ordinal"]: (r["continuation_of"], r["event"], r["chained"]) for r in result.entries.collect()}
+    want = by_hand(lines, 40)
+    assert {k: v[0] for k, v in got.items()} == {i: w for i, w in enumerate(want, 1) if lines[i - 1]} and sum(w is not None for w in want) > 90
+    heads = {w for w in want if w}
+    assert all(event == (root or k) and several == (root is not None or k in heads) for k, (root, event, several) in got.items())
+
+
+def test_lines_without_a_prefix_link_to_nothing(spark):
+    texts = spark.range(30_000).selectExpr("'s' AS source", "id + 1 AS ordinal", "CASE id % 3 WHEN 0 THEN '  at a' WHEN 1 THEN 'dump {' ELSE '}' END AS text")
+    found = parse(texts, "plain").entries
+    assert found.where("continuation_of IS NOT NULL OR chained").count() == 0 and found.count() == 30_000
 
 
 def test_brace_effect(spark):
