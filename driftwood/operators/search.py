@@ -144,28 +144,32 @@ def with_event(entries: DataFrame) -> DataFrame:
 
 def marked(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search()) -> DataFrame:
     """``entries`` with ``matches``: whether the line's event is one whose root passes the
-    facets and of which any line matches the search.
+    facets and of which any line matches the search.  Lines whose root is not among the
+    entries (any more) are events of their own.
 
     Lines that are events by themselves are told where they are; only those of events with
     several lines are shuffled, and formats without such events have none.
     """
     wanted = {k: list(v) for k, v in (facets or {}).items() if list(v)}
     rows = with_event(entries)
-    if not wanted and search.kind == "none":
-        return rows.withColumn("matches", F.lit(True))
     if "fields" in rows.columns and (search.kind != "none" or set(wanted) - {"level"}):
         # fields are built once, however many tests look at them
         rows = rows.select(*(settled(F.col(c)).alias(c) if c == "fields" else c for c in rows.columns))
     passes, hit = matches_facets(wanted), matches_search(search)
     alone = rows.where(~F.col("chained")).withColumn("matches", passes & hit)
     event = Window.partitionBy("source", "event")
+    # null where the root is not there
     root = F.max(F.when(F.col("ordinal") == F.col("event"), passes)).over(event)
-    many = rows.where("chained").withColumn("matches", F.coalesce(root, F.lit(False)) & F.max(hit).over(event))
-    return alone.unionByName(many)
+    many = rows.where("chained").withColumns({"_root": root, "_hit": hit, "_any": F.max(hit).over(event)})
+    held = F.col("_root").isNotNull()
+    many = many.withColumns({"event": F.when(held, F.col("event")).otherwise(F.col("ordinal")), "matches": F.when(held, F.col("_root") & F.col("_any")).otherwise(passes & F.col("_hit"))})
+    return alone.unionByName(many.drop("_root", "_hit", "_any"))
 
 
 def matching(entries: DataFrame, facets: dict[str, Iterable[str]] | None = None, search: Search = Search()) -> DataFrame:
     """The ``entries`` that ``marked`` marks."""
+    if search.kind == "none" and not any(list(v) for v in (facets or {}).values()):
+        return entries
     return marked(entries, facets, search).where("matches").select(*entries.columns)
 
 
