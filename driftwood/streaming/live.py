@@ -52,12 +52,15 @@ def rates(lines: DataFrame, at: str = "arrived", every: str = "1 second") -> Dat
 
 
 class LiveTail:
-    """Follows a folder of growing log files into a table of lines that queries read.
+    """Follows the log files that arrive in a folder into a table of lines that queries
+    read.  A file is read once, when it arrives; what is appended to it later is not seen.
 
     Each micro-batch is numbered after what the table has of its source and appended;
     entries and everything else are asked of the table, so that an event whose members
     arrive later, a changed query or a lost root are seen as they are.  A batch that runs
     again after a failure replaces what it wrote before (its folder is named after it).
+    How far each source has come is kept beside the table, one row a source for each
+    batch, so that a batch does not read the lines of those before it.
     """
 
     def __init__(self, spark: SparkSession, inputs: str, table: str, checkpoint: str, config: Config = Config()):
@@ -75,19 +78,30 @@ class LiveTail:
         before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         first = first.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         rows = rows.join(first.select("source", "block", "_first", "_before"), ["source", "block"])
-        seen = self._known(batch_id)
-        if seen is not None:
-            rows = rows.join(seen.groupBy("source").agg(F.max("ordinal").alias("_had")), "source", "left")
-        else:
-            rows = rows.withColumn("_had", F.lit(0))
+        heads = self._heads(batch_id)
+        rows = rows.join(heads.withColumnRenamed("ordinal", "_had"), "source", "left")
         ordinal = F.coalesce("_had", F.lit(0)) + F.col("_before") + F.col("_id") - F.col("_first") + 1
         out = rows.select("source", ordinal.cast("bigint").alias("ordinal"), framed(decoded(F.col("value"))).alias("text"), (~F.is_valid_utf8("value")).alias("used_fallback"), F.current_timestamp().alias("arrived"))
         out.write.mode("overwrite").parquet(f"{self.table}/batch={batch_id}")
+        done = self.spark.read.parquet(f"{self.table}/batch={batch_id}").select("source", "ordinal")
+        done = done.unionByName(heads).groupBy("source").agg(F.max("ordinal").alias("ordinal"))
+        done.write.mode("overwrite").parquet(f"{self.table}-heads/{batch_id}")
+
+    def _heads(self, batch_id: int) -> DataFrame:
+        """The last number of each source before a batch."""
+        if self._exists(f"{self.table}-heads/{batch_id - 1}"):
+            return self.spark.read.parquet(f"{self.table}-heads/{batch_id - 1}")
+        known = self._known(batch_id)
+        if known is None:
+            return self.spark.createDataFrame([], "source string, ordinal bigint")
+        return known.groupBy("source").agg(F.max("ordinal").alias("ordinal"))
+
+    def _exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def _known(self, before: int | None = None) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.table)
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
+        if not self._exists(self.table):
             return None
         rows = self.spark.read.option("basePath", self.table).parquet(self.table)
         return rows if before is None else rows.where(F.col("batch") < before)
