@@ -23,29 +23,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 #: What the mix takes, in percent of all words, and the sources' weights.
 MIX_PERCENT, MIX_WEIGHTS = 150, (5, 2, 1)
+#: Documents to an Arrow batch: whole texts are long, and both sides of a Python worker
+#: hold a batch.
+ARROW_ROWS = 1_000
+
+
+def _own(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, to be handed to workers in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return docs.select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that have a language: rejected are those without letters (null and
     empty texts too) and those with no leading language.  ``lang`` stays as it was."""
-    docs = docs.select(*COLUMNS)
+    docs = _own(spark, docs)
     found = predict(docs, train(docs), keep=COLUMNS)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one of least id, of each class of near-duplicates."""
-    return representatives(docs.select(*COLUMNS))
+    return representatives(_own(spark, docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind in brackets; ``n_chars`` follows the text."""
-    return redact(docs.select(*COLUMNS))
+    return redact(_own(spark, docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix does: not at all, once or twice."""
-    docs = docs.select(*COLUMNS)
+    """Take each document as often as the mix does: not at all, once or twice.  Null texts
+    have no words, null sources are a source of their own, null keys are keys like any
+    other, and rows that repeat source and key are taken alike."""
+    docs = _own(spark, docs)
     times = mix(docs, percent=MIX_PERCENT, weights=MIX_WEIGHTS).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "times").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
     mixed = docs.join(times.where("times > 0"), same)
@@ -53,10 +64,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the ids of each text and their number."""
+    """Add the ids of each text and their number; null and empty texts have none, and
+    repeated rows are encoded each on its own."""
     import public_tokenizers
 
-    ids = encode(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"), keep=COLUMNS)
+    ids = encode(_own(spark, docs), public_tokenizers.path("word_bpe_49k.json"), keep=COLUMNS)
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,6 @@ class WordBpe:
     """A ``tokenizers`` BPE file with word ends; lives in a Python worker."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -45,7 +44,7 @@ class WordBpe:
         split = next((p for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split"), None)
         if split is None or not split["invert"] or split["behavior"] != "Removed":
             raise ValueError(f"{path}: words must be what a pattern matches")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
@@ -62,6 +61,13 @@ class WordBpe:
         self.words: dict[str, tuple[int, ...]] = {}
         self.merged_exactly = 0
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, which few texts need."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _rank(self, vocab: dict[str, int], merges: list[list[str]]) -> None:
         """Order tokens by the merge that makes them, symbols first."""
         made = {a + b for a, b in merges}
@@ -71,7 +77,7 @@ class WordBpe:
             raise ValueError("two merges make the same token")
         rank = {w: i for i, w in enumerate(order)}
         n, first = len(order), len(symbols)
-        self.rank_of, self.id_of = rank, np.array([vocab[w] for w in order], np.int32)
+        self.id_of = np.array([vocab[w] for w in order], np.int32)
         self.left, self.right = np.arange(n), np.arange(n)
         self.left[first:] = [rank[a] for a, _ in merges]
         self.right[first:] = [rank[b] for _, b in merges]

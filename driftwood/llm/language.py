@@ -33,7 +33,7 @@ from driftwood.llm.worker import kept
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXTS = 150, 20_000, 9_600
 LEXICON, FEATURES, EPOCHS, BATCH, LENGTH = 500, 1 << 16, 4, 48, 96
 #: Words to a chunk of the scan, words handled at a time, words in a worker's cache.
-CHUNK, SLICE_WORDS, CACHE_SIZE = 32, 200_000, 300_000
+CHUNK, SLICE_WORDS, CACHE_SIZE = 32, 200_000, 100_000
 
 
 #: What is cut from both ends of a word before its features are taken.

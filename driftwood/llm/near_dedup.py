@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns
 from driftwood.llm.cluster import checkpointed
-from driftwood.llm.worker import kept
+from driftwood.llm.worker import kept, released
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
@@ -47,7 +47,7 @@ MAP_WORDS = 16
 #: Ids of up to so many documents are broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles handled at a time, and words kept in a worker's cache.
-SLICE_SHINGLES, CACHE_SIZE = 400_000, 300_000
+SLICE_SHINGLES, CACHE_SIZE = 400_000, 100_000
 
 _U = np.uint64
 _FACTORS = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)]
@@ -215,6 +215,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 sa, ca, sb, cb = (batch.column(c)[i].as_py() for c in (2, 3, 4, 5))
                 found.append(probability_jaccard(*unpacked(sa, ca), *unpacked(sb, cb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+        released()
 
     return both.mapInArrow(run, VERIFIED)
 
