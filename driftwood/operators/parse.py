@@ -146,11 +146,13 @@ def parse(
     tz_offset_minutes: int = 0,
     reference: datetime | None = None,
     config: Config = Config(),
+    formats: DataFrame | None = None,
 ) -> ParseResult:
     """Entries of ``lines`` (source, ordinal, text and, optionally, used_fallback).
 
     ``format`` is one of json, logfmt and plain, or auto, which detects it for each source
-    from its first lines.  Timestamps without an offset are read at ``tz_offset_minutes``;
+    from its first lines, or takes it from ``formats`` (source, format; sources that are
+    not there give no entries).  Timestamps without an offset are read at ``tz_offset_minutes``;
     those without a year get the latest that is not after ``reference``, and are not
     recognised without one.  Blank lines give no entries; malformed JSON lines give a
     diagnostic instead.  Everything is lazy but the formats found, one short word for each
@@ -164,9 +166,10 @@ def parse(
     real = lines.where(~is_blank(F.col("text")))
     detection = None
     if format == "auto":
-        detection = detect(lines, reference, config)
+        detection = detect(lines, reference, config) if formats is None else formats
         kinds = [r[0] for r in detection.select("format").distinct().collect()]
-        by_kind = {k: real.join(detection.where(F.col("format") == k).select("source"), "source", "left_semi") if len(kinds) > 1 else real for k in kinds}
+        whole = len(kinds) == 1 and formats is None
+        by_kind = {k: real if whole else real.join(detection.where(F.col("format") == k).select("source"), "source", "left_semi") for k in kinds}
     else:
         by_kind = {format: real}
     entries, problems = None, lines.where("used_fallback").select("source", "ordinal", F.lit("encoding_fallback").alias("reason"), F.lit(None).cast("string").alias("detail"))

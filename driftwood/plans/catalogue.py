@@ -396,6 +396,25 @@ def snapshot_live_dedup(spark, d):
     return merged(rows.where(F.col("seq") <= 0.6 * last), rows.where(F.col("seq") >= 0.5 * last)).select("seq", "text")
 
 
+@query("""
+WITH l AS (SELECT max(event_id) AS last FROM events)
+SELECT event_id AS seq, 0 AS epoch FROM events
+UNION ALL SELECT event_id, 1 FROM events, l WHERE event_id <= last // 5""")
+def reconnect_epochs(spark, d):
+    from driftwood.streaming.live import merged, with_epochs
+
+    rows = render.events(spark, d).select(F.lit("s").alias("source"), F.col("event_id").alias("seq"))
+    last = rows.agg(F.max("seq")).head()[0] or 0
+
+    def session(n, announced, where):
+        return rows.where(where).select("source", F.lit(n).alias("session"), F.lit(announced).cast("long").alias("announced"), "seq")
+
+    # a first connection, one that overlaps it, and one to a producer that began anew
+    lines = session(1, 0, F.col("seq") <= last * 3 // 5).unionByName(session(2, last * 3 // 5, F.col("seq") >= last // 2))
+    found = with_epochs(lines.unionByName(session(3, 0, F.col("seq") <= last // 5))).select("source", "epoch", "seq")
+    return merged(found, found.limit(0)).select("seq", "epoch")
+
+
 @query("SELECT event_id + 1 AS ordinal, CASE WHEN event_type = 'error' THEN '[(6,11)]' ELSE '[]' END AS ranges FROM events")
 def match_highlight(spark, d):
     found = search.match_ranges(F.col("message"), compile_search("Error"))

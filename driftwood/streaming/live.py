@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from driftwood.config import Config
 from driftwood.operators import stats
-from driftwood.operators.parse import parse
+from driftwood.operators.detect import detect, is_blank
+from driftwood.operators.parse import ParseResult, parse
 from driftwood.sources.lines import decoded, framed
 
 #: Sequence numbers to a block when gaps are looked for.
@@ -46,6 +47,23 @@ def merged(snapshot: DataFrame, live: DataFrame) -> DataFrame:
     return snapshot.unionByName(live).dropDuplicates(keys)
 
 
+def with_epochs(lines: DataFrame) -> DataFrame:
+    """``lines`` (source, session, announced, seq, ...) with ``epoch``, for ``merged``.
+
+    A session is one connection to a producer, numbered in order of time; ``announced`` is
+    the last number that the producer named when it began, the same for all its lines.  A
+    producer that names less than what has been seen of it has begun anew, so that all its
+    lines count again; otherwise numbers seen before are the same lines.  Sessions are
+    ranked, not lines: one row a session is in a window.
+    """
+    keys = ["source", "session"]
+    sessions = lines.groupBy(*keys).agg(F.max("announced").alias("_named"), F.greatest(F.max("seq"), F.max("announced")).alias("_seen"))
+    order = Window.partitionBy("source").orderBy("session")
+    sessions = sessions.withColumn("_anew", F.coalesce(F.col("_named") < F.lag("_seen").over(order), F.lit(False)))
+    sessions = sessions.select(*keys, F.sum(F.col("_anew").cast("int")).over(order).cast("int").alias("epoch"))
+    return lines.join(sessions, keys)
+
+
 def rates(lines: DataFrame, at: str = "arrived", every: str = "1 second") -> DataFrame:
     """Lines per second of arrival: window start and lines.  Also on a stream."""
     return lines.groupBy(F.window(at, every).alias("w")).agg(F.count("*").alias("lines")).select(F.col("w.start").alias("start"), "lines")
@@ -60,11 +78,13 @@ class LiveTail:
     arrive later, a changed query or a lost root are seen as they are.  A batch that runs
     again after a failure replaces what it wrote before (its folder is named after it).
     How far each source has come is kept beside the table, one row a source for each
-    batch, so that a batch does not read the lines of those before it.
+    batch, so that a batch does not read the lines of those before it.  A source's format
+    is settled by the first batch that has a line of it that is not blank, and holds from
+    then on; ``reference`` is what lines without a year are judged by there.
     """
 
-    def __init__(self, spark: SparkSession, inputs: str, table: str, checkpoint: str, config: Config = Config()):
-        self.spark, self.inputs, self.table, self.checkpoint, self.config = spark, inputs, table, checkpoint, config
+    def __init__(self, spark: SparkSession, inputs: str, table: str, checkpoint: str, config: Config = Config(), reference: datetime | None = None):
+        self.spark, self.inputs, self.table, self.checkpoint, self.config, self.reference = spark, inputs, table, checkpoint, config, reference
 
     def start(self, **trigger):
         """The running query; ``availableNow=True`` or ``processingTime=...`` as trigger."""
@@ -83,10 +103,27 @@ class LiveTail:
         ordinal = F.coalesce("_had", F.lit(0)) + F.col("_before") + F.col("_id") - F.col("_first") + 1
         out = rows.select("source", ordinal.cast("bigint").alias("ordinal"), framed(decoded(F.col("value"))).alias("text"), (~F.is_valid_utf8("value")).alias("used_fallback"), F.current_timestamp().alias("arrived"))
         out.write.mode("overwrite").parquet(f"{self.table}/batch={batch_id}")
-        done = self.spark.read.parquet(f"{self.table}/batch={batch_id}").select("source", "ordinal")
-        done = done.unionByName(heads).groupBy("source").agg(F.max("ordinal").alias("ordinal"))
+        written = self.spark.read.parquet(f"{self.table}/batch={batch_id}")
+        self._settle(written, batch_id)
+        done = written.select("source", "ordinal").unionByName(heads).groupBy("source").agg(F.max("ordinal").alias("ordinal"))
         done.write.mode("overwrite").parquet(f"{self.table}-heads/{batch_id}")
 
+    def _settle(self, written: DataFrame, batch_id: int) -> None:
+        """Add the formats of the sources that a batch shows first, which later batches
+        leave alone."""
+        fresh = written.where(~is_blank(F.col("text")))
+        known = self.formats(batch_id)
+        if known is not None:
+            fresh = fresh.join(known.select("source"), "source", "left_anti")
+        detect(fresh, self.reference, self.config).write.mode("overwrite").parquet(f"{self.table}-formats/batch={batch_id}")
+
+    def formats(self, before: int | None = None) -> DataFrame | None:
+        """The formats settled so far (before a batch), as ``detect`` gives them."""
+        if not self._exists(f"{self.table}-formats"):
+            return None
+        rows = self.spark.read.parquet(f"{self.table}-formats")
+        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+
     def _heads(self, batch_id: int) -> DataFrame:
         """The last number of each source before a batch."""
         if self._exists(f"{self.table}-heads/{batch_id - 1}"):
@@ -111,6 +148,15 @@ class LiveTail:
         return self._known()
 
     def entries(self, format: str = "auto", reference: datetime | None = None) -> DataFrame:
-        """Entries of the lines that are retained: the last of each source."""
+        """Entries of the lines that are retained: the last of each source.  What a live
+        view counts by level are these."""
         kept = stats.tail(self.lines(), self.config.retention)
-        return parse(kept, format, reference=reference, config=self.config).entries
+        return self._parsed(kept, format, reference).entries
+
+    def whole(self, format: str = "auto", reference: datetime | None = None) -> ParseResult:
+        """All lines of the stream, parsed: what its inventory, diagnostics and accounting
+        are of, which do not forget what is no longer retained."""
+        return self._parsed(self.lines(), format, reference)
+
+    def _parsed(self, lines: DataFrame, format: str, reference: datetime | None) -> ParseResult:
+        return parse(lines, format, reference=reference or self.reference, config=self.config, formats=self.formats())
