@@ -14,6 +14,7 @@ never gathered; texts are read once for the graph and once where they are redact
 from __future__ import annotations
 
 import re
+from itertools import count
 
 import pyarrow as pa
 import xxhash
@@ -210,20 +211,22 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
     """``docs`` with every span of ``personal_data`` replaced by its kind in brackets
     (spans that touch each other by the first one's), and ``length``, if it is a column,
     set to the new number of code points.  Texts without spans stay as they are; a null
-    text stays null and its length as it was."""
-    found = personal_data(docs, key, text).where(F.size("found") > 0).select(F.col(key).alias("_k"), "text_hash", "found").distinct()
+    text stays null and its length as it was.  Other columns may have any names."""
+    names = docs.columns
+    taken = {n.lower() for n in names}
+    own_key, own_spans = (next(n for i in count() if (n := f"_{what}{i}") not in taken) for what in ("key", "found"))
+    found = personal_data(docs, key, text).where(F.size("found") > 0).select(F.col(key).alias(own_key), "text_hash", "found").distinct()
     found = checkpointed(found)
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    names = docs.columns
     # null keys and hashes of texts are compared inside the tasks
-    found = found.groupBy(F.col("_k")).agg(F.collect_list(F.struct("text_hash", "found")).alias("_found"))
-    joined = docs.join(F.broadcast(found) if few else found, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    found = found.groupBy(own_key).agg(F.collect_list(F.struct("text_hash", "found")).alias(own_spans))
+    joined = docs.join(F.broadcast(found) if few else found, F.col(key).eqNullSafe(F.col(own_key)), "left").drop(own_key)
     has_length = length is not None and length.lower() in {n.lower() for n in names}
     fields = [f for f in docs.schema if f.name.lower() == text.lower() or has_length and f.name.lower() == length.lower()]
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        more = batch.column(batch.schema.get_field_index("_found")).to_pylist()
+        more = batch.column(batch.schema.get_field_index(own_spans)).to_pylist()
         out = []
         for t, extra in zip(texts, more):
             if t:

@@ -270,6 +270,9 @@ def test_pii(docs, none, spark):
     clean = {r["doc_id"]: r for r in pii.redact(docs.withColumn("n_chars", F.length("text").cast("bigint"))).collect()}
     assert clean[9]["text"] == 'mail [EMAIL] or 10.0.0.300 and [IP], [PHONE] card [CARD]'
     assert clean[9]["n_chars"] == len(clean[9]["text"]) and clean[2]["text"] is None and clean[6]["text"] == BASE * 3
+    odd = {"_k": F.lit("k"), "_found": F.lit(None).cast("string"), "_key0": F.lit(1), "_found0": F.lit(2), "text_hash": F.lit("h")}
+    named = {r["doc_id"]: r for r in pii.redact(docs.where("doc_id IN (2, 9)").withColumns(odd)).collect()}
+    assert named[9]["text"] == clean[9]["text"] and [named[9][n] for n in odd] == ["k", None, 1, 2, "h"] and named[2]["_key0"] == 1
     assert pii.personal_data(none).count() == 0 and pii.redact(none).count() == 0
 
 
