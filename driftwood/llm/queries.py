@@ -59,7 +59,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ordered = F.array_sort(F.concat("base", "found"), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"))
     by_kind = F.array_sort(F.col("base"), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["kind"] - b["kind"])).cast("int"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def of_kind(k):  # a default argument would be taken for the element's index
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(by_kind), 256).alias("base_sha256"), joined(ordered).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
 
