@@ -255,7 +255,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         (left, right), own = names, at[1] == at[2]
         i, j = np.nonzero(np.tri(len(left), len(right), -1).T if own else np.ones(sums.shape))
-        columns = [pa.array([at[0]] * len(i)), pa.array([left[x] for x in i], pa.string()), pa.array([right[x] for x in j], pa.string()), pa.array(sums[i, j], pa.int64())]
+        columns = [pa.array([at[0]] * len(i), pa.string()), pa.array([left[x] for x in i], pa.string()), pa.array([right[x] for x in j], pa.string()), pa.array(sums[i, j], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "a", "b", "value"])
 
     for batch in batches:

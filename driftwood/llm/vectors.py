@@ -245,11 +245,11 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, bits: int, theta: float) -
     reach = 2 * math.sin(theta / 2)
     cells = members.select("node", "unit").mapInArrow(_cells(bits, reach), CELL).distinct()
     codes = nodes.select("node", "unit").mapInArrow(_codes, CODE)
-    payload = checkpointed(codes.join(nodes.select("node", "kin", F.size("unit").alias("d"), "radius"), "node"))
+    payload = checkpointed(codes.join(nodes.select("node", "kin", "radius"), "node"))
     rows = cells.join(payload, "node")
-    rows = rows.select("kin", "d", "band", "cell", "own", "node", F.when(~F.col("own"), F.col("code")).alias("code"), "factor", F.when(F.col("own"), F.col("coarse")).alias("coarse"), "step", "error", "radius")
+    rows = rows.select("kin", "band", "cell", "own", "node", F.when(~F.col("own"), F.col("code")).alias("code"), "factor", F.when(F.col("own"), F.col("coarse")).alias("coarse"), "step", "error", "radius")
     rows = checkpointed(rows)
-    cell = ["kin", "d", "band", "cell"]
+    cell = ["kin", "band", "cell"]
     # cells that hold more than a task compares are cut: what is kept is dealt to parts, and
     # what looks into them goes to every part
     full = rows.where("own").groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > TILE)
@@ -275,8 +275,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     theta = math.acos(threshold)
     rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("kin"), unit(F.col(vector)).alias("unit"))
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-    able = rows.where("kin IS NOT NULL AND unit IS NOT NULL").select("row", "kin", "unit")
-    most = able.groupBy("kin", F.size("unit")).count().agg(F.max("count")).head()[0] or 1
+    # only vectors of one length are kin
+    able = rows.where("kin IS NOT NULL AND unit IS NOT NULL").select("row", F.struct("kin", F.size("unit").alias("d")).alias("kin"), "unit")
+    most = able.groupBy("kin").count().agg(F.max("count")).head()[0] or 1
     bits = min(MOST_BITS, max(FEWEST_BITS, math.ceil(math.log2(most / 64))))
     members, balls = _balls(able, bits, theta)
     members = checkpointed(members)
