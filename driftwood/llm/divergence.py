@@ -1,11 +1,13 @@
 """Source divergence audit by mergeable radix tries.
 
-Each task counts the terms of its documents in byte tries, one a language: edges hold runs
-of UTF-8 bytes, leaves a counter a source and the number of documents.  A trie that has
-grown to its bound is walked in byte order, its leaves are handed on, and it begins anew;
-sums are the same however often that happens.  Leaves of all tries are dealt out by range
-of (language, term) and walked in order, so leaves of one term follow each other and are
-merged while only one of them is held.
+Each task counts the terms of its documents and turns the counts into byte tries, one a
+language, whenever they have grown to a bound; sums are the same however often that
+happens.  A trie is kept in pre-order: terms in order of their bytes, each as the number of
+bytes that it shares with the one before and the rest, each with a leaf of its number of
+documents and a counter a source.  It is cut where the first bytes change, and the parts of
+all tries with the same first bytes meet in one task, which merges them by walking them
+together, so that only one leaf is held.  Parts of a prefix that has too many leaves for
+that are dealt out once more by a hash of their terms.
 
 Two walks over the merged leaves of terms that are kept give everything else: one sums the
 distances of each pair of sources, in tiles of a bounded number of sources, and one streams
@@ -14,9 +16,14 @@ candidates in UTF-8 order into bounded heaps, so of equal candidates the first b
 
 from __future__ import annotations
 
+import gc
 import heapq
+import struct
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +33,9 @@ from pyspark.sql import functions as F
 from driftwood.llm.cluster import checkpointed
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Counters that a task's tries hold before they are handed on, and terms counted before
-#: they go to the tries.
-CELLS, BUFFERED = 300_000, 100_000
+#: Counters that a task holds before they are turned into tries; first bytes that name the
+#: parts of a trie; leaves of all tries that are merged in one task.
+CELLS, PREFIX, MERGED = 300_000, 3, 1_000_000
 #: Sources to a side of a tile of pairs.
 TILE = 256
 #: Statistics of so many (language, source) groups are broadcast; beyond, they are joined.
@@ -42,147 +49,149 @@ def terms_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class Leaf:
-    """A term's number of documents and its occurrences by source."""
-
-    __slots__ = ("documents", "counts")
+def packed(terms: list[bytes], leaves: list[list]) -> bytes:
+    """A trie in pre-order: ``terms`` in order of bytes, and for each its number of documents
+    followed by source, count, source, count and so on, sources by number."""
+    shared, rest, last = [], [], b""
+    for term in terms:
+        n = 0
+        for x, y in zip(term, last):
+            if x != y:
+                break
+            n += 1
+        shared.append(n)
+        rest.append(term[n:])
+        last = term
+    sizes = np.fromiter(map(len, leaves), np.uint32, len(leaves))
+    numbers = np.fromiter(chain.from_iterable(leaves), np.uint64, int(sizes.sum()))
+    # most counts are small: a wider number is kept only where one is needed
+    numbers = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    parts = [np.array(shared, np.uint32).tobytes(), sizes.tobytes(), numbers.tobytes(), b"\0".join(rest)]
+    return struct.pack("<IBI", len(terms), numbers.itemsize, len(numbers)) + zlib.compress(b"".join(parts), 1)
 
-    def __init__(self) -> None:
-        self.documents, self.counts = 0, {}
 
+def walked(trie: bytes) -> Iterator[tuple[bytes, list[int]]]:
+    """Terms of a packed trie, in order of bytes, which for UTF-8 is that of code points, and
+    their leaves."""
+    head = struct.calcsize("<IBI")
+    n, width, m = struct.unpack("<IBI", trie[:head])
+    data = zlib.decompress(trie[head:])
+    shared, sizes = np.frombuffer(data, np.uint32, n).tolist(), np.frombuffer(data, np.uint32, n, 4 * n).tolist()
+    numbers = np.frombuffer(data, f"u{width}", m, 8 * n).tolist()
+    at, last = 0, b""
+    for k, size, rest in zip(shared, sizes, data[8 * n + width * m :].split(b"\0")):
+        last = last[:k] + rest
+        yield last, numbers[at : at + size]
+        at += size
 
-class Trie:
-    """A radix trie over bytes.  A node is a leaf, or None, and edges by first byte, each a
-    label and the node below."""
 
-    __slots__ = ("root", "cells")
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lang", "prefix", "part", "leaves", "sources", "trie"])
 
-    def __init__(self) -> None:
-        self.root, self.cells = [None, {}], 0
 
-    def leaf(self, term: bytes) -> Leaf:
-        node = self.root
-        while term:
-            edge = node[1].get(term[0])
-            if edge is None:
-                below = [None, {}]
-                node[1][term[0]] = (term, below)
-                node = below
-                break
-            label, below = edge
-            n = _common(label, term)
-            if n < len(label):
-                middle = [None, {label[n]: (label[n:], below)}]
-                node[1][term[0]] = (label[:n], middle)
-                below = middle
-            node, term = below, term[n:]
-        if node[0] is None:
-            node[0] = Leaf()
-        return node[0]
-
-    def add(self, term: bytes, source: str, n: int) -> None:
-        counts = self.leaf(term).counts
-        if source not in counts:
-            counts[source] = 0
-            self.cells += 1
-        counts[source] += n
-
-    def walk(self) -> Iterator[tuple[bytes, Leaf]]:
-        """Terms and leaves in order of bytes, which for UTF-8 is that of code points."""
-        stack = [(b"", self.root)]
-        while stack:
-            term, node = stack.pop()
-            if node[0] is not None:
-                yield term, node[0]
-            stack += [(term + label, below) for _, (label, below) in sorted(node[1].items(), reverse=True)]
-
-
-def _common(a: bytes, b: bytes) -> int:
-    if b.startswith(a):
-        return len(a)
-    n = 0
-    while n < len(a) and n < len(b) and a[n] == b[n]:
-        n += 1
-    return n
-
-
-def _batches(rows: Iterator[tuple[str, str, int, list, list]]) -> Iterator[pa.RecordBatch]:
-    names = ["lang", "term", "documents", "sources", "counts"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    held, cells = [], 0
-    for row in rows:
-        held.append(row)
-        cells += 1 + len(row[3])
-        if cells >= 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
-            held, cells = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+TRIES = "lang string, prefix binary, part int, leaves int, sources array<string>, trie binary"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaves of the tries of a task's documents (lang, source, text).  The empty term is
-    the root, whose counters are the documents of each source."""
-    tries: dict[str, Trie] = {}
-    terms: dict[tuple[str, str], Counter] = {}
+    """Parts of the tries of a task's documents (lang, source, text).  The empty term is the
+    root, whose counters are the documents of each source."""
+    counts: dict[tuple[str, str], Counter] = {}
     documents: dict[str, Counter] = {}
 
-    def settle() -> None:
-        for (lang, source), found in terms.items():
-            trie = tries.setdefault(lang, Trie())
-            for term, n in found.items():
-                trie.add(term, source, n)
-        for lang, found in documents.items():
-            for term, n in found.items():
-                tries[lang].leaf(term).documents += n
-        terms.clear()
-        documents.clear()
-
-    def leaves() -> Iterator[tuple]:
-        for lang in sorted(tries):
-            for term, leaf in tries[lang].walk():
-                yield lang, term.decode(), leaf.documents, list(leaf.counts), list(leaf.counts.values())
-        tries.clear()
-
-    buffered = 0
+    def tries() -> Iterator[pa.RecordBatch]:
+        for lang in sorted(documents):
+            names = sorted(s for x, s in counts if x == lang)
+            leaves = {term: [n] for term, n in documents.pop(lang).items()}
+            for number, source in enumerate(names):
+                for term, n in counts.pop((lang, source)).items():
+                    leaves[term] += number, n
+            rows, size = [], 0
+            for prefix, terms in groupby(sorted(leaves), lambda t: t[:PREFIX]):
+                terms = list(terms)
+                rows.append((lang, prefix, 0, len(terms), names, packed(terms, [leaves[t] for t in terms])))
+                size += len(terms)
+                if size >= 50_000:
+                    yield _packed_rows(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _packed_rows(rows)
+
+    # what is counted has no cycles, and there is much of it
+    gc.disable()
+    held = 0
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
             found = terms_of(text.as_py())
             found.append(b"")
-            own = terms.setdefault((lang, source), Counter())
-            before = len(own)
+            own, seen = counts.setdefault((lang, source), Counter()), documents.setdefault(lang, Counter())
+            held -= len(own) + len(seen)
             own.update(found)
-            buffered += len(own) - before
-            documents.setdefault(lang, Counter()).update(set(found))
-            if buffered >= BUFFERED:
-                settle()
-                buffered = 0
-                if sum(t.cells for t in tries.values()) >= CELLS:
-                    yield from _batches(leaves())
-    settle()
-    yield from _batches(leaves())
+            seen.update(set(found))
+            held += len(own) + len(seen)
+            if held >= CELLS:
+                yield from tries()
+                held = 0
+    yield from tries()
+    gc.enable()
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of prefixes that have too many leaves, cut by a hash of their terms."""
+    for batch in batches:
+        for lang, prefix, _, _, sources, trie, parts in zip(*(c.to_pylist() for c in batch.columns)):
+            cut: dict[int, tuple[list, list]] = {}
+            for term, leaf in walked(trie):
+                terms, leaves = cut.setdefault(zlib.crc32(term) % parts, ([], []))
+                terms.append(term)
+                leaves.append(leaf)
+            yield _packed_rows([(lang, prefix, part, len(terms), sources, packed(terms, leaves)) for part, (terms, leaves) in cut.items()])
+
+
+def _leaf_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds, held, cells = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), [], 0
+    names = ["lang", "term", "documents", "sources", "counts"]
+    for row in rows:
+        held.append(row)
+        cells += 1 + len(row[3])
+        if cells >= 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+            held, cells = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
 
 def _merged(least: int):
-    """A walk over leaves in order of (lang, term): those of one term become one, of terms
-    with enough documents and of the root."""
+    """Tries of one (lang, prefix, part) after the other, walked together: the leaves of one
+    term become one, of terms with enough documents and of the root."""
+
+    def together(lang: str, tries: list[tuple[list[str], bytes]]) -> Iterator[tuple]:
+        walks = [((term, i, leaf) for term, leaf in walked(trie)) for i, (_, trie) in enumerate(tries)]
+        for term, same in groupby(heapq.merge(*walks, key=itemgetter(0)), itemgetter(0)):
+            same = list(same)
+            documents = sum(leaf[0] for _, _, leaf in same)
+            if documents >= least or not term:
+                counts: dict[str, int] = {}
+                for _, i, leaf in same:
+                    for number, n in zip(leaf[1::2], leaf[2::2]):
+                        source = tries[i][0][number]
+                        counts[source] = counts.get(source, 0) + n
+                yield lang, term.decode(), documents, list(counts), list(counts.values())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs() -> Iterator[tuple]:
-            at, documents, counts = None, 0, {}
+        def leaves() -> Iterator[tuple]:
+            at, tries = None, []
             for batch in batches:
-                for lang, term, n, sources, values in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (lang, term) != at:
-                        if at is not None and (documents >= least or not at[1]):
-                            yield *at, documents, list(counts), list(counts.values())
-                        at, documents, counts = (lang, term), 0, {}
-                    documents += n
-                    for source, value in zip(sources, values):
-                        counts[source] = counts.get(source, 0) + value
-            if at is not None and (documents >= least or not at[1]):
-                yield *at, documents, list(counts), list(counts.values())
-
-        yield from _batches(runs())
+                for lang, prefix, part, sources, trie in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (lang, prefix, part) != at:
+                        if at is not None:
+                            yield from together(at[0], tries)
+                        at, tries = (lang, prefix, part), []
+                    tries.append((sources, trie))
+            if at is not None:
+                yield from together(at[0], tries)
+
+        yield from _leaf_rows(leaves())
 
     return merge
 
@@ -191,10 +200,17 @@ def kept_terms(docs: DataFrame, text: str, lang: str, source: str, least: int =
     """One leaf (``LEAF``) for each language and term of at least ``least`` documents, and
     for each language's root."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source)), F.col(text)).toDF("lang", "source", "text")
-    leaves = rows.mapInArrow(_counted, LEAF)
-    # texts are read once: dealing out by range looks at the leaves twice
-    leaves = checkpointed(leaves).repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return checkpointed(leaves.mapInArrow(_merged(least), LEAF))
+    # texts are read once
+    tries = checkpointed(rows.mapInArrow(_counted, TRIES))
+    many = tries.groupBy("lang", "prefix").agg(F.sum("leaves").alias("n")).where(F.col("n") > MERGED)
+    many = checkpointed(many.select("lang", "prefix", F.ceil(F.col("n") / MERGED).cast("int").alias("parts")))
+    if not many.isEmpty():
+        few = F.broadcast(many) if many.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else many
+        cut = tries.join(few, ["lang", "prefix"]).select("lang", "prefix", "part", "leaves", "sources", "trie", "parts")
+        tries = tries.join(few, ["lang", "prefix"], "left_anti").unionByName(cut.mapInArrow(_split, TRIES))
+    key = ["lang", "prefix", "part"]
+    dealt = tries.select(*key, "sources", "trie").repartition(*key).sortWithinPartitions(*key)
+    return checkpointed(dealt.mapInArrow(_merged(least), LEAF))
 
 
 def _share(counts: np.ndarray, totals: np.ndarray, terms: int) -> np.ndarray:

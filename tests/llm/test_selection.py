@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftwood.llm import divergence, resampling, vectors
-from driftwood.llm.divergence import Trie
+from driftwood.llm.divergence import packed, walked
 from driftwood.llm.resampling import resample
 from driftwood.llm.vectors import near_vectors
 
@@ -77,13 +77,10 @@ def test_resampling_draws_exactly_as_many_of_rows_that_are_alike(spark):
 def test_trie_walks_in_order_of_bytes():
     rng = random.Random(3)
     terms = ["".join(rng.choice(["a", "b", "é", "ü", "日", "𝄞"]) for _ in range(rng.randint(0, 5))).encode() for _ in range(3000)]
-    trie = Trie()
-    for i, t in enumerate(terms):
-        trie.add(t, f"s{i % 3}", 2)
-    found = [(t, leaf.counts) for t, leaf in trie.walk()]
-    assert [t for t, _ in found] == sorted(set(terms))
-    want = Counter((t, f"s{i % 3}") for i, t in enumerate(terms))
-    assert {(t, s): n for t, c in found for s, n in c.items()} == {k: 2 * n for k, n in want.items()} and trie.cells == len(want)
+    leaves = {t: [i, 0, i + 1, 7, 2**40] for i, t in enumerate(terms)}
+    assert list(walked(packed(sorted(leaves), [leaves[t] for t in sorted(leaves)]))) == sorted(leaves.items())
+    assert list(walked(packed([], []))) == [] and list(walked(packed([b""], [[1]]))) == [(b"", [1])]
+    assert [t.decode() for t in sorted(leaves)] == sorted(t.decode() for t in leaves)
 
 
 def audited(docs, least, top):
@@ -109,7 +106,7 @@ def audited(docs, least, top):
 @pytest.mark.parametrize("small", [False, True])
 def test_divergence(spark, monkeypatch, small):
     if small:  # tries are handed on all the time, pairs come in many tiles, nothing is broadcast
-        for name, value in (("CELLS", 5), ("BUFFERED", 7), ("TILE", 2), ("BROADCAST_GROUPS", 0)):
+        for name, value in (("CELLS", 50), ("MERGED", 20), ("TILE", 2), ("BROADCAST_GROUPS", 0)):
             monkeypatch.setattr(divergence, name, value)
     rng = random.Random(4)
     docs = [(words(rng, rng.randint(0, 30), "abcÄé").replace("c", rng.choice("cC")), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "ß", "z9", None])) for _ in range(400)]
