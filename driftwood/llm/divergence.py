@@ -165,17 +165,18 @@ def _merged(least: int):
     """Tries of one (lang, prefix, part) after the other, walked together: the leaves of one
     term become one, of terms with enough documents and of the root."""
 
+    def walk(names: list[str], trie: bytes) -> Iterator[tuple]:
+        return ((term, names, leaf) for term, leaf in walked(trie))
+
     def together(lang: str, tries: list[tuple[list[str], bytes]]) -> Iterator[tuple]:
-        walks = [((term, i, leaf) for term, leaf in walked(trie)) for i, (_, trie) in enumerate(tries)]
-        for term, same in groupby(heapq.merge(*walks, key=itemgetter(0)), itemgetter(0)):
+        for term, same in groupby(heapq.merge(*(walk(*t) for t in tries), key=itemgetter(0)), itemgetter(0)):
             same = list(same)
             documents = sum(leaf[0] for _, _, leaf in same)
             if documents >= least or not term:
                 counts: dict[str, int] = {}
-                for _, i, leaf in same:
+                for _, names, leaf in same:
                     for number, n in zip(leaf[1::2], leaf[2::2]):
-                        source = tries[i][0][number]
-                        counts[source] = counts.get(source, 0) + n
+                        counts[names[number]] = counts.get(names[number], 0) + n
                 yield lang, term.decode(), documents, list(counts), list(counts.values())
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
