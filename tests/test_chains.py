@@ -36,45 +36,106 @@ def test_cap(spark, frames, cut):
     assert [r["ordinal"] for r in result.diagnostics.where("reason = 'chain_truncated'").collect()] == cut
 
 
+#: Kinds of lines: what begins an event, its identity, what joins by itself, opened braces.
+KINDS = {"root {": (True, None, False, 1), "root": (True, None, False, 0), "  at f": (False, None, True, 0), "words": (False, None, False, 0), "}": (False, None, False, -1), "dump {": (False, None, False, 1), "  File": (False, None, True, 0), "  body": (False, None, False, 0), "log at": (True, "a", True, 0), "log {": (True, "a", False, 1), "log }": (True, "a", False, -1), "log": (True, "a", False, 0), "other": (True, "b", False, 0)}
+
+
+def extent(lines, root, cap):
+    """The line after the last one of the event that a root begins, and whether the cap ends it."""
+    open_ = max(0, KINDS[lines[root]][3])
+    for at in range(root + 1, len(lines)):
+        line = lines[at]
+        if line == "":
+            return at, False
+        prefixed, identity, joins, braces = KINDS[line]
+        joins = joins or (line == "  body" and lines[at - 1] == "  File") or open_ > 0
+        if not joins or (prefixed and (identity is None or identity != KINDS[lines[root]][1])):
+            return at, False
+        if at - root > cap:
+            return at, True
+        if open_ and open_ + braces <= 0:
+            return at + 1, False
+        open_ = max(0, open_ + braces)
+    return len(lines), False
+
+
 def by_hand(lines, cap):
-    """The rules told line by line, for lines of the kinds below: what each line continues."""
-    own = {"root {": ("p", 1), "root": ("p", 0), "  at f": ("s", 0), "words": ("w", 0), "}": ("w", -1), "  File": ("f", 0), "  body": ("i", 0), "log at": ("ls", 0), "log {": ("l", 1), "log }": ("l", -1), "other": ("o", 0), "": ("gap", 0)}
-    found, event = [], None  # event: its number, its record, open braces, lines, after a file
-    for number, line in enumerate(lines, 1):
-        kind, braces = own[line]
-        record = {"l": "a", "ls": "a", "o": "b"}.get(kind)
-        mark = kind in ("s", "f", "ls") or (kind == "i" and event is not None and event["file"])
-        fits = event is not None and kind not in ("p", "gap") and (record is None or record == event["record"]) and (mark or event["open"] > 0)
-        if fits and event["lines"] < cap:
-            found.append(event["number"])
-            was, event["open"] = event["open"], max(0, event["open"] + braces)
-            event["lines"], event["file"] = event["lines"] + 1, kind == "f"
-            event = None if was and not event["open"] else event
-        else:
-            found.append(None)
-            begins = kind in ("p", "l", "ls", "o")
-            event = {"number": number, "record": record, "open": max(0, braces), "lines": 0, "file": False} if begins else None
-    return found
+    """What each line continues, event by event, and the lines that a cap kept out."""
+    found, cut, at = [None] * len(lines), {}, 0
+    while at < len(lines):
+        if lines[at] == "" or not KINDS[lines[at]][0]:
+            at += 1
+            continue
+        end, capped = extent(lines, at, cap)
+        found[at + 1 : end] = [at + 1] * (end - at - 1)
+        if capped:
+            cut[end + 1] = at + 1
+        at = end
+    return found, cut
 
 
 TEXTS = {
-    "root {": "2026-06-03T09:15:27Z x {", "root": "2026-06-03T09:15:27Z y", "  at f": "  at f", "words": "words", "}": "}", "  File": '  File "m.py", line 4', "  body": "  body", "": "",
-    "log at": "06-03 09:15:27.001   511   7 E Unit:   at x", "log {": "06-03 09:15:27.001   511   7 E Unit: z {", "log }": "06-03 09:15:27.002   511   7 E Unit: }", "other": "06-03 09:15:27.001   511   8 E Unit: q",
+    "root {": "2026-06-03T09:15:27Z x {", "root": "2026-06-03T09:15:27Z y", "  at f": "  at f", "words": "words", "}": "}", "dump {": "dump {", "  File": '  File "m.py", line 4', "  body": "  body", "": "",
+    "log at": "06-03 09:15:27.001   511   7 E Unit:   at x", "log {": "06-03 09:15:27.001   511   7 E Unit: z {", "log }": "06-03 09:15:27.002   511   7 E Unit: }", "log": "06-03 09:15:27.002   511   7 E Unit: w", "other": "06-03 09:15:27.001   511   8 E Unit: q",
 }
 
 
-@pytest.mark.parametrize("block", [64, 8192])
-def test_links_are_what_the_rules_say(spark, monkeypatch, block):
-    """Blocks never change a link."""
-    monkeypatch.setattr(chains, "BLOCK", block)
-    rng = random.Random(3)
-    lines = [rng.choice([*TEXTS, "  at f", "words"]) for _ in range(900)]
-    result = parsed(spark, [TEXTS[x] for x in lines], config=Config(chain_cap=40))
+def check(spark, lines, cap):
+    result = parsed(spark, [TEXTS[x] for x in lines], config=Config(chain_cap=cap))
     got = {r["ordinal"]: (r["continuation_of"], r["event"], r["chained"]) for r in result.entries.collect()}
-    want = by_hand(lines, 40)
-    assert {k: v[0] for k, v in got.items()} == {i: w for i, w in enumerate(want, 1) if lines[i - 1]} and sum(w is not None for w in want) > 90
+    want, cut = by_hand(lines, cap)
+    assert {k: v[0] for k, v in got.items()} == {i: w for i, w in enumerate(want, 1) if lines[i - 1]}
     heads = {w for w in want if w}
     assert all(event == (root or k) and several == (root is not None or k in heads) for k, (root, event, several) in got.items())
+    told = result.diagnostics.where("reason = 'chain_truncated'").collect()
+    assert {r["ordinal"]: int(r["detail"]) for r in told} == cut
+    return want, cut
+
+
+@pytest.mark.parametrize("block, group, cap", [(64, 2, 40), (8, 3, 6), (8192, 1024, 40)])
+def test_links_are_what_the_rules_say(spark, monkeypatch, block, group, cap):
+    """Neither blocks nor groups of them change a link, in no kind of run."""
+    monkeypatch.setattr(chains, "BLOCK", block)
+    monkeypatch.setattr(chains, "GROUP", group)
+    rng = random.Random(3)
+    lines = [rng.choice([*TEXTS, "  at f", "words"]) for _ in range(900)]
+    for kinds in (["log at"], ["log at", "log at", "log"], ["log", "log {", "log }", "words", "log at"], ["log", "log {", "dump {"], ["  at f", "words"], ["log at", "  at f"], ["log {", "log", "log }", "}", "  File", "  body"]):
+        lines += ["other", *(rng.choice(kinds) for _ in range(rng.choice([30, 150, 400])))]
+    want, cut = check(spark, lines, cap)
+    assert sum(w is not None for w in want) > 400 and len(cut) > 5
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_long_runs_of_one_identity(spark, monkeypatch, block):
+    monkeypatch.setattr(chains, "BLOCK", block)
+    want, cut = check(spark, ["log", *["log at"] * 20_000], 1000)
+    assert list(cut) == list(range(1002, 20_002, 1001)) and want[1500] == 1002
+    check(spark, ["words", *["log at"] * 9_000, "", "  at f", *["log", "log at", "log at"] * 2_000], 1000)
+
+
+def test_braces_that_belong_to_no_event(spark):
+    assert check(spark, ["log", "dump {", "log", "log", "log"], 1000)[0] == [None] * 5
+    # the cap ends an event with an open brace; what begins there has none
+    assert check(spark, ["log {", *["log"] * 11], 5)[0] == [None, *[1] * 5, *[None] * 6]
+    assert check(spark, ["root {", *["words"] * 11], 5)[0] == [None, *[1] * 5, *[None] * 6]
+
+
+def test_closing_lines():
+    rng = random.Random(8)
+    import numpy as np
+
+    for _ in range(200):
+        texts = [rng.choice(["{", "}", "{{", "}{", "}}", "", "", "{}"]) for _ in range(rng.randint(1, 25))]
+        net = [t.count("{") - t.count("}") for t in texts]
+        own = [0 if t == "" else {"{": 1, "}": 0, "{{": 2, "}{": 1, "}}": 0, "{}": 0}[t] for t in texts]
+        found = chains._closing(np.array(net), np.array(own))
+        for i, depth in enumerate(own):
+            at = i
+            while depth and at + 1 < len(texts):
+                at += 1
+                depth = max(depth + net[at], own[at])
+            if own[i]:
+                assert found[i] == (at if not depth else len(texts))
 
 
 def test_lines_without_a_prefix_link_to_nothing(spark):
