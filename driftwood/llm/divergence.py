@@ -93,47 +93,51 @@ def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
 TRIES = "lang string, prefix binary, part int, leaves int, sources array<string>, trie binary"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(cells: int):
     """Parts of the tries of a task's documents (lang, source, text).  The empty term is the
     root, whose counters are the documents of each source."""
-    counts: dict[tuple[str, str], Counter] = {}
-    documents: dict[str, Counter] = {}
-
-    def tries() -> Iterator[pa.RecordBatch]:
-        for lang in sorted(documents):
-            names = sorted(s for x, s in counts if x == lang)
-            leaves = {term: [n] for term, n in documents.pop(lang).items()}
-            for number, source in enumerate(names):
-                for term, n in counts.pop((lang, source)).items():
-                    leaves[term] += number, n
-            rows, size = [], 0
-            for prefix, terms in groupby(sorted(leaves), lambda t: t[:PREFIX]):
-                terms = list(terms)
-                rows.append((lang, prefix, 0, len(terms), names, packed(terms, [leaves[t] for t in terms])))
-                size += len(terms)
-                if size >= 50_000:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], Counter] = {}
+        documents: dict[str, Counter] = {}
+
+        def tries() -> Iterator[pa.RecordBatch]:
+            for lang in sorted(documents):
+                names = sorted(s for x, s in counts if x == lang)
+                leaves = {term: [n] for term, n in documents.pop(lang).items()}
+                for number, source in enumerate(names):
+                    for term, n in counts.pop((lang, source)).items():
+                        leaves[term] += number, n
+                rows, size = [], 0
+                for prefix, terms in groupby(sorted(leaves), lambda t: t[:PREFIX]):
+                    terms = list(terms)
+                    rows.append((lang, prefix, 0, len(terms), names, packed(terms, [leaves[t] for t in terms])))
+                    size += len(terms)
+                    if size >= 50_000:
+                        yield _packed_rows(rows)
+                        rows, size = [], 0
+                if rows:
                     yield _packed_rows(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _packed_rows(rows)
 
-    # what is counted has no cycles, and there is much of it
-    gc.disable()
-    held = 0
-    for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-            found = terms_of(text.as_py())
-            found.append(b"")
-            own, seen = counts.setdefault((lang, source), Counter()), documents.setdefault(lang, Counter())
-            held -= len(own) + len(seen)
-            own.update(found)
-            seen.update(set(found))
-            held += len(own) + len(seen)
-            if held >= CELLS:
-                yield from tries()
-                held = 0
-    yield from tries()
-    gc.enable()
+        # what is counted has no cycles, and there is much of it
+        gc.disable()
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                found = terms_of(text.as_py())
+                found.append(b"")
+                own, seen = counts.setdefault((lang, source), Counter()), documents.setdefault(lang, Counter())
+                held -= len(own) + len(seen)
+                own.update(found)
+                seen.update(set(found))
+                held += len(own) + len(seen)
+                if held >= cells:
+                    yield from tries()
+                    held = 0
+        yield from tries()
+        gc.enable()
+
+    return run
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +206,7 @@ def kept_terms(docs: DataFrame, text: str, lang: str, source: str, least: int =
     for each language's root."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source)), F.col(text)).toDF("lang", "source", "text")
     # texts are read once
-    tries = checkpointed(rows.mapInArrow(_counted, TRIES))
+    tries = checkpointed(rows.mapInArrow(_counted(CELLS), TRIES))
     many = tries.groupBy("lang", "prefix").agg(F.sum("leaves").alias("n")).where(F.col("n") > MERGED)
     many = checkpointed(many.select("lang", "prefix", F.ceil(F.col("n") / MERGED).cast("int").alias("parts")))
     if not many.isEmpty():

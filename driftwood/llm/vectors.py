@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwood.llm.cluster import checkpointed
 from driftwood.llm.near_dedup import components
@@ -59,16 +60,26 @@ def bands_of(d: int) -> list[tuple[int, int]]:
     return [(d * i // n, d * (i + 1) // n) for i in range(n)]
 
 
-def unit(vector: Column) -> Column:
-    """The vector as doubles of length 1; null if it is null or empty, has a component that
-    is null or not finite, or only zeros."""
-    wide = F.transform(vector, lambda v: v.cast("double"))
-    fine = F.forall(wide, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))
-    most = F.array_max(F.transform(wide, F.abs))
-    # by the greatest component first, so that no square leaves the range of doubles
-    scaled = F.when(fine & (most > 0), F.transform(wide, lambda v: v / most))
-    length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(scaled, lambda v: v / length)
+def with_unit(rows: DataFrame, vector: str) -> DataFrame:
+    """``rows`` with ``unit`` in place of the column ``vector``: it as doubles of length 1;
+    null if it is null or empty, has a component that is null or not finite, or only zeros."""
+    fields = [f for f in rows.schema if f.name != vector]
+    schema = T.StructType([*fields, T.StructField("unit", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(batch.schema.get_field_index(vector))
+            units = []
+            for v in given:
+                x = None if v.as_py() is None else v.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+                # by the greatest component first, so that no square leaves the range of doubles
+                most = np.abs(x).max() if x is not None and len(x) and np.isfinite(x).all() else 0
+                scaled = x / most if most else None
+                units.append(None if scaled is None else scaled / math.sqrt(scaled @ scaled))
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(units, pa.list_(pa.float64()))], names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -163,7 +174,7 @@ def possible(coarse: np.ndarray, step: np.ndarray, error: np.ndarray, signs: np.
     return apart - factor[None, :] <= reach
 
 
-def _met(theta: float):
+def _met(theta: float, tile: int):
     """Pairs (a, b), a < b, of what is kept in a cell and what looks into it whose bounds
     leave it open that they are linked.  Rows are in order of cells, kept ones first."""
 
@@ -195,7 +206,7 @@ def _met(theta: float):
                     here.append(row)
                 else:
                     looking.append(row)
-                    if len(looking) >= TILE:
+                    if len(looking) >= tile:
                         yield from pairs()
         yield from pairs()
 
@@ -223,7 +234,8 @@ def _balls(vectors: DataFrame, bits: int, theta: float) -> tuple[DataFrame, Data
         # means by coordinate: sums are combined before they are shuffled
         sums = crowd.select("kin", "band", "cell", F.posexplode("unit").alias("i", "v")).groupBy("kin", "band", "cell", "i").agg(F.sum("v").alias("v"))
         centres = sums.groupBy("kin", "band", "cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("centre"))
-        centres = checkpointed(centres.withColumn("centre", unit("centre")).where("centre IS NOT NULL"))
+        centres = with_unit(centres, "centre").withColumnRenamed("unit", "centre")
+        centres = checkpointed(centres.where("centre IS NOT NULL"))
         near = placed.join(_small(centres), ["kin", "band", "cell"]).withColumn("far", angle(F.col("unit"), F.col("centre")))
         near = checkpointed(near.where(F.col("far") <= theta / 2 - SLACK))
         made = near.groupBy("kin", "band", "cell").agg(F.min("row").alias("node"), F.max("far").alias("radius"), F.count("*").alias("size"))
@@ -259,7 +271,7 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, bits: int, theta: float) -
     part = F.explode(F.when(F.col("own"), F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select(*cell, part.alias("part"), "own", "node", "code", "factor", "coarse", "step", "error", "radius")
     dealt = rows.repartition(*cell, "part").sortWithinPartitions(*cell, "part", F.desc("own"))
-    return checkpointed(dealt.mapInArrow(_met(theta), "a bigint, b bigint").distinct())
+    return checkpointed(dealt.mapInArrow(_met(theta, TILE), "a bigint, b bigint").distinct())
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -273,7 +285,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     empty result; other columns are not handed on.
     """
     theta = math.acos(threshold)
-    rows = vectors.select(F.col(key).alias("_key"), F.col(label).alias("kin"), unit(F.col(vector)).alias("unit"))
+    rows = with_unit(vectors.select(F.col(key).alias("_key"), F.col(label).alias("kin"), F.col(vector).alias("vector")), "vector")
     rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
     # only vectors of one length are kin
     able = rows.where("kin IS NOT NULL AND unit IS NOT NULL").select("row", F.struct("kin", F.size("unit").alias("d")).alias("kin"), "unit")
