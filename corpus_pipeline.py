@@ -23,14 +23,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 #: What the mix takes, in percent of all words, and the sources' weights.
 MIX_PERCENT, MIX_WEIGHTS = 150, (5, 2, 1)
-#: Documents to an Arrow batch: whole texts are long, and both sides of a Python worker
+#: Rows and bytes of an Arrow batch: whole texts are long, and both sides of a Python worker
 #: hold a batch.
-ARROW_ROWS = 1_000
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def _own(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The columns of documents, to be handed to workers in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """The columns of documents, to be handed to workers in small batches.  A stage is run
+    by whoever writes it, so the setting stays; ``run`` puts back what was there."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
     return docs.select(*COLUMNS)
 
 
@@ -43,12 +45,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of least id, of each class of near-duplicates."""
+    """Keep one document, the one of least id, of each class of near-duplicates.  Null keys
+    come last, rows of null text stay unless they repeat a key, and of rows that repeat key
+    and text one stays."""
     return representatives(_own(spark, docs))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets; ``n_chars`` follows the text."""
+    """Replace personal data by its kind in brackets; ``n_chars`` follows the text.  Null
+    texts and their lengths stay as they are, and rows that repeat key and text are alike."""
     return redact(_own(spark, docs))
 
 
@@ -85,11 +90,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of ``sf_dir``."""
+    """The last stage's rows over the documents of ``sf_dir``.  What a stage has written is
+    removed when the next one has been written; the last one's table stays."""
     shared_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    before = {name: spark.conf.get(name) for name in BATCH}
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(at := f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(at)
+            if last is not None:
+                path = spark._jvm.org.apache.hadoop.fs.Path(last)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            last = at
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return docs
