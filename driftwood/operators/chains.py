@@ -78,7 +78,7 @@ def marks(text: Column, message: Column, prefixed: Column, identity: Column, res
     }
 
 
-_MARKS = ("ordinal", "prefixed", "identity", "looks", "indented", "file_frame", "opens", "floor")
+MARKS = ("ordinal", "prefixed", "identity", "looks", "indented", "file_frame", "opens", "floor")
 #: Where a block is entered: how many of its first line numbers belong to the event that
 #: ``root`` began in the block before, and whether the cap kept the next line out of it.
 _ENTRY = "entered int, root bigint, cut boolean"
@@ -225,6 +225,24 @@ class _Block:
         return out
 
 
+def events(columns: list[np.ndarray], cap: int) -> tuple[list, list, int | None]:
+    """For lines in order (columns of ``MARKS``) that no event reaches into: the line that
+    began the event of each line that is not its first, the event that the cap kept a line
+    from, and the place of the last event's first line if it may go on behind the lines."""
+    n = len(columns[0])
+    lines, found, cut, last = _Block(columns, int(columns[0][-1]) + 1, cap), [None] * n, [None] * n, None
+    at = lines.first_root(int(columns[0][0]))
+    while at < n:
+        end, root = int(lines.ends[at]), int(lines.ordinal[at])
+        found[at + 1 : end] = [root] * (end - at - 1)
+        if end == n:
+            last = at
+        elif lines.cut[at]:
+            cut[end] = root
+        at = lines.next_root(at)
+    return found, cut, last
+
+
 _NONE = (0, 0, False)
 
 
@@ -358,11 +376,11 @@ def linked(lines: DataFrame, config: Config = Config()) -> DataFrame:
     block, place = F.floor((c("ordinal") - 1) / size), ((c("ordinal") - 1) % size).cast("int")
     key = lambda at: F.struct(c("source"), at.alias("block"))
     beyond = F.when(place <= cap + 1, F.array(block, block - 1)).otherwise(F.array(block))
-    marks = lines.select(F.explode(F.transform(beyond, key)).alias("_key"), *_MARKS).repartition("_key")
+    marks = lines.select(F.explode(F.transform(beyond, key)).alias("_key"), *MARKS).repartition("_key")
     order, columns = ("_key", "ordinal"), (c("_key.source"), c("_key.block").alias("_block"))
-    functions = marks.sortWithinPartitions(*order).select(*columns, *_MARKS).mapInArrow(_summaries(size, cap), _SUMMARY)
+    functions = marks.sortWithinPartitions(*order).select(*columns, *MARKS).mapInArrow(_summaries(size, cap), _SUMMARY)
     entered = _entered(functions).select(key(c("_block")).alias("_at"), "entered", "root", "cut")
-    placed = marks.join(entered, c("_key") == c("_at")).sortWithinPartitions(*order).select(*columns, "entered", "root", "cut", *_MARKS)
+    placed = marks.join(entered, c("_key") == c("_at")).sortWithinPartitions(*order).select(*columns, "entered", "root", "cut", *MARKS)
     links = placed.mapInArrow(_resolved(size, cap), "source string, _block bigint, _links array<int>")
     # there is one row a block anyway; said so, the join goes where nobody asks for links
     links = links.groupBy(key(c("_block")).alias("_at")).agg(F.first("_links").alias("_links"))
@@ -370,7 +388,7 @@ def linked(lines: DataFrame, config: Config = Config()) -> DataFrame:
     link = F.coalesce(F.get("_links", place), F.lit(0))
     far = F.shiftright(link, 2)
     return rows.select(
-        *(n for n in lines.columns if n not in _MARKS[1:]),
+        *(n for n in lines.columns if n not in MARKS[1:]),
         F.when(far > 0, c("ordinal") - far).alias("continuation_of"),
         F.when(link.bitwiseAND(F.lit(2)) > 0, c("ordinal") - (cap + 1)).alias("truncated_root"),
         ((far > 0) | (link.bitwiseAND(F.lit(1)) > 0)).alias("chained"),

@@ -12,6 +12,7 @@ from driftwood.operators import stats
 from driftwood.operators.detect import detect, is_blank
 from driftwood.operators.parse import ParseResult, parse
 from driftwood.sources.lines import decoded, framed
+from driftwood.streaming.follow import follow
 
 #: Sequence numbers to a block when gaps are looked for.
 BLOCK = 1_000_000
@@ -71,7 +72,8 @@ def rates(lines: DataFrame, at: str = "arrived", every: str = "1 second") -> Dat
 
 class LiveTail:
     """Follows the log files that arrive in a folder into a table of lines that queries
-    read.  A file is read once, when it arrives; what is appended to it later is not seen.
+    read.  A file is read once, when it arrives, up to its last byte; with ``growing`` what
+    is appended to it is read too, each line when its newline has come.
 
     Each micro-batch is numbered after what the table has of its source and appended;
     entries and everything else are asked of the table, so that an event whose members
@@ -83,12 +85,13 @@ class LiveTail:
     then on; ``reference`` is what lines without a year are judged by there.
     """
 
-    def __init__(self, spark: SparkSession, inputs: str, table: str, checkpoint: str, config: Config = Config(), reference: datetime | None = None):
+    def __init__(self, spark: SparkSession, inputs: str, table: str, checkpoint: str, config: Config = Config(), reference: datetime | None = None, growing: bool = False):
+        self.growing = growing
         self.spark, self.inputs, self.table, self.checkpoint, self.config, self.reference = spark, inputs, table, checkpoint, config, reference
 
     def start(self, **trigger):
         """The running query; ``availableNow=True`` or ``processingTime=...`` as trigger."""
-        stream = stream_files(self.spark, self.inputs)
+        stream = (follow if self.growing else stream_files)(self.spark, self.inputs)
         writer = stream.writeStream.foreachBatch(self._append).option("checkpointLocation", self.checkpoint)
         return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
