@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from driftwood.config import Config
 from driftwood.functions import levels
-from driftwood.operators import inventory, search, stats, timeline
+from driftwood.operators import inventory, search, stats, timeline, view
 from driftwood.operators.detect import detect, is_blank
 from driftwood.operators.parse import parse
 from driftwood.operators.search import Search, compile_search, in_range, matching, range_of
@@ -344,6 +344,42 @@ def chain_cap(spark, d):
     return linked.crossJoin(result.diagnostics.agg(F.count_if(F.col("reason") == "chain_truncated").alias("truncated")))  # one row each
 
 
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 1001 > 0 THEN event_id - event_id % 1001 + 1 END AS continuation_of FROM events")
+def chain_long_run(spark, d):
+    """Records of one identity that all look like further lines: events begin anew at the cap."""
+    text = F.when(F.col("event_id") == 0, "01-02 03:04:05.123   806   7 E App: fatal").otherwise("01-02 03:04:05.123   806   7 E App:   at a.b")
+    return parse(render.as_lines(render.events(spark, d), text), "plain", reference=REFERENCE).entries.select("ordinal", "continuation_of")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 7 IN (4, 5) THEN event_id - event_id % 7 + 4 END AS continuation_of FROM events")
+def chain_stray_brace(spark, d):
+    """A brace of a line that belongs to no event opens nothing for the records after it."""
+    k = F.col("event_id") % 7
+    record = lambda message: F.lit(f"01-02 03:04:05.123   806   7 E App: {message}")
+    text = F.when(k == 1, "dump {").when(k == 3, record("c {")).when(k == 5, record("}")).otherwise(record("w"))
+    return parse(render.as_lines(render.events(spark, d), text), "plain", reference=REFERENCE).entries.select("ordinal", "continuation_of")
+
+
+@query("SELECT event_id + 1 AS ordinal, CASE WHEN event_id % 12 BETWEEN 1 AND 5 THEN event_id - event_id % 12 + 1 END AS continuation_of, event_id % 12 = 6 AS cut FROM events")
+def chain_cap_brace(spark, d):
+    """What begins where the cap ends an event has no brace open."""
+    text = F.when(F.col("event_id") % 12 == 0, "01-02 03:04:05.123   806   7 E App: body {").otherwise("01-02 03:04:05.123   806   7 E App: w")
+    result = parse(render.as_lines(render.events(spark, d), text), "plain", reference=REFERENCE, config=Config(chain_cap=5))
+    cut = result.diagnostics.where("reason = 'chain_truncated'").select("ordinal", F.lit(True).alias("cut"))
+    return result.entries.join(cut, "ordinal", "left").select("ordinal", "continuation_of", F.coalesce("cut", F.lit(False)).alias("cut"))
+
+
+@query("SELECT event_id * 6 + 1 + i AS ordinal, CASE WHEN i = 0 THEN n + 1 ELSE 1 END AS lines FROM (SELECT event_id, event_id % 5 AS n, unnest(range(0, event_id % 5 + 1)) AS i FROM events WHERE event_type = 'error') WHERE i = 0 OR n >= 3")
+def collapsed_view(spark, d):
+    """Events folded into their first lines but for those of which a further line is hit."""
+    return view.collapsed(_chained(spark, d), search=compile_search(r"re:event error|frame3\(")).select("ordinal", "lines")
+
+
+@query("SELECT ordinal, position FROM (SELECT event_id + 1 AS ordinal, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events WHERE event_type = 'view') WHERE position BETWEEN 1900 AND 2039")
+def viewport_slice(spark, d):
+    return view.viewport(matching(_json(spark, d), {"kind": ["view"]}), 1900, 140).select("ordinal", "position")
+
+
 _DOC_LINES = "SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS x FROM documents WHERE text <> '')"
 
 
