@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
@@ -67,22 +68,27 @@ def from_texts(df: DataFrame, text: str, source: str) -> DataFrame:
 
 
 def binary_sources(spark: SparkSession, path: str | list[str], config: Config = Config()) -> DataFrame:
-    """For each file its size, and whether a NUL is among its first bytes or it is empty.
+    """For each file its size, whether a NUL is among its first bytes, and whether it is
+    empty.
 
-    The listing gives names and sizes without reading files; tasks open each file and read
-    its head alone, so a file of any size costs the same.
+    The listing gives names without reading files, those of empty ones too, which a scan
+    would pass over; tasks ask for each file's size and read its head alone, so a file of
+    any size costs the same.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("bytes"))
+    names = spark.read.format("binaryFile").load(path).inputFiles()
+    files = spark.createDataFrame([(n,) for n in names], "source string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism)))
     size = config.sniff_bytes
 
     def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads = []
+            rows = []
             for name in batch.column(0).to_pylist():
                 system, at = FileSystem.from_uri(name)
                 with system.open_input_stream(at, buffer_size=0, compression=None) as f:
-                    heads.append(b"\0" in f.read(size))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.bool_())], names=["source", "bytes", "binary"])
+                    head = f.read(size)
+                rows.append((unquote(name).replace("file:///", "file:/", 1), system.get_file_info(at).size, b"\0" in head))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_()))], names=["source", "bytes", "binary"])
 
     found = files.mapInArrow(sniff, "source string, bytes bigint, binary boolean")
     return found.withColumn("empty", F.col("bytes") == 0)
