@@ -35,7 +35,7 @@ from driftwood.llm.cluster import checkpointed
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Counters that a task holds before they are turned into tries; first bytes that name the
 #: parts of a trie; leaves of all tries that are merged in one task.
-CELLS, PREFIX, MERGED = 300_000, 3, 1_000_000
+CELLS, PREFIX, MERGED = 600_000, 3, 1_000_000
 #: Sources to a side of a tile of pairs.
 TILE = 256
 #: Statistics of so many (language, source) groups are broadcast; beyond, they are joined.
