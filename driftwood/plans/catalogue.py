@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.config import Config
@@ -21,8 +21,8 @@ from driftwood.operators.search import Search, compile_search, in_range, matchin
 from driftwood.plans import render
 from driftwood.plans.spec import parse_spec, unknown_fields
 from driftwood.sources import lines as sources
-from driftwood.sources.shared import shared_path
-from driftwood.sources.sinks import envelope, write_entries
+from driftwood.sources.shared import shared_path, written
+from driftwood.sources.sinks import envelope, messages, write_entries
 
 REFERENCE = datetime(2024, 12, 31, 23, 59, 59)
 DAY = 86_400_000
@@ -596,3 +596,86 @@ def entries_by_time(spark, d):
     write_entries(_json(spark, d), folder)
     rows = spark.read.parquet(folder)
     return rows.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"))
+
+
+def _numbered(spark, d):
+    """Events of eight sources, each with its number in its source, from 1."""
+    order = Window.partitionBy("source").orderBy("event_id")
+    rows = spark.read.parquet(f"{d}/events.parquet").withColumn("source", (F.col("user_id") % 8).cast("string"))
+    return rows.select("source", "event_id", "event_type", F.row_number().over(order).cast("bigint").alias("seq"))
+
+
+_NUMBERED = "n AS (SELECT CAST(user_id % 8 AS VARCHAR) AS source, event_id, event_type, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS seq FROM events)"
+
+
+def _streamed(spark, rows, at, build):
+    """What a stream over ``rows`` gives that brings them in three runs, by thirds of ``at``,
+    each of which goes on from the state of the one before."""
+    rows = written(rows, "arriving")
+    last = rows.agg(F.max(at)).head()[0] or 0
+    folder, out, check = (shared_path(spark, n) for n in ("arrived", "emitted", "streamed"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for low, high in ((None, last // 3), (last // 3, last * 2 // 3), (last * 2 // 3, None)):
+            part = rows if low is None else rows.where(F.col(at) > low)
+            (part if high is None else part.where(F.col(at) <= high)).write.mode("append").parquet(folder)
+            stream = build(spark.readStream.schema(rows.schema).parquet(folder))
+            stream.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+            schema = stream.schema
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(schema).parquet(out)
+
+
+@query(f"""
+WITH {_NUMBERED},
+l AS (SELECT *, max(CASE WHEN event_id % 3 = 0 THEN seq END) OVER (PARTITION BY source ORDER BY seq) AS root, max(seq) OVER (PARTITION BY source) AS last FROM n),
+k AS (SELECT source, seq, event_type, CASE WHEN root > last - 200 THEN root ELSE seq END AS event FROM l WHERE seq > last - 200),
+e AS (SELECT source, event, bool_or(seq = event AND event_type <> 'click') AS passes, bool_or(event_type = 'error') AS hit FROM k GROUP BY 1, 2)
+SELECT k.source, k.seq AS ordinal FROM k JOIN e ON k.source = e.source AND k.event = e.event WHERE passes AND hit""")
+def live_view_of_stream(spark, d):
+    """The sum of a live view's changes: events of which a line is hit, of the last lines."""
+    from driftwood.streaming.view import live_view, shown
+
+    before = Window.partitionBy("source").orderBy("seq")
+    root = F.max(F.when(F.col("event_id") % 3 == 0, F.col("seq"))).over(before)
+    rows = _numbered(spark, d).select("source", F.col("seq").alias("ordinal"), F.when(root < F.col("seq"), root).alias("continuation_of"), "event_type")
+    return shown(_streamed(spark, rows, "ordinal", lambda s: live_view(s, F.col("event_type") != "click", F.col("event_type") == "error", 200)))
+
+
+@query(f"""
+WITH {_NUMBERED}, l AS (SELECT source, seq, 0 AS epoch FROM n WHERE event_id % 7 <> 2 UNION ALL SELECT source, seq, 1 FROM n WHERE event_id % 2 = 0)
+SELECT source, epoch, count(*) AS lines, max(seq) - count(*) AS missing FROM l GROUP BY 1, 2""")
+def received_stream(spark, d):
+    """Lines and missing ones of two runs of each producer, from their messages."""
+    from driftwood.streaming.sessions import received
+
+    rows = _numbered(spark, d)
+    line = envelope("line", seq=F.col("seq"), text=F.col("event_type"))
+    begin = envelope("snapshot", lines=F.array().cast("array<struct<seq:bigint,text:string>>"), lastSeq=F.lit(0))
+    ends = rows.groupBy("source").agg((F.max("seq") + 1).alias("end"))
+    runs = rows.join(ends, "source").select("source", F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("shift"), (F.col("event_id") % 7 != 2).alias("sent")), F.struct(F.col("end").alias("shift"), (F.col("event_id") % 2 == 0).alias("sent")))).alias("r"), "seq", line.alias("message"))
+    sent = runs.where("r.sent").select("source", (F.col("r.shift") + F.col("seq")).alias("at"), "message")
+    begun = ends.select("source", F.explode(F.array(F.lit(0).cast("bigint"), F.col("end"))).alias("at"), begin.alias("message"))
+    got = _streamed(spark, sent.unionByName(begun), "at", received)
+    return got.groupBy("source", "epoch").agg(F.count_if(F.col("kind") == "line").alias("lines"), F.sum("missing").alias("missing"))
+
+
+@query(f"""
+WITH {_NUMBERED}, h AS (SELECT source, max(seq) AS last FROM n GROUP BY 1),
+r AS (SELECT n_nationkey AS reader, h.source, last, CASE WHEN n_nationkey % 3 > 0 THEN last * (n_nationkey % 3 + 1) // 4 END AS position FROM nation JOIN h ON CAST(n_nationkey % 8 AS VARCHAR) = h.source)
+SELECT reader, CAST(0 AS BIGINT) AS place, 'snapshot' AS kind, last AS seq, CAST(NULL AS BIGINT) AS count, least(last, 50) AS lines FROM r WHERE position IS NULL
+UNION ALL SELECT reader, 0, 'gap', NULL, last - 100 - position, NULL FROM r WHERE last - 100 > position
+UNION ALL SELECT reader, n.seq, 'line', n.seq, NULL, NULL FROM r JOIN n ON n.source = r.source AND n.seq > greatest(position, last - 100) WHERE position IS NOT NULL
+UNION ALL SELECT reader, last + 1, 'ended', NULL, NULL, NULL FROM r WHERE CAST(source AS INT) % 2 = 0""")
+def reader_messages(spark, d):
+    """What readers at different places are sent, with what was dropped for each."""
+    lines = _numbered(spark, d).select("source", "seq", F.col("event_type").alias("text"))
+    heads = lines.groupBy("source").agg(F.max("seq").alias("last"))
+    nations = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("reader"), (F.col("n_nationkey") % 8).cast("string").alias("source"))
+    place = F.when(F.col("reader") % 3 > 0, F.floor(F.col("last") * (F.col("reader") % 3 + 1) / 4))
+    readers = nations.join(heads, "source").select("reader", "source", place.alias("position"))
+    found = messages(lines, readers, heads.where(F.col("source").cast("int") % 2 == 0), keep=50, buffer=100)
+    return found.select("reader", "place", "kind", "seq", "count", F.when(F.col("lines").isNotNull(), F.size("lines")).cast("bigint").alias("lines"))
