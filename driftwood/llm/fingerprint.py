@@ -5,16 +5,18 @@ fingerprint is the sum of its paragraphs' vectors modulo powers of two.  So the
 paragraphs does not matter, inserting one adds its vector and deleting one subtracts it.
 
 The vector has two wide lanes of 62 bits, which make unequal multisets differ, and 64
-narrow lanes, each holding one bit of a further hash.  The narrow lanes are packed two
-to a word of 62 bits, which leaves the upper one 30 bits: no text has 2**30 paragraphs,
-since each takes two bytes of at most 2**31.  With the number of paragraphs they are a
-sketch of the multiset in which two documents' lanes correlate as far as they share
-paragraphs (``likeness``).
+narrow lanes.  These are sums over the paragraph's pieces, its sentences, each of which adds
+one bit of a further hash to each lane; so documents of few long paragraphs can be likened
+as well.  The narrow lanes are packed two to a word of 62 bits, which leaves the upper one
+30 bits: no text has 2**30 pieces, since each takes two bytes of at most 2**31.  With the
+number of pieces they are a sketch in which two documents' lanes correlate as far as they
+share pieces (``likeness``).  A paragraph's vector depends on the paragraph alone.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,40 +25,62 @@ from pyspark.sql import functions as F
 MODULUS = (1 << 62) - 1
 #: One bit of each of two lanes, and the number of words that hold the 64 lanes.
 LANE_BITS, LANE_WORDS = 0x0000_0001_0000_0001, 32
-_SUMS = ["n", "wide0", "wide1", *(f"w{i:02d}" for i in range(LANE_WORDS))]
+#: Between pieces: the ends of paragraphs, and space after what ends a sentence.
+_PIECES = r"\n|(?<=[.!?\u3002\uff01\uff1f])[ \t\r]+"
+_WHOLE = ["n", "wide0", "wide1"]
+_PARTS = ["pieces", *(f"w{i:02d}" for i in range(LANE_WORDS))]
+_SUMS = [*_WHOLE, *_PARTS]
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda p: F.length(p) > 0)
+    return _filled(text, "\n")
 
 
-def _vector(p: Column) -> list[Column]:
-    """The parts of a paragraph's vector, each below 2**62."""
-    lanes = F.xxhash64(F.lit("lanes"), p)
-    wide = [F.xxhash64(F.lit(f"wide{i}"), p).bitwiseAND(MODULUS) for i in range(2)]
-    # the bits i and 32 + i go to word i
-    return [F.lit(1).cast("long"), *wide, *(F.shiftrightunsigned(lanes, i).bitwiseAND(LANE_BITS) for i in range(LANE_WORDS))]
+def _filled(text: Column, between: str) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), between, -1), lambda p: F.length(p) > 0)
 
 
-def fingerprint(text: Column) -> Column:
-    """A struct of sums modulo 2**62: n, wide0, wide1, w00 to w31."""
-    zero = F.struct(*(F.lit(0).cast("long").alias(s) for s in _SUMS))
+def _whole(p: Column) -> list[Column]:
+    """What a paragraph adds: one, and two hashes below 2**62."""
+    return [F.lit(1).cast("long"), *(F.xxhash64(F.lit(f"wide{i}"), p).bitwiseAND(MODULUS) for i in range(2))]
+
+
+def _lane_bits(piece: Column) -> list[Column]:
+    """What a piece adds: one, and its bits i and 32 + i to word i."""
+    lanes = F.xxhash64(F.lit("lanes"), piece)
+    return [F.lit(1).cast("long"), *(F.shiftrightunsigned(lanes, i).bitwiseAND(LANE_BITS) for i in range(LANE_WORDS))]
+
+
+def _summed(parts: Column, names: list[str], vector) -> Column:
+    zero = F.struct(*(F.lit(0).cast("long").alias(s) for s in names))
+
+    def add(total: Column, part: Column) -> Column:
+        return F.struct(*((total[s] + part[s]).bitwiseAND(MODULUS).alias(s) for s in names))
 
-    def add(total: Column, vector: Column) -> Column:
-        return F.struct(*((total[s] + vector[s]).bitwiseAND(MODULUS).alias(s) for s in _SUMS))
+    return F.aggregate(F.transform(parts, lambda p: F.struct(*(v.alias(s) for v, s in zip(vector(p), names)))), zero, add)
 
-    vectors = F.transform(paragraphs(text), lambda p: F.struct(*(v.alias(s) for v, s in zip(_vector(p), _SUMS))))
-    return F.aggregate(vectors, zero, add)
+
+def fingerprint(text: Column) -> Column:
+    """A struct of sums modulo 2**62: n, wide0, wide1 over paragraphs, pieces and w00 to w31
+    over pieces.  Null is empty."""
+    parts = F.struct(_summed(paragraphs(text), _WHOLE, _whole).alias("of"), _summed(_filled(text, _PIECES), _PARTS, _lane_bits).alias("by"))
+    # named once, so that neither sum is made for each of its parts
+    return F.transform(F.array(parts), lambda x: F.struct(*(x["of"][s].alias(s) for s in _WHOLE), *(x["by"][s].alias(s) for s in _PARTS)))[0]
 
 
 def inserted(print_: Column, paragraph: Column) -> Column:
-    """The fingerprint after a (non-empty) paragraph has been added."""
-    return F.struct(*((print_[s] + v).bitwiseAND(MODULUS).alias(s) for v, s in zip(_vector(paragraph), _SUMS)))
+    """The fingerprint after a paragraph has been added."""
+    return _with(print_, paragraph, lambda a, b: a + b)
 
 
 def deleted(print_: Column, paragraph: Column) -> Column:
     """The fingerprint after a paragraph that it holds has been taken away."""
-    return F.struct(*((print_[s] - v).bitwiseAND(MODULUS).alias(s) for v, s in zip(_vector(paragraph), _SUMS)))
+    return _with(print_, paragraph, lambda a, b: a - b)
+
+
+def _with(print_: Column, paragraph: Column, change) -> Column:
+    both = F.array(F.struct(print_.alias("a"), fingerprint(paragraph).alias("b")))
+    return F.transform(both, lambda x: F.struct(*(change(x["a"][s], x["b"][s]).bitwiseAND(MODULUS).alias(s) for s in _SUMS)))[0]
 
 
 def as_text(print_: Column) -> Column:
@@ -68,7 +92,7 @@ def _lanes(print_: Column) -> Column:
     """The 64 lanes as differences of ones and zeros."""
     words = F.array(*(print_[f"w{i:02d}"] for i in range(LANE_WORDS)))
     spread = F.flatten(F.transform(F.array(F.lit(0), F.lit(32)), lambda s: F.transform(words, lambda w: F.call_function("shiftrightunsigned", w, s).bitwiseAND(0xFFFF_FFFF))))
-    return F.transform(spread, lambda ones: (2 * ones - print_["n"]).cast("double"))
+    return F.transform(spread, lambda ones: (2 * ones - print_["pieces"]).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -77,7 +101,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: the cosine of two fingerprints' lanes, negative ones as 0; 1 if equal, 0 if
-    one of them alone is empty.  It estimates the cosine of the paragraph counts with a
+    one of them alone is empty.  It estimates the cosine of the piece counts with a
     standard error of about 1/8."""
     norm = F.sqrt(_dot(_lanes(a), _lanes(a)) * _dot(_lanes(b), _lanes(b)))
     cosine = F.when(norm > 0, _dot(_lanes(a), _lanes(b)) / norm).otherwise(0.0)
@@ -92,13 +116,17 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: i
     alone), each of which is sorted by itself, so texts are shuffled once and no task
     gets all rows.  The last row of a range finds the first of the next range in a table
     of one row per range.  Null keys come first; rows of one key are ordered by text.
+    Strings, ordered by their bytes, have a place by the seven bytes after what all of them
+    begin with; those that agree in these share a range.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(docs.dtypes)[key]
     docs = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    cuts = docs.select(F.percentile_approx("_key", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).head()[0]
-    dealt = docs.withColumn("_part", F.coalesce(_bounds_below(F.col("_key"), sorted(set(cuts or []))), F.lit(-1)))
+    # ranges are of a key that has quantiles: the key, or a string's place
+    docs = docs.withColumn("_at", _place(docs) if kind == "string" else F.col("_key"))
+    cuts = docs.select(F.percentile_approx("_at", [i / parts for i in range(1, parts)] or [0.5], 10 * parts)).head()[0]
+    dealt = docs.withColumn("_part", F.coalesce(_bounds_below(F.col("_at"), sorted(set(cuts or []))), F.lit(-1)))
     order = Window.partitionBy("_part").orderBy(F.col("_key").asc_nulls_first(), "_text")
     rows = dealt.withColumn("_next", F.lead("_text").over(order))
     # the first key of each range, at most one row per range, and the range before it
@@ -110,6 +138,14 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: i
     return rows.select(F.col("_key").alias(key), F.col("_text").alias(text), F.coalesce("_next", "_head").alias("next_text"))
 
 
+def _place(docs: DataFrame) -> Column:
+    """A number that goes up with the strings of ``_key``."""
+    ends = [(x or "").encode() for x in docs.agg(F.min("_key"), F.max("_key")).head()]
+    common = len(os.path.commonprefix(ends))
+    told = F.substring(F.hex(F.col("_key")), 2 * common + 1, 14)
+    return F.conv(F.rpad(told, 14, "0"), 16, 10).cast("long")
+
+
 def _bounds_below(key: Column, bounds: list) -> Column:
     """How many of the sorted bounds are below the key, in two steps of sqrt(n) compares."""
     if not bounds:

@@ -190,6 +190,25 @@ def test_fingerprints(docs, none, spark):
     assert fp.with_next(none).count() == 0
 
 
+def test_fingerprints_of_one_paragraph_and_string_keys(spark):
+    from driftwood.llm import fingerprint as fp
+
+    said = [f"Sentence {i} says {i * i}." for i in range(80)]
+    pairs = spark.createDataFrame([(" ".join(said), " ".join(said[:40] + [f"Other {i}!" for i in range(40)])), (" ".join(said), " ".join(f"Else {i}?" for i in range(80)))], "a string, b string")
+    half, none_ = (r["near"] for r in pairs.select(fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("near")).collect())
+    assert 0.3 < half < 0.75 and none_ < 0.35
+    # a text's pieces are those of its paragraphs, whatever stands between these
+    rows = spark.createDataFrame([("One. Two!", ["x.", " y?  z. ", "", "é。 w", "no end", ".", "... a"])], "first string, more array<string>")
+    r = rows.select(fp.fingerprint(F.concat_ws("\n", "first", "more")).alias("a"), F.aggregate("more", fp.fingerprint(F.col("first")), fp.inserted).alias("b")).head()
+    assert r["a"] == r["b"]
+    keys = [None, "", "a", "b\u00e9", "doc-1", "doc-10", "doc-2", "doc-\U0001f600", "z"]
+    for own in (keys, [f"doc-{i:06d}" for i in range(50)], [None], ["x"]):
+        table = spark.createDataFrame([(k, f"text of {k}") for k in own], "doc_id string, text string")
+        ordered = sorted(own, key=lambda k: (k is not None, (k or "").encode()))
+        want = {(k, f"text of {k}", f"text of {ordered[(i + 1) % len(ordered)]}") for i, k in enumerate(ordered)}
+        assert {tuple(r) for r in fp.with_next(table, parts=4).collect()} == want
+
+
 def test_fingerprints_of_many_paragraphs(spark):
     from driftwood.llm import fingerprint as fp
 
