@@ -434,3 +434,54 @@ def test_warc_character_references(spark):
     assert r["content_length"] == len(r["block"].encode()) and warc.read_record(r["record"])[1] == r["block"]
     assert r["block_digest"] == "sha256:" + hashlib.sha256(r["block"].encode()).hexdigest()
     assert warc.unescaped(f"&#{'0' * 5000}65; &#{'9' * 5000}; &#x{'0' * 50}41;") == "A \ufffd A"
+
+
+def test_tags_of_pages():
+    from driftwood.llm.warc import untagged
+
+    cases = {'<a title="a > b">x</a>': "x", "<a title='>' b=c>x": "x", "a < b and c > d": "a < b and c > d", '<p class="x>y': '\ny', "<!DOCTYPE html><?x y?>z": "z", "<P>a</P >b": "\na\nb", "<b>a</b><br/>c": "a\nc", "it's <i don't>x</i>": "it's x", "</>1 <3": "1 <3", "<" * 50_000: "<" * 50_000, "<a" * 50_000: "<a" * 50_000, "": ""}
+    assert {k: untagged(k) for k in cases} == cases
+    assert untagged('<a b="c>" ' * 20_000 + ">end") == "end"
+
+
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    from driftwood.llm import warc
+
+    def record(kind, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:x:{kind}>", "WARC-Target-URI": "http://a/\u00e9", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Length": len(block), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in fields.items() if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    page = "<p title='x > y'>caf\u00e9</p>"
+    http = lambda head, body: f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+    zipped = gzip.compress(page.encode())
+    sent = {
+        "plain": (http("Content-Type: text/html;\r\n charset=ISO-8859-1\r\nX-Own: 1", page.encode("latin-1")), {"WARC-Payload-Digest": "sha1:OWN"}),
+        "chunks": (http("Transfer-Encoding: chunked", f"{4:x};a=b\r\n".encode() + page.encode()[:4] + f"\r\n{len(page.encode()) - 4:X}\r\n".encode() + page.encode()[4:] + b"\r\n0\r\n\r\n"), {}),
+        "gzip": (http("content-encoding: gzip", zipped), {}),
+        "short": (http("A: b", page.encode()), {"Content-Length": None}),
+        "nothing": (b"", {}),
+        "bare": (b"HTTP/1.0 204 No\n\n", {}),
+        "odd": (http("Content-Type: text/html; charset=nosuch", page.encode()), {}),
+    }
+    made = [record("response", block, **{"WARC-Record-ID": f"<urn:x:{name}>", **more}) for name, (block, more) in sent.items()]
+    every = [record("warcinfo", b"software: x\r\n"), *made[:3], record("request", b"GET / HTTP/1.1\r\n\r\n"), *made[3:]]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes(b"".join(every))
+    (tmp_path / "in" / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, every)))
+    (tmp_path / "in" / "empty.warc").write_bytes(b"")
+    (tmp_path / "in" / "no.warc").write_bytes(b"no record\n\nat all")
+    source = warc.read_responses(spark, str(tmp_path / "in")).collect()
+    assert Counter((r["key"].rsplit("/", 1)[1], r["record_id"]) for r in source) == Counter((f, f"<urn:x:{n}>") for f in ("a.warc", "b.warc.gz") for n in sent)
+    for r in source:
+        name = r["record_id"][7:-1]
+        assert r["body"] == ("" if name in ("nothing", "bare") else page) and r["target_uri"] == "http://a/\u00e9" and r["date"] == "2024-01-01T00:00:00Z"
+        digest = {"plain": "sha1:OWN", "gzip": "sha256:" + hashlib.sha256(zipped).hexdigest(), "chunks": "sha256:" + hashlib.sha256(page.encode()).hexdigest()}
+        assert r["payload_digest"] == digest.get(name, r["payload_digest"])
+    meta = {r["refers_to"]: r for r in warc.derivatives(warc.read_responses(spark, str(tmp_path / "in"))).where("warc_type = 'metadata'").collect()}
+    own = meta["<urn:x:plain>"]["block"]
+    assert "source-payload-digest: sha1:OWN" in own and "source-header: X-Own: 1" in own
+    texts = {r["block"] for r in warc.derivatives(warc.read_responses(spark, str(tmp_path / "in"))).where("warc_type = 'conversion'").collect()}
+    assert texts == {"caf\u00e9", ""}
+    assert [f["content-type"] for f in [warc.fields_of(["Content-Type: a;", " b", "content-type: c", "none"])]] == ["a; b"]
