@@ -5,13 +5,15 @@ of tokens is what the merges give exactly when every token comes out of its own
 whole and every adjacent pair is compatible, that is, when no merge across the seam would
 have been applied before the merges that built its two sides.  Both tests are run as
 numpy operations over all pairs of a batch of new words.  Only words that fail are merged
-step by step.  Words met before come from a bounded cache of the worker.
+step by step.  Words met before come from a bounded table of the worker, which gives up
+the words that were met least when it is full.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from functools import cached_property
 from itertools import chain
@@ -26,8 +28,20 @@ from driftwood.llm.arrow import add_columns, texts_of
 from driftwood.llm.token_counts import RARE, byte_letters
 from driftwood.llm.worker import kept
 
-#: Words kept in a worker's cache, and characters of text handled at a time.
-CACHE_SIZE, SLICE_CHARS = 150_000, 800_000
+#: Words kept in a worker's table, and characters of text handled at a time.
+CACHE_SIZE, SLICE_CHARS = 250_000, 800_000
+
+
+def compiled(pattern: str) -> re.Pattern | regex.Pattern:
+    """An expression that is only used on text up to U+FFFF.  Where its classes are letters,
+    numbers and white space in brackets they are written out, and ``re``, which is faster,
+    does the same."""
+    if re.fullmatch(r"(?:[^][\\]|\[\^?(?:\\p\{[LN]\}|\\s)+\])*", pattern) is None:
+        return regex.compile(pattern)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(name, "".join(f"{re.escape(m[0])}-{re.escape(m[-1])}" for m in regex.findall(f"{name}+", every)))
+    return re.compile(pattern)
 
 
 class WordBpe:
@@ -47,8 +61,9 @@ class WordBpe:
         self.path = path
         self.end = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
-        self.find = regex.compile(split["pattern"]["Regex"]).findall
-        self.letter = {b: c for c, b in byte_letters().items()}
+        self.find = compiled(split["pattern"]["Regex"]).findall
+        self.value = byte_letters()
+        self.letter = {b: c for c, b in self.value.items()}
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.added = added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
@@ -57,8 +72,12 @@ class WordBpe:
         for word, i in [*vocab.items(), *added.items()]:
             self.strings[i] = word
         self._rank(vocab, [m if isinstance(m, list) else m.split(" ") for m in model["merges"]])
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # the number of each known word; by number, where its ids begin, how many they are
+        # and how often it was met.  Special strings come first, marked by a space, so that
+        # no word is like them
+        self.words = {" " + w: k for k, w in enumerate(added)}
+        self.known = np.array(list(added.values()), np.int32)
+        self.starts, self.sizes, self.uses = np.arange(len(added)), np.ones(len(added), np.int64), np.zeros(len(added), np.int64)
         self.merged_exactly = 0
 
     @cached_property
@@ -94,12 +113,14 @@ class WordBpe:
         self.whole = np.array(whole)
         longest: dict[str, int] = {}
         for w in order:
-            bare = len(w) - len(self.end) if w.endswith(self.end) and len(w) > len(self.end) else len(w)
-            longest[w[:1]] = max(longest.get(w[:1], 1), bare)
+            bare = w[: -len(self.end)] if w.endswith(self.end) and len(w) > len(self.end) else w
+            longest[bare[:2]] = max(longest.get(bare[:2], 1), len(bare))
         self.longest = longest
         self.inner = {w: i for w, i in rank.items() if not w.endswith(self.end) or w == self.end}
         self.last = {w[: -len(self.end)]: i for w, i in rank.items() if w.endswith(self.end) and w != self.end}
         self.ids = self.id_of.tolist()
+        self.closes = np.zeros(n, bool)
+        self.closes[list(self.last.values())] = True
         self.fast = self._merger()
 
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,7 +183,7 @@ class WordBpe:
         out, at, end = [], 0, len(word)
         inner, last, longest = self.inner, self.last, self.longest
         while at < end:
-            far = min(end, at + longest[word[at]])
+            far = min(end, at + longest.get(word[at : at + 2], 1))
             if far == end:
                 got = last.get(word[at:])
                 if got is not None:
@@ -189,68 +210,92 @@ class WordBpe:
         return good.tolist()
 
     def learn(self, words: list[str]) -> None:
-        """Add words (in byte letters, each without its end mark) to the cache."""
-        proposed = [self.propose(w) for w in words]
-        failed = [i for i, fine in enumerate(self.verified(proposed)) if not fine]
+        """Add words, without their end marks, to the table."""
+        letters = [w if w.isascii() and w.isprintable() else "".join([self.letter[b] for b in w.encode()]) for w in words]
+        ranks = [self.propose(w) for w in letters]
+        failed = [i for i, fine in enumerate(self.verified(ranks)) if not fine]
         if failed:
             # a fast merger, whose results are put to the same proof
-            merged = [self.fast(words[i]) for i in failed]
-            for i, ranks, fine in zip(failed, merged, self.verified(merged)):
-                proposed[i] = ranks if fine else self.exact(words[i])
+            merged = self.fast([words[i] for i in failed])
+            for i, got, fine in zip(failed, merged, self.verified(merged)):
+                ranks[i] = got if fine else self.exact(letters[i])
             self.merged_exactly += len(failed)
-        ids = self.ids
-        for w, ranks in zip(words, proposed):
-            self.words[w] = tuple([ids[r] for r in ranks])
+        sizes = np.fromiter(map(len, ranks), np.int64, len(ranks))
+        flat = np.fromiter(chain.from_iterable(ranks), np.int64, int(sizes.sum()))
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.known) + np.cumsum(sizes) - sizes])
+        self.known = np.concatenate([self.known, self.id_of[flat]])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), np.int64)])
+
+    def forget(self) -> None:
+        """Leave the special strings and at most half a table of words, those met most."""
+        self.uses[: len(self.added)] = 1 << 62
+        most = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_SIZE // 2])
+        most = most[self.uses[most] > 1]
+        names = list(self.words)
+        self.words = {names[i]: k for k, i in enumerate(most.tolist())}
+        self.known = self.gathered(most)
+        self.sizes, self.uses = self.sizes[most], self.uses[most] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def gathered(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of known words, one after the other."""
+        sizes = self.sizes[numbers]
+        begin = self.starts[numbers] - (np.cumsum(sizes) - sizes)
+        return self.known[np.repeat(begin, sizes) + np.arange(int(sizes.sum()))]
 
     def _merger(self):
         """Merging by rank in compiled code, a space standing for the end of a word."""
         import tiktoken
 
-        value, table = byte_letters(), {}
+        value, table = self.value, {}
         for w, i in self.inner.items():
             table[bytes(value[c] for c in w)] = i
         for w, i in self.last.items():
             table[bytes(value[c] for c in w) + b" "] = i
-        encoding = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
-        return lambda word: encoding.encode_ordinary(bytes([value[c] for c in word]).decode() + " ")
+        encoding = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=table, special_tokens={})
+
+        def merged(words: list[str]) -> list[list[int]]:
+            flat = encoding.encode_ordinary(" ".join(words) + " ")
+            ends = (np.flatnonzero(self.closes[flat]) + 1).tolist()
+            return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def normal(self, unit: str) -> list[str]:
-        """The words of a unit between spaces, in byte letters."""
-        if RARE.search(unit) is None:
+        return merged
+
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text without special strings."""
+        if RARE.search(text) is None:
             # lower case letter by letter: a final sigma is not special
-            words = self.find(unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower())
-            return [w if w.isascii() and w.isprintable() else "".join([self.letter[b] for b in w.encode()]) for w in words]
-        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(unit))
-        return [w for w, _ in found]
+            return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if " " in text or "\n" in text:
+            # no word reaches over white space, and few have rare characters
+            return list(chain.from_iterable(map(self.pieces, text.replace("\n", " ").split(" "))))
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes([self.value[c] for c in w]).decode() for w, _ in found]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
-        if len(self.cache) > CACHE_SIZE:
-            self.cache.clear()
-        if len(self.words) > CACHE_SIZE:
-            self.words.clear()
         split: list[list[str]] = []
         for t in texts:
             if "<" in t and self.special.search(t):
+                # every second part is a special string
                 parts = self.special.split(t)
+                split.append(list(chain.from_iterable([" " + p] if i % 2 else self.pieces(p) for i, p in enumerate(parts))))
             else:
-                parts = [t]
-            # every second part is a special string, marked so that no unit is like it
-            split.append([u for i, p in enumerate(parts) for u in ([" " + p] if i % 2 else p.replace("\n", " ").split(" "))])
-        new = set().union(*split).difference(self.cache) if split else set()
-        units = {u: self.normal(u) for u in new if u[:1] != " "}
-        missing = sorted(set(chain.from_iterable(units.values())).difference(self.words))
+                split.append(self.pieces(t))
+        met = set().union(*split)
+        missing = met.difference(self.words)
+        if len(self.words) + len(missing) > CACHE_SIZE:
+            self.forget()
+            missing = met.difference(self.words)
         if missing:
-            self.learn(missing)
-        words = self.words
-        for u in new:
-            if u[:1] == " ":
-                self.cache[u] = (self.added[u[1:]],)
-            else:
-                self.cache[u] = tuple(chain.from_iterable([words[w] for w in units[u]]))
-        get = self.cache.__getitem__
-        ids = [np.fromiter(chain.from_iterable(map(get, s)), np.int32) for s in split]
-        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)), np.array([len(x) for x in ids], np.int64)
+            self.learn(sorted(missing))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        ends, done = np.cumsum(counts), np.concatenate([[0], np.cumsum(self.sizes[numbers])])
+        return self.gathered(numbers), done[ends] - done[ends - counts]
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.strings[ids].tolist())
