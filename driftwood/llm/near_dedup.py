@@ -224,21 +224,24 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of every linked node, root the least node of its component.
 
-    Alternates two steps that hang nodes on smaller neighbours until all hang on the
-    least; each is a minimum by node and a join back, written to the shared folder.
+    ``known`` is what earlier links gave; then only new ``links`` are needed.  Alternates
+    two steps that hang nodes on smaller neighbours until all hang on the least.  Each is a
+    minimum over a node's neighbours in a window, so a turn has three shuffles; it is
+    written to the shared folder.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    mark = None
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    if known is not None:
+        edges = edges.union(known.select("node", "root").where("node != root"))
+    edges, mark = checkpointed(edges.distinct()), None
+    least = F.min("v").over(Window.partitionBy("u"))
     while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down).distinct()
-        edges = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = checkpointed(small.select("e.u", "e.v").where("u != v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -368,7 +371,7 @@ def _classes(docs: DataFrame, similarity: float, more: tuple[str, ...] = ()) ->
     sets = checkpointed(shingle_sets(texts, "_text").join(needed, "node", "left_semi").dropDuplicates(["node"]))
 
     tested = checkpointed(verified(pairs, sets))
-    roots = checkpointed(components(tested.where(F.col("similarity") >= similarity)))
+    roots = components(tested.where(F.col("similarity") >= similarity))
 
     # hubs: the best-linked member of a bucket meets those that are not yet connected to it
     left = None
@@ -384,8 +387,9 @@ def _classes(docs: DataFrame, similarity: float, more: tuple[str, ...] = ()) ->
         hub = held.groupBy("bucket").agg(F.max(F.struct("links", F.xxhash64("node").alias("o"), "node", "root")).alias("h"))
         met = held.join(hub.select("bucket", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")), "bucket")
         fresh = _ordered(met.where("root != hub_root"), "node", "hub").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = checkpointed(tested.unionByName(verified(checkpointed(fresh), sets)))
-        roots = checkpointed(components(tested.where(F.col("similarity") >= similarity)))
+        fresh = checkpointed(verified(checkpointed(fresh), sets))
+        tested = tested.unionByName(fresh)
+        roots = components(fresh.where(F.col("similarity") >= similarity), roots)
 
     # what is still apart, by an exact filter on the shingle sets
     known = _rooted(shared.select("bucket", "node"), roots)
@@ -393,8 +397,7 @@ def _classes(docs: DataFrame, similarity: float, more: tuple[str, ...] = ()) ->
     if size:
         apart = checkpointed(known.join(split, "bucket").select("node", "root").distinct())
         rest = checkpointed(_prefix_pairs(apart, sets, similarity).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        tested = tested.unionByName(verified(rest, sets))
-        roots = components(tested.where(F.col("similarity") >= similarity))
+        roots = components(verified(rest, sets).where(F.col("similarity") >= similarity), roots)
 
     classed = reps.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_texts"))
