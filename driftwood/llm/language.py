@@ -16,6 +16,7 @@ different texts, so that switches between languages are seen.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from itertools import chain
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwood.llm.arrow import add_columns
-from driftwood.llm.worker import kept
+from driftwood.llm.worker import kept, released
 
 #: Bounds of the sample: texts of a language, characters of a text, texts of all languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXTS = 150, 20_000, 9_600
@@ -324,4 +325,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A field fitted on a bounded sample of the labelled rows of ``docs``.  Without any
     labelled text its only label is ``und``."""
     rows = sample(docs, key, text, lang)
-    return fit(rows) if rows else Field(["und"], {})
+    field = fit(rows) if rows else Field(["und"], {})
+    # the driver goes on to other work
+    del rows
+    gc.collect()
+    released()
+    return field
